@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common
+from . import bpe, common, tokenfile
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,8 +21,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(common.table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.round_trip(common.table(spark, sf_dir, "documents"), vocabulary())
+
+
 def queries() -> dict[str, Query]:
-    return {"op10_bpe": op10_bpe}
+    return {"op2_token_file": op2_token_file, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
