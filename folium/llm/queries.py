@@ -6,7 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, tokenfile
+from . import bpe, common, tokenfile, warc
+
+OP1_SQL = """
+SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+       CASE WHEN strlen(coalesce(html, '')) >= 1000 AND page_id <> last_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN strlen(coalesce(html, '')) >= 1000 AND page_id <> last_id THEN last_id END AS refers_to, url
+FROM (SELECT *, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last_id FROM pages)
+"""
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,13 +28,17 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(common.table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(common.table(spark, sf_dir, "pages"))
+
+
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(common.table(spark, sf_dir, "documents"), vocabulary())
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_token_file": op2_token_file, "op10_bpe": op10_bpe}
+    return {"op1_warc": op1_warc, "op2_token_file": op2_token_file, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc": OP1_SQL}
