@@ -25,11 +25,28 @@ from . import common
 
 #: Bytes of a word from which a heap takes the place of scans.
 LONG = 256
-#: Chunks kept in a worker's memo, and code points of the longest chunk kept.
+#: Entries of each of a memo's two generations, and code points of the longest key kept.
 MEMO, MEMO_LEN = 400_000, 48
 _NO_RANK = 1 << 60
 
 
+class Memo(dict):
+    """What ``make`` gives for a key, kept in two generations: when the new one is full it becomes the old one."""
+
+    def __init__(self, make, limit: int = MEMO):
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if (value := self.old.get(key)) is None:
+            value = self.make(key)
+        if len(key) <= MEMO_LEN:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -55,7 +72,7 @@ class RankBpe:
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(split)
         self.special = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
-        self.memo: dict[str, bytes] = {}
+        self.of_word, self.of_chunk = Memo(self.word), Memo(self.chunk)
 
     def merge(self, word: str) -> list[str]:
         """Parts of one word (in byte-level characters) after all merges."""
@@ -105,42 +122,32 @@ class RankBpe:
         # Lower case goes character by character, so a final sigma is the common one.
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
-    def _plain(self, text: str, out: array) -> None:
-        vocab, alphabet = self.vocab, self.alphabet
-        for word in self.words.findall(self.normalise(text)):
-            for p in self.merge("".join(alphabet[b] for b in word.encode("utf-8"))):
-                if (i := vocab.get(p)) is not None:
-                    out.append(i)
+    def word(self, word: str) -> bytes:
+        """Ids of one word of a normalised text."""
+        vocab = self.vocab
+        mapped = "".join([self.alphabet[b] for b in word.encode("utf-8")])
+        return array("I", [i for p in self.merge(mapped) if (i := vocab.get(p)) is not None]).tobytes()
+
+    def plain(self, text: str) -> bytes:
+        """Ids of a text in which special tokens are ordinary text."""
+        of_word = self.of_word
+        return b"".join([of_word[w] for w in self.words.findall(self.normalise(text))])
 
     def chunk(self, text: str) -> bytes:
-        """Ids of a text, as little-endian 32-bit integers, without the memo."""
-        out = array("I")
-        at = 0
-        if self.special is not None and "<" in text:
-            for m in self.special.finditer(text):
-                self._plain(text[at : m.start()], out)
-                out.append(self.added[m[0]])
-                at = m.end()
-        self._plain(text[at:] if at else text, out)
-        return out.tobytes()
-
-    def _of(self, chunk: str) -> bytes:
-        if (ids := self.memo.get(chunk)) is None:
-            ids = self.chunk(chunk)
-            if len(chunk) <= MEMO_LEN:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                self.memo[chunk] = ids
-        return ids
+        """Ids of a text, as little-endian 32-bit integers, without the memo of chunks."""
+        if self.special is None or "<" not in text:
+            return self.plain(text)
+        found, at = [], 0
+        for m in self.special.finditer(text):
+            found += [self.plain(text[at : m.start()]), array("I", [self.added[m[0]]]).tobytes()]
+            at = m.end()
+        return b"".join([*found, self.plain(text[at:])])
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text as little-endian 32-bit integers.  No rule reaches across a space or a line end, so
         what stands between them is encoded on its own, once for each worker and distinct chunk."""
-        chunks = (text or "").replace("\n", " ").split(" ")
-        try:
-            return b"".join([self.memo[c] for c in chunks])
-        except KeyError:
-            return b"".join([self._of(c) for c in chunks])
+        of_chunk = self.of_chunk
+        return b"".join([of_chunk[c] for c in (text or "").replace("\n", " ").split(" ")])
 
     def decode(self, ids: Iterable[int]) -> str:
         get = self.tokens.get

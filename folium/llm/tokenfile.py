@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import os
 import struct
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import bpe, common
 
 MAGIC, BLOCK, PERCENTILE = b"PFR1", 128, 0.9
 #: Tokens from which a frame is closed, and frames of a file.
@@ -142,39 +143,31 @@ def frames(content: bytes) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, n
         at += 4 + length + 1
 
 
-class LibraryEncoder:
-    """The ``tokenizers`` library with a memo.  The vocabularies' rules don't reach across a space or line end,
-    so every distinct chunk between them is encoded by the library once for each worker."""
+class LibraryEncoder(bpe.RankBpe):
+    """The ``tokenizers`` library with memos of words and of what stands between spaces.
 
-    MEMO, MEMO_LEN = 400_000, 48
+    Its pattern and normal form are applied here to chunks in NFC, and the library's model encodes each distinct word once
+    for each worker; a chunk that isn't in NFC or holds a special token goes through the whole library."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__(path)
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.memo: dict[str, bytes] = {}
-
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        found = self.library.encode_batch_fast(chunks, add_special_tokens=False)
-        return {c: array("I", e.ids).tobytes() for c, e in zip(chunks, found)}
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Ids of each text, as little-endian 32-bit integers."""
-        if len(self.memo) > self.MEMO:
-            self.memo.clear()
-        for text in texts:
-            chunks = (text or "").replace("\n", " ").split(" ")
-            try:
-                yield b"".join([self.memo[c] for c in chunks])
-            except KeyError:
-                new = [c for c in dict.fromkeys(chunks) if c not in self.memo]
-                here = self._learn(new)
-                self.memo.update((c, x) for c, x in here.items() if len(c) <= self.MEMO_LEN)
-                memo = self.memo
-                yield b"".join([memo[c] if c in memo else here[c] for c in chunks])
+        self.model = self.library.model
+
+    def word(self, word: str) -> bytes:
+        if len(word) > bpe.MEMO_LEN:
+            return array("I", self.library.encode(word, add_special_tokens=False).ids).tobytes()
+        return array("I", [t.id for t in self.model.tokenize("".join([self.alphabet[b] for b in word.encode("utf-8")]))]).tobytes()
+
+    def chunk(self, text: str) -> bytes:
+        if "<" in text or not (text.isascii() or unicodedata.is_normalized("NFC", text)):
+            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        return self.plain(text)
 
 
 _made: dict[str, LibraryEncoder] = {}
@@ -204,7 +197,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int | No
             return pa.RecordBatch.from_pydict({"frame": pa.array([frame(part, seq, doc_ids, [len(x) // 4 for x in held], ids)], pa.binary())})
 
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), map(encoder.encode, batch.column(1).to_pylist())):
                 doc_ids.append(doc_id)
                 held.append(ids + end)
                 size += len(held[-1]) // 4
