@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, fingerprint, jaccard, mixing, pii, quality, tokenfile, toxicity, warc
+from . import bpe, common, fingerprint, html_text, jaccard, mixing, pii, quality, tokenfile, toxicity, warc
 
 OP1_SQL = """
 SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
@@ -32,6 +32,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(common.table(spark, sf_dir, "pages"))
+
+
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.component_of(common.table(spark, sf_dir, "documents"))
 
@@ -61,7 +65,7 @@ def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_warc": op1_warc, "op2_token_file": op2_token_file, "op3_pii": op3_pii, "op4_toxicity": op4_toxicity, "op6_jaccard": op6_jaccard, "op7_quality": op7_quality, "op8_mixing": op8_mixing, "op9_fingerprint": op9_fingerprint, "op10_bpe": op10_bpe}
+    return {"op1_warc": op1_warc, "op2_token_file": op2_token_file, "op3_pii": op3_pii, "op4_toxicity": op4_toxicity, "op5_html_text": op5_html_text, "op6_jaccard": op6_jaccard, "op7_quality": op7_quality, "op8_mixing": op8_mixing, "op9_fingerprint": op9_fingerprint, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
