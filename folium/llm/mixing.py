@@ -32,8 +32,8 @@ SLICE = 3
 
 
 def domain_of(source: Column) -> Column:
-    """The domain of a source where a corpus names none: one of four groups, by the crc32 of its name."""
-    return F.concat(F.lit("d"), F.crc32(source.cast("binary")) % 4)
+    """The domain of a source where a corpus names none: one of four groups, by the first digit of its name's MD5."""
+    return F.concat(F.lit("d"), (F.instr(F.lit("0123456789abcdef"), F.substring(F.md5(source), 1, 1)) - 1) % 4)
 
 
 def weight_of(level: str, name: Column) -> Column:
@@ -46,10 +46,10 @@ def weight_of(level: str, name: Column) -> Column:
     return F.lit(1).cast("long")
 
 
-def leaf_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, domain, lang, source, tokens): the leaf and the tokens of each document."""
+def leaf_rows(docs: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, domain, lang, source, tokens, *more): the leaf and the tokens of each document."""
     source, lang = F.coalesce("source", F.lit("?")), F.coalesce("lang", F.lit("?"))
-    return docs.select("doc_id", domain_of(source).alias("domain"), lang.alias("lang"), source.alias("source"), F.size(words_of(common.text_or_empty())).cast("long").alias("tokens"))
+    return docs.select("doc_id", domain_of(source).alias("domain"), lang.alias("lang"), source.alias("source"), F.size(words_of(common.text_or_empty())).cast("long").alias("tokens"), *more)
 
 
 def _shares(nodes: DataFrame, parent: list[str]) -> DataFrame:
@@ -60,7 +60,6 @@ def _shares(nodes: DataFrame, parent: list[str]) -> DataFrame:
     order = [F.col("capacity") / F.col("weight"), F.col("name")]
     before = Window.partitionBy(*parent).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rest = Window.partitionBy(*parent).orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    wide = lambda c: F.col(c).cast("decimal(38,0)")
     nodes = nodes.withColumn("taken", F.coalesce(F.sum("capacity").over(before), F.lit(0))).withColumn("weights", F.sum("weight").over(rest))
     nodes = nodes.withColumn("full", F.col("capacity").cast("decimal(20,0)") * F.col("weights").cast("decimal(18,0)") <= (F.col("budget") - F.col("taken")).cast("decimal(20,0)") * F.col("weight").cast("decimal(18,0)"))
     # Full nodes are the first ones in this order; what they leave and who shares it are sums over the rest.
@@ -92,30 +91,37 @@ def _order(epoch: Column, seed: int) -> Column:
 
 
 def selection(rows: DataFrame, shares: DataFrame, seed: int = SEED) -> DataFrame:
-    """A row for each document and epoch that is selected: the columns of rows (doc_id, domain, lang, source, tokens) and
-    ``epoch``, from 0."""
-    spark = rows.sparkSession
+    """A row for each document and epoch that is selected: the columns of rows (doc_id, domain, lang, source, tokens and what
+    else there is) and ``epoch``, from 0."""
     leaf = list(LEVELS)
-    plan = shares.select(*leaf, F.expr("share div tokens").cast("int").alias("whole"), F.expr("share % tokens").alias("left"))
-    plan = common.written(plan.select(*[F.col(c).alias(f"leaf_{c}") for c in leaf], "whole", "left"), "mix-plan")
-    found = rows.join(plan, [F.col(c) == F.col(f"leaf_{c}") for c in leaf]).drop(*[f"leaf_{c}" for c in leaf])
-    found = found.withColumn("order", _order(F.col("whole"), seed)).withColumn("slice", F.substring("order", 1, SLICE))
-    slices = found.groupBy(*leaf, "slice").agg(F.sum("tokens").alias("n"), F.first("left").alias("left"))
-    upto = Window.partitionBy(*leaf).orderBy("slice")
-    slices = slices.withColumn("end", F.sum("n").over(upto))
-    cut = common.written(slices.where("end > left").groupBy(*leaf).agg(F.min(F.struct("slice", (F.col("left") - F.col("end") + F.col("n")).alias("room"))).alias("cut"))
-                         .select(*[F.col(c).alias(f"cut_{c}") for c in leaf], F.col("cut.slice").alias("cut_slice"), F.col("cut.room").alias("room")), "mix-cuts")
-    found = found.join(cut, [F.col(c) == F.col(f"cut_{c}") for c in leaf], "left").drop(*[f"cut_{c}" for c in leaf])
-    epochs = F.when(F.col("whole") > 0, F.sequence(F.lit(0), F.col("whole") - 1)).otherwise(F.array().cast("array<int>"))
-    before = found.where("cut_slice IS NULL OR slice < cut_slice")
-    inside = found.where("slice = cut_slice")
+    plan = shares.select(*[F.col(c).alias(f"leaf_{c}") for c in leaf], F.expr("cast(share div tokens as int)").alias("whole"), F.expr("share % tokens").alias("left"))
+    plan = common.written(plan, "mix-plan")
+
+    def at_leaf(table: DataFrame, what: DataFrame, prefix: str, how: str) -> DataFrame:
+        return table.join(what, [F.col(c) == F.col(f"{prefix}_{c}") for c in leaf], how).drop(*[f"{prefix}_{c}" for c in leaf])
+
+    def ordered(table: DataFrame) -> DataFrame:
+        found = at_leaf(table, plan, "leaf", "inner").withColumn("order", _order(F.col("whole"), seed))
+        return found.withColumn("slice", F.substring("order", 1, SLICE))
+
+    slices = ordered(rows.select("doc_id", *leaf, "tokens")).groupBy(*leaf, "slice").agg(F.sum("tokens").alias("n"), F.first("left").alias("left"))
+    slices = slices.withColumn("end", F.sum("n").over(Window.partitionBy(*leaf).orderBy("slice")))
+    cut = slices.where("end > left").groupBy(*leaf).agg(F.min(F.struct("slice", (F.col("left") - F.col("end") + F.col("n")).alias("room"))).alias("cut"))
+    cut = common.written(cut.select(*[F.col(c).alias(f"cut_{c}") for c in leaf], F.col("cut.slice").alias("cut_slice"), F.col("cut.room").alias("room")), "mix-cuts")
+    found = at_leaf(ordered(rows), cut, "cut", "left")
+    # With something left of a leaf's share there is a slice in which it ends; whole epochs leave nothing and cut at once.
+    wholes = F.when(F.col("whole") > 0, F.sequence(F.lit(0), F.col("whole") - 1)).otherwise(F.array().cast("array<int>"))
+    epochs = F.when(F.col("slice") < F.col("cut_slice"), F.concat(wholes, F.array("whole"))).otherwise(wholes)
     run = Window.partitionBy(*leaf).orderBy("order", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = inside.withColumn("upto", F.sum("tokens").over(run))
-    plain = ["doc_id", *leaf, "tokens"]
-    wholes = found.where("whole > 0").select(*plain, F.explode(epochs).alias("epoch"))
-    last = before.where("cut_slice IS NOT NULL").select(*plain, F.col("whole").alias("epoch"))
-    ends = inside.where("upto <= room").select(*plain, F.col("whole").alias("epoch"))
-    return wholes.unionByName(last).unionByName(ends)
+    ends = found.where("slice = cut_slice").withColumn("upto", F.sum("tokens").over(run)).where("upto <= room")
+    return found.select(*rows.columns, F.explode(epochs).alias("epoch")).unionByName(ends.select(*rows.columns, F.col("whole").alias("epoch")))
+
+
+def mixed(docs: DataFrame, budget: Column, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+    """The rows of docs that a mix selects, once an epoch, with the columns of docs."""
+    narrow = common.written(leaf_rows(docs), "mix-rows")
+    shares = budgets(narrow.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), budget, max_epochs)
+    return selection(leaf_rows(docs, F.struct(*docs.columns).alias("row")), shares, seed).select("row.*")
 
 
 def mix(docs: DataFrame, budget: Column | None = None, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
