@@ -1,0 +1,25 @@
+"""Static tables: the models that answers may come from, and where they are served."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+LOCAL_URL = "http://localhost:11434/v1/chat/completions"
+#: (tier, id, name, description, url): a served model of each kind; a catalogue of one's own is a table of the same columns.
+MODELS = [
+    ("cloud", "gpt-4o-2024-11-20", "GPT-4o", "Hosted, general purpose", "https://api.openai.com/v1/chat/completions"),
+    ("local", "qwen2.5:7b", "Qwen 2.5 7B", "Local, 16 GB of memory", LOCAL_URL),
+    ("local", "llama3.1:8b", "Llama 3.1 8B", "Local, 16 GB of memory", LOCAL_URL),
+    ("local", "gemma3:1b", "Gemma 3 1B", "Local, small", LOCAL_URL),
+]
+
+
+def models(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(MODELS, "tier string, id string, name string, description string, url string")
+
+
+def with_url(requests: DataFrame, model: str = "model") -> DataFrame:
+    """Requests with the ``url`` of their model; unknown models are local.  The catalogue is a handful of rows."""
+    urls = models(requests.sparkSession).select(F.col("id").alias(model), "url")
+    return requests.join(F.broadcast(urls), model, "left").withColumn("url", F.coalesce("url", F.lit(LOCAL_URL)))
