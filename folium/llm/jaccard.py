@@ -7,14 +7,15 @@ sets are found; the result gives them as connected components.
 1. A profile of each document is written: its size and the smallest hashes of its set, those below 3/8 of the hash range
    ("low") and as many more as the prefix needs.  A prefix has |x| - ceil(percent * |x| / 100) + 1 elements: linked sets share
    an element of their prefixes in any common order.  Documents with equal sets within a stretch of input name one of them.
-2. Low elements are counted.  The common order takes elements of one document first, then others, then frequent ones (64 or
-   more), each by hash, then those that aren't low.  A document whose elements of its own fill its prefix has no partner; the
+2. Low elements are counted.  The common order takes the rarest first; those of 64 documents or more count as equally frequent
+   and those that aren't low come last; equals go by hash.  A document whose elements of its own fill its prefix has no partner; the
    others keep what is left of their prefix.  Elements that are frequent within a stretch are counted there and not dealt.
 3. Documents that share a prefix element, joined through the smallest of them, form candidate groups (components).
 4. A group comes to one task with its texts and is joined by a signature tree.  Larger groups are cut into blocks, each with
    the same 16 pivots, which connect what is alike across blocks.
-5. In groups of several blocks, the documents outside the largest component so found meet all blocks of the group.  So every pair
-   of different components is compared, whatever the size of a group.
+5. In groups of several blocks, documents of different components so found that share a prefix element meet by that element; where
+   more than a block of documents hold it, those outside its largest component meet all its blocks.  So every pair that may be
+   linked is compared or already connected, whatever the size of a group.
 
 Nothing depends on a cap: 64, 16 and the block size decide where work is done, not what is compared.
 
@@ -40,7 +41,7 @@ from .components import components
 
 PERCENT, WORDS = 75, 5
 LOW = (3 << 63) // 8
-FREQUENT, PIVOTS, BLOCK, STRETCH = 64, 16, 512, 2_000_000
+FREQUENT, PIVOTS, BLOCK, STRETCH, FEW = 64, 16, 512, 2_000_000, 1_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 _words = Memo(lambda w: xxhash.xxh3_64_intdigest(w))
@@ -116,22 +117,27 @@ def profile(docs: DataFrame, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc long, n long, a long, p long, copy_of long, hashes array<long>, often array<long>")
 
 
-def candidate_edges(profiles: DataFrame) -> DataFrame:
-    """(a, b): documents that share a prefix element, each with the smallest that has it."""
+def prefixes(profiles: DataFrame) -> DataFrame:
+    """(doc, h): what is left of the prefixes of the documents that may have a partner."""
     dealt = profiles.where("size(hashes) > 0").select("doc", F.explode("hashes").alias("h"))
     of = Window.partitionBy("h")
     seen = dealt.withColumn("k", F.count(F.lit(1)).over(of)).withColumn("marks", F.sum(F.col("doc").isNull().cast("int")).over(of))
-    level = F.when(F.col("h") >= LOW, 3).when((F.col("k") >= FREQUENT) | (F.col("marks") > 0), 2).otherwise(1)
+    often = (F.col("k") >= FREQUENT) | (F.col("marks") > 0)
+    level = F.when(F.col("h") >= LOW, FREQUENT + 1).when(often, FREQUENT).otherwise(F.col("k")).cast("int")
     shared = seen.where("k > 1 AND doc IS NOT NULL").select("doc", F.struct(level.alias("level"), "h").alias("e"))
     shared = shared.groupBy(F.col("doc").alias("of")).agg(F.collect_list("e").alias("shared"))
     own = profiles.where("a >= 0 AND doc IS NOT NULL AND copy_of IS NULL AND n > 0").select("doc", "n", "a", "p", "often")
     both = own.join(shared, F.col("doc") == F.col("of"), "left")
     both = both.withColumn("shared", F.coalesce("shared", F.array().cast("array<struct<level:int,h:bigint>>")))
-    low = F.size(F.filter("shared", lambda e: e["level"] < 3))
+    low = F.size(F.filter("shared", lambda e: e["level"] <= FREQUENT))
     left = F.col("p") - (F.col("a") - F.size("often") - low)
-    often = F.transform("often", lambda h: F.struct(F.lit(2).alias("level"), h.alias("h")))
+    often = F.transform("often", lambda h: F.struct(F.lit(FREQUENT).alias("level"), h.alias("h")))
     kept = F.slice(F.array_sort(F.concat("shared", often)), F.lit(1), F.greatest(left, F.lit(0)).cast("int"))
-    rows = common.written(both.where(left > 0).select("doc", F.explode(kept).alias("e")).select("doc", "e.h"), "prefixes")
+    return both.where(left > 0).select("doc", F.explode(kept).alias("e")).select("doc", "e.h")
+
+
+def candidate_edges(rows: DataFrame) -> DataFrame:
+    """(a, b): documents that share a prefix element, each with the smallest that has it."""
     least = rows.groupBy("h").agg(F.min("doc").alias("b"), F.count(F.lit(1)).alias("k")).where("k > 1").select(common.skew_key("h").alias("same"), "b")
     return rows.join(least, F.col("h").cast("string") == F.col("same")).where("doc <> b").select(F.col("doc").alias("a"), "b").distinct()
 
@@ -153,6 +159,9 @@ def _blocks(labels: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
 
 def _with_text(rows: DataFrame, docs: DataFrame, order: list[str]) -> DataFrame:
     texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+    asked = rows.select(F.col("doc").alias("asked")).distinct()
+    if asked.count() <= FEW:  # a few MB of ids keep other texts from being dealt; more are sought by the join alone
+        texts = texts.join(F.broadcast(asked), F.col("doc_id") == F.col("asked"), "left_semi")
     found = rows.join(texts, rows["doc"] == texts["doc_id"]).drop("doc_id")
     return found.repartition(common.partitions(docs.sparkSession), "grp", "block").sortWithinPartitions("grp", "block", *order)
 
@@ -213,31 +222,42 @@ def _join_blocks(rows: DataFrame, percent: int) -> DataFrame:
     return rows.select("doc", "grp", "block", "role", "known", "text").mapInArrow(run, "a long, b long")
 
 
+def _rest(several: DataFrame, found: DataFrame, left: DataFrame, docs: DataFrame, percent: int, block: int) -> DataFrame | None:
+    """Links between documents of different components (found) that share a prefix element, in groups of several blocks.
+
+    Such documents meet by that element.  Where it is held by more than a block, those outside the largest component among
+    them meet every block of it."""
+    state = several.join(found, F.col("doc") == F.col("node"), "left").select(F.col("doc").alias("of"), F.coalesce("label", "doc").alias("known"))
+    state = common.written(left.join(state, F.col("doc") == F.col("of")).select("h", "doc", "known"), "state")
+    open_ = state.groupBy("h").agg(F.min("known").alias("low"), F.max("known").alias("high"), F.count(F.lit(1)).alias("k")).where("low < high")
+    open_ = common.written(open_.select(common.skew_key("h").alias("open"), F.ceil(F.col("k") / block).cast("int").alias("blocks")), "open")
+    rows = state.join(open_, F.col("h").cast("string") == F.col("open"))
+    rows = common.written(rows.select("doc", F.col("h").alias("grp"), "known", "blocks", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block")), "rest")
+    if rows.isEmpty():
+        return None
+    counts = rows.where("blocks > 1").groupBy("grp", "known").agg(F.count(F.lit(1)).alias("k"))
+    main = counts.groupBy("grp").agg(F.max(F.struct("k", "known")).alias("m")).select(common.skew_key("grp").alias("of"), F.col("m.known").alias("main"))
+    asked = rows.where("blocks > 1").join(main, F.col("grp").cast("string") == F.col("of")).where("known <> main")
+    asked = asked.select("doc", "grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "known")
+    base = rows.select("doc", "grp", "block", F.lit(0).alias("role"), "known")
+    return common.written(_join_blocks(_with_text(base.unionByName(asked), docs, ["role", "doc"]), percent), "links")
+
+
 def near_components(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Profiles of all documents, and (node, label) of the documents that link with another: label is the smallest doc_id."""
     common.prepare(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     profiles = common.written(profile(docs, percent), "profiles")
     copies = profiles.where("copy_of IS NOT NULL").select(F.col("doc").alias("a"), F.col("copy_of").alias("b"))
-    candidates = components(candidate_edges(profiles))
+    left = common.written(prefixes(profiles), "prefixes")
+    candidates = components(candidate_edges(left))
     rows, members = _blocks(candidates, block)
     nothing = F.lit(None).cast("long")
     links = common.written(_join_blocks(_with_text(rows.withColumn("known", nothing), docs, ["doc"]), percent), "links")
     several = members.where("blocks > 1")
     if not several.isEmpty():
-        found = components(links)
-        state = several.join(found, F.col("doc") == F.col("node"), "left").select("doc", "grp", "blocks", "block", F.coalesce("label", "doc").alias("label"))
-        state = common.written(state, "state")
-        counts = state.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("k"))
-        main = counts.groupBy("grp").agg(F.max(F.struct("k", "label")).alias("m")).select(common.skew_key("grp").alias("of"), F.col("m.label").alias("main"))
-        rest = state.join(main, F.col("grp").cast("string") == F.col("of")).where("label <> main")
-        rest = common.written(rest.select("doc", "grp", "blocks", "label"), "rest")
-        if not rest.isEmpty():
-            asked = rest.select("doc", "grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), F.col("label").alias("known"))
-            groups = rest.select("grp").distinct().withColumnRenamed("grp", "open")
-            base = state.join(groups, F.col("grp") == F.col("open"), "left_semi").select("doc", "grp", "block", F.lit(0).alias("role"), F.col("label").alias("known"))
-            more = _join_blocks(_with_text(base.unionByName(asked), docs, ["role", "doc"]), percent)
-            links = links.unionByName(common.written(more, "links"))
+        more = _rest(several, components(links), left, docs, percent, block)
+        links = links if more is None else links.unionByName(more)
     return profiles, components(links.unionByName(copies))
 
 
