@@ -38,7 +38,8 @@ def remaining(used: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
     """A stream of a table's files; time stamps get the session's time zone, as watermarks ask for."""
-    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    # A pattern, so that the path may be one file as well as a folder.
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
