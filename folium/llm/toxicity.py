@@ -4,7 +4,7 @@ Features are the presence of character n-grams of 3 to 6 code points (lower case
 2**20 buckets.  Fitting takes two passes over a bounded sample of labelled rows:
 
 1. documents of each class are counted for every bucket; r = log((p + a) / |p|) - log((q + a) / |q|) is its log-count ratio,
-   and the ``features`` buckets with the largest r * r * (1 / (1 / (p + a) + 1 / (q + a))), its squared z-score, are kept;
+   and the ``features`` buckets with the largest r * r * (1 / (1 / (p + a) + 1 / (q + a))), its squared z-score, are kept, of those with r of 1 or more either way;
 2. a logistic regression with an L2 penalty is fitted to the kept buckets, each scaled by its r.
 
 A score needs one table look-up an n-gram; nothing is shuffled, and what is broadcast has a fixed size.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BUCKET_BITS, SIZES, FEATURES, SAMPLE = 20, (3, 4, 5, 6), 1 << 14, 12_000
+BUCKET_BITS, SIZES, FEATURES, LEAST_RATIO, SAMPLE = 20, (3, 4, 5, 6), 1 << 14, 1.0, 12_000
 _CHUNK = 1 << 14
 
 
@@ -135,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
         return nothing
     ratio = np.log(p / (n[1] + 2 * alpha)) - np.log(q / (n[0] + 2 * alpha))
     strength = ratio * ratio / (1 / p + 1 / q)
-    strength[df.sum(axis=0) < 5] = 0
+    strength[(df.sum(axis=0) < 5) | (np.abs(ratio) < LEAST_RATIO)] = 0
     keep = np.sort(np.argsort(-strength, kind="stable")[:features])
     keep = keep[strength[keep] > 0]
     slot = np.zeros(buckets, np.int32)
@@ -159,14 +159,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
 
 def regress(x: list[np.ndarray], y: np.ndarray, scale: np.ndarray, odds: float, penalty: float = 0.05, rounds: int = 200) -> tuple[np.ndarray, float]:
     """Weights by slot (scale included) and bias of a logistic regression; classes count as in the corpus."""
-    row = np.repeat(np.arange(len(x)), [len(v) for v in x])
+    row = np.repeat(np.arange(len(x), dtype=np.int32), [len(v) for v in x])
     col = np.concatenate(x) if len(x) else np.empty(0, np.int32)
-    value = scale[col] / np.sqrt(np.maximum(1, np.bincount(row, scale[col] ** 2, len(x))))[row] * 10
+    x = [None] * len(x)
+    value = scale[col]
     seen = np.log(max(1, y.sum()) / max(1, (1 - y).sum()))
     each = np.where(y > 0, np.exp(odds - seen), 1.0)
     each /= each.mean()
-    # The norm of a row would make a long text's few telling n-grams faint; weights act on raw presence instead.
-    value = scale[col]
+    # Rows aren't scaled to one length: that would make a long text's few telling n-grams faint.
     w, b = np.zeros(len(scale)), odds
     gw, gb = np.zeros(len(scale)), 0.0
     for _ in range(rounds):
