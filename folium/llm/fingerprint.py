@@ -74,7 +74,7 @@ class Multiset:
         hashed = b"".join(hashlib.blake2b(p.encode("utf-8", "surrogatepass"), digest_size=4 * DENSE).digest() for p in paragraphs)
         change = np.zeros(DENSE + 3, np.uint32)
         change[:DENSE] = np.frombuffer(hashed, "<u4").reshape(-1, DENSE).sum(axis=0, dtype=np.uint32)
-        change[DENSE:] = [len(paragraphs), len(pieces), len(text) & 0xFFFFFFFF]
+        change[DENSE:] = [len(paragraphs), len(pieces), sum(map(len, paragraphs)) & 0xFFFFFFFF]
         lanes = np.zeros(LANES * LEVELS, np.int64)
         value = ((pieces >> np.uint64(56)) | np.uint64(1)).astype(np.int64)
         lane = ((pieces >> np.uint64(40)) % np.uint64(LANES)).astype(np.int64)

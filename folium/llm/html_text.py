@@ -71,8 +71,8 @@ def _declared(tag: str, attributes: str) -> int | None:
             return OTHER
         if tag not in ("body", "html", "main", "h1"):
             for name in f"{values.get('class', '')} {values.get('id', '')}".split():
-                words = [w.lower() for w in _WORD.findall(name)]
-                if any(w in _NAMES for w in words) and words[0] not in _ABOUT and not (words[0] in _PART_OF and words[-1] in ("header", "notice")):
+                words = [w.lower() for w in _WORD.findall(name)] or [""]
+                if any(w in _NAMES for w in (*words, *name.lower().replace("_", "-").split("-"))) and words[0] not in _ABOUT and not (words[0] in _PART_OF and words[-1] in ("header", "notice")):
                     return OTHER
         if role in ("main", "article"):
             found = MAIN

@@ -7,13 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, common, fingerprint, html_text, jaccard, mixing, pii, quality, tokenfile, toxicity, warc
-
-OP1_SQL = """
-SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
-       CASE WHEN strlen(coalesce(html, '')) >= 1000 AND page_id <> last_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN strlen(coalesce(html, '')) >= 1000 AND page_id <> last_id THEN last_id END AS refers_to, url
-FROM (SELECT *, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last_id FROM pages)
-"""
+from .oracle import oracle_sql  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,7 +60,3 @@ def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {"op1_warc": op1_warc, "op2_token_file": op2_token_file, "op3_pii": op3_pii, "op4_toxicity": op4_toxicity, "op5_html_text": op5_html_text, "op6_jaccard": op6_jaccard, "op7_quality": op7_quality, "op8_mixing": op8_mixing, "op9_fingerprint": op9_fingerprint, "op10_bpe": op10_bpe}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL}
