@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import pages as P
 from ..operators import toc, tree, verify
+from .lineage import cut
 
 ITEM = ("doc_id", "item_no", "structure", "title", "physical_index")
 
@@ -77,16 +78,17 @@ def settled(pages: DataFrame, limit: int = 20, threshold: float = verify.THRESHO
 
     Ways are tried in turn on the documents still open; those between the threshold and all correct are repaired.  The last
     way's result is taken as it is."""
-    counts = P.page_count(pages)
+    counts = cut(P.page_count(pages), "counts")
     done, open_pages = None, pages
     for way in (contents_items, contents_without_pages, None):
         if way is None:
             items = heading_items(open_pages)
             return items if done is None else done.unionByName(items)
-        items = verify.with_index(verify.truncated(way(open_pages, limit), counts))
+        items = cut(verify.with_index(verify.truncated(way(open_pages, limit), counts)), "items")
         found = verify.decisions(verify.accuracy(verify.checked(items, open_pages), counts), threshold).where("decision <> 'fall back'")
+        found = cut(found, "settled")
         kept = items.join(found.select("doc_id"), "doc_id", "left_semi")
-        kept = verify.repaired(kept, open_pages, counts)
+        kept = cut(verify.repaired(kept, open_pages, counts), "items")
         done = kept if done is None else done.unionByName(kept)
         open_pages = open_pages.join(found.select("doc_id"), "doc_id", "left_anti")
 
@@ -112,15 +114,15 @@ def split_items(rows: DataFrame, pages: DataFrame, max_pages: int, max_tokens: i
 def split_large(items: DataFrame, pages: DataFrame, max_pages: int = 10, max_tokens: int = 20_000, max_depth: int = 5) -> DataFrame:
     """Items with those of large leaves put in, level by level, until none is large, none splits, or max_depth is reached."""
     for _ in range(max_depth):
-        rows = sections(items, pages)
-        more = split_items(rows, pages, max_pages, max_tokens)
+        rows = cut(sections(items, pages), "sections")
+        more = cut(split_items(rows, pages, max_pages, max_tokens), "split")
         if more.isEmpty():
             break
         codes = items.select("doc_id", "item_no", "structure")
         more = more.join(codes, ["doc_id", "item_no"]).select("doc_id", "item_no", "sub_no", F.concat_ws(".", "structure", F.col("sub_no").cast("string")).alias("structure"), "title", "physical_index")
         both = items.select("doc_id", "item_no", F.lit(0).alias("sub_no"), "structure", "title", "physical_index").unionByName(more)
         order = Window.partitionBy("doc_id").orderBy("item_no", "sub_no")
-        items = both.withColumn("item_no", F.row_number().over(order)).select(*ITEM)
+        items = cut(both.withColumn("item_no", F.row_number().over(order)).select(*ITEM), "items")
     return items
 
 
@@ -139,8 +141,9 @@ def descriptions(rows: DataFrame) -> DataFrame:
 
 def build_index(pages: DataFrame, max_pages: int = 10, max_tokens: int = 20_000, with_text: bool = False, with_summary: bool = True, with_description: bool = False) -> DataFrame:
     """(doc_id, doc_description, structure_json) of every document of pages."""
-    items = split_large(settled(pages), pages, max_pages, max_tokens)
-    rows = sections(items, pages)
+    pages = cut(pages, "pages")
+    items = split_large(cut(settled(pages), "items"), pages, max_pages, max_tokens)
+    rows = cut(sections(items, pages), "sections")
     fields = ["title", "start_index", "end_index", "node_id"]
     if with_text or with_summary:
         rows = rows.join(summaries(P.section_text(rows, pages)), ["doc_id", "item_no"], "left")
@@ -160,6 +163,7 @@ def build_markdown_index(files: DataFrame, thinning: int | None = None, with_tex
         nodes = M.thinned(M.subtree_tokens(nodes), thinning)
         order = Window.partitionBy("doc_id").orderBy("line_no")
         nodes = nodes.withColumn("seq", F.row_number().over(order))
+    nodes = cut(nodes, "nodes")
     rows = M.tree(nodes).select("doc_id", F.col("seq").alias("item_no"), F.col("parent_seq").alias("parent_item"), "depth", (F.col("seq") - 1).alias("seq"), "title", F.col("line_no").alias("line_num"), "text")
-    rows = rows.withColumn("node_id", X.node_id(F.col("seq")))
+    rows = cut(rows.withColumn("node_id", X.node_id(F.col("seq"))), "nodes")
     return tree.nested_json(rows, ["title", "node_id", "line_num", *["text"] * with_text])
