@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -17,6 +16,7 @@ from .operators import retrieval as R
 from .operators import toc, tree, verify
 from .plans import fixtures as FX
 from .plans import index as I
+from .plans import lineage
 from .sources import catalog, store
 from .streaming import jobs
 
@@ -463,7 +463,7 @@ def job_event_order(s, d):
 
 
 def _checkpoint(s: SparkSession) -> str:
-    return f"{s.sparkContext.getConf().get('spark.checkpoint.dir') or tempfile.mkdtemp(prefix='folium-')}/stream-{uuid.uuid4().hex}"
+    return f"{lineage.shared_dir(s)}/stream-{uuid.uuid4().hex}"
 
 
 @query
