@@ -11,11 +11,12 @@ sets are found; the result gives them as connected components.
    and those that aren't low come last; equals go by hash.  A document whose elements of its own fill its prefix has no partner; the
    others keep what is left of their prefix.  Elements that are frequent within a stretch are counted there and not dealt.
 3. Documents that share a prefix element, joined through the smallest of them, form candidate groups (components).
-4. A group comes to one task with its texts and is joined by a signature tree.  Larger groups are cut into blocks, each with
-   the same 16 pivots, which connect what is alike across blocks.
-5. In groups of several blocks, documents of different components so found that share a prefix element meet by that element; where
-   more than a block of documents hold it, those outside its largest component meet all its blocks.  So every pair that may be
-   linked is compared or already connected, whatever the size of a group.
+4. Groups of more than a block of documents go through 1 to 3 once more, by other hashes and counts within the group: linked sets
+   share a prefix element in every order, so they stay together, and what only common passages held together falls apart.
+5. A group comes to one task with its texts and is joined by a signature tree.  Groups that are still larger than a block are cut into
+   blocks, each with the same 16 pivots, which connect what is alike across blocks.
+6. In groups of several blocks, the documents outside the largest component so found meet all blocks of the group.  So every pair of
+   a group is compared or already connected, whatever the size of the group.
 
 Nothing depends on a cap: 64, 16 and the block size decide where work is done, not what is compared.
 
@@ -41,7 +42,7 @@ from .components import components
 
 PERCENT, WORDS = 75, 5
 LOW = (3 << 63) // 8
-FREQUENT, PIVOTS, BLOCK, STRETCH, FEW = 64, 16, 512, 2_000_000, 1_000_000
+FREQUENT, PIVOTS, BLOCK, STRETCH, FEW = 64, 16, 1024, 2_000_000, 1_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 _words = Memo(lambda w: xxhash.xxh3_64_intdigest(w))
@@ -68,8 +69,15 @@ def prefix(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
+def regrouped(elements: np.ndarray, grp: int) -> np.ndarray:
+    """The elements under other hashes, of a group's own: sets of different groups have none in common."""
+    s = (elements.astype(np.uint64) ^ np.uint64(grp & ((1 << 64) - 1)) * _P) * np.uint64(0xD6E8FEB86659FD93)
+    s = (s ^ (s >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.sort((s ^ (s >> np.uint64(29))) >> np.uint64(1)).astype(np.int64)
+
+
 def profile(docs: DataFrame, percent: int) -> DataFrame:
-    """(doc, n, a, p, copy_of, hashes, often): size, low elements, prefix length, a document with the same set, the hashes to
+    """Of docs (doc_id, text), and grp where only documents of a group are compared: (doc, n, a, p, copy_of, hashes, often): size, low elements, prefix length, a document with the same set, the hashes to
     deal, and low ones that are frequent here.  Rows with a = -1 list what a stretch found to be frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,8 +103,11 @@ def profile(docs: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 1000]), kinds)], names=names)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            grps = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
+            for doc, text, grp in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), grps):
                 s = shingles(text)
+                if grp is not None:
+                    s = regrouped(s, grp)
                 n = len(s)
                 a, p = int(np.searchsorted(s, LOW)), prefix(n, percent)
                 copy_of = None
@@ -114,7 +125,7 @@ def profile(docs: DataFrame, percent: int) -> DataFrame:
         if rows:
             yield from closed()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc long, n long, a long, p long, copy_of long, hashes array<long>, often array<long>")
+    return docs.select("doc_id", "text", *[c for c in ("grp",) if c in docs.columns]).mapInArrow(run, "doc long, n long, a long, p long, copy_of long, hashes array<long>, often array<long>")
 
 
 def prefixes(profiles: DataFrame) -> DataFrame:
@@ -157,12 +168,17 @@ def _blocks(labels: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     return rows, members
 
 
-def _with_text(rows: DataFrame, docs: DataFrame, order: list[str]) -> DataFrame:
+def _texts(asked: DataFrame, docs: DataFrame) -> DataFrame:
+    """asked (doc, ...) with the documents' texts."""
     texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    asked = rows.select(F.col("doc").alias("asked")).distinct()
-    if asked.count() <= FEW:  # a few MB of ids keep other texts from being dealt; more are sought by the join alone
-        texts = texts.join(F.broadcast(asked), F.col("doc_id") == F.col("asked"), "left_semi")
-    found = rows.join(texts, rows["doc"] == texts["doc_id"]).drop("doc_id")
+    ids = asked.select(F.col("doc").alias("asked")).distinct()
+    if ids.count() <= FEW:  # a few MB of ids keep other texts from being dealt; more are sought by the join alone
+        texts = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("asked"), "left_semi")
+    return asked.join(texts, F.col("doc") == F.col("doc_id"))
+
+
+def _with_text(rows: DataFrame, docs: DataFrame, order: list[str]) -> DataFrame:
+    found = _texts(rows, docs).drop("doc_id")
     return found.repartition(common.partitions(docs.sparkSession), "grp", "block").sortWithinPartitions("grp", "block", *order)
 
 
@@ -222,24 +238,37 @@ def _join_blocks(rows: DataFrame, percent: int) -> DataFrame:
     return rows.select("doc", "grp", "block", "role", "known", "text").mapInArrow(run, "a long, b long")
 
 
-def _rest(several: DataFrame, found: DataFrame, left: DataFrame, docs: DataFrame, percent: int, block: int) -> DataFrame | None:
-    """Links between documents of different components (found) that share a prefix element, in groups of several blocks.
+def _refined(labels: DataFrame, docs: DataFrame, percent: int, block: int) -> tuple[DataFrame, DataFrame | None]:
+    """Candidate groups of more than a block, told apart once more; and copies found on the way.
 
-    Such documents meet by that element.  Where it is held by more than a block, those outside the largest component among
-    them meet every block of it."""
-    state = several.join(found, F.col("doc") == F.col("node"), "left").select(F.col("doc").alias("of"), F.coalesce("label", "doc").alias("known"))
-    state = common.written(left.join(state, F.col("doc") == F.col("of")).select("h", "doc", "known"), "state")
-    open_ = state.groupBy("h").agg(F.min("known").alias("low"), F.max("known").alias("high"), F.count(F.lit(1)).alias("k")).where("low < high")
-    open_ = common.written(open_.select(common.skew_key("h").alias("open"), F.ceil(F.col("k") / block).cast("int").alias("blocks")), "open")
-    rows = state.join(open_, F.col("h").cast("string") == F.col("open"))
-    rows = common.written(rows.select("doc", F.col("h").alias("grp"), "known", "blocks", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block")), "rest")
-    if rows.isEmpty():
-        return None
-    counts = rows.where("blocks > 1").groupBy("grp", "known").agg(F.count(F.lit(1)).alias("k"))
+    Linked sets share a prefix element in any common order, so also in one by other hashes and by the counts within a group.
+    What hung together by common passages mostly falls apart."""
+    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > block)
+    sizes = common.written(sizes.select(common.skew_key("label").alias("large")), "large")
+    if sizes.isEmpty():
+        return labels, None
+    large = F.col("label").cast("string") == F.col("large")
+    asked = common.written(labels.join(sizes, large).select(F.col("node").alias("doc"), F.col("label").alias("grp")), "asked")
+    profiles = common.written(profile(_texts(asked, docs).select("doc_id", "text", "grp"), percent), "profiles")
+    again = components(candidate_edges(common.written(prefixes(profiles), "prefixes")))
+    copies = profiles.where("copy_of IS NOT NULL").select(F.col("doc").alias("a"), F.col("copy_of").alias("b"))
+    return labels.join(sizes, large, "left_anti").unionByName(again), copies
+
+
+def _rest(several: DataFrame, found: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None:
+    """Links between the documents outside the largest component (of found) of a group of several blocks and all others of it."""
+    state = several.join(found, F.col("doc") == F.col("node"), "left").select("doc", "grp", "blocks", "block", F.coalesce("label", "doc").alias("known"))
+    state = common.written(state, "state")
+    counts = state.groupBy("grp", "known").agg(F.count(F.lit(1)).alias("k"))
     main = counts.groupBy("grp").agg(F.max(F.struct("k", "known")).alias("m")).select(common.skew_key("grp").alias("of"), F.col("m.known").alias("main"))
-    asked = rows.where("blocks > 1").join(main, F.col("grp").cast("string") == F.col("of")).where("known <> main")
-    asked = asked.select("doc", "grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "known")
-    base = rows.select("doc", "grp", "block", F.lit(0).alias("role"), "known")
+    rest = state.join(main, F.col("grp").cast("string") == F.col("of")).where("known <> main")
+    rest = common.written(rest.select("doc", "grp", "blocks", "known"), "rest")
+    if rest.isEmpty():
+        return None
+    asked = rest.select("doc", "grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "known")
+    open_ = rest.select(F.col("grp").alias("open")).distinct()
+    base = state.join(open_.select(common.skew_key("open").alias("open")), F.col("grp").cast("string") == F.col("open"), "left_semi")
+    base = base.select("doc", "grp", "block", F.lit(0).alias("role"), "known")
     return common.written(_join_blocks(_with_text(base.unionByName(asked), docs, ["role", "doc"]), percent), "links")
 
 
@@ -249,14 +278,15 @@ def near_components(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK)
     docs = docs.select("doc_id", "text")
     profiles = common.written(profile(docs, percent), "profiles")
     copies = profiles.where("copy_of IS NOT NULL").select(F.col("doc").alias("a"), F.col("copy_of").alias("b"))
-    left = common.written(prefixes(profiles), "prefixes")
-    candidates = components(candidate_edges(left))
+    candidates = components(candidate_edges(common.written(prefixes(profiles), "prefixes")))
+    candidates, more = _refined(candidates, docs, percent, block)
+    copies = copies if more is None else copies.unionByName(more)
     rows, members = _blocks(candidates, block)
     nothing = F.lit(None).cast("long")
     links = common.written(_join_blocks(_with_text(rows.withColumn("known", nothing), docs, ["doc"]), percent), "links")
     several = members.where("blocks > 1")
     if not several.isEmpty():
-        more = _rest(several, components(links), left, docs, percent, block)
+        more = _rest(several, components(links), docs, percent)
         links = links if more is None else links.unionByName(more)
     return profiles, components(links.unionByName(copies))
 

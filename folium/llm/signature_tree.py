@@ -46,10 +46,10 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 class Node:
-    __slots__ = ("low", "high", "bits", "most", "kids", "items", "counts")
+    __slots__ = ("low", "high", "bits", "most", "kids", "items")
 
-    def __init__(self, low, high, bits, most, kids=None, items=None, counts=None):
-        self.low, self.high, self.bits, self.most, self.kids, self.items, self.counts = low, high, bits, most, kids, items, counts
+    def __init__(self, low, high, bits, most, kids=None, items=None):
+        self.low, self.high, self.bits, self.most, self.kids, self.items = low, high, bits, most, kids, items
 
 
 def width_for(sets: list[np.ndarray]) -> int:
@@ -58,6 +58,13 @@ def width_for(sets: list[np.ndarray]) -> int:
     return 1 << min(15, max(8, int(4 * largest - 1).bit_length()))
 
 
+def _counts(sets: list[np.ndarray], items: list[int], width: int) -> np.ndarray:
+    counts = np.zeros((len(items), width), np.float32)
+    for row, i in enumerate(items):
+        counts[row] = np.bincount((sets[i] % width).astype(np.int64), minlength=width)
+    return counts
+
+
 def build(sets: list[np.ndarray], items: list[int], width: int) -> Node | None:
     """The tree of the given items of sets; empty sets are left out."""
     items = sorted((i for i in items if len(sets[i])), key=lambda i: (int(sets[i][0]), len(sets[i])))
@@ -66,12 +73,10 @@ def build(sets: list[np.ndarray], items: list[int], width: int) -> Node | None:
     nodes = []
     for at in range(0, len(items), LEAF):
         own = items[at : at + LEAF]
-        counts = np.zeros((len(own), width), np.float32)
-        for row, i in enumerate(own):
-            counts[row] = np.bincount((sets[i] % width).astype(np.int64), minlength=width)
+        counts = _counts(sets, own, width)
         sizes = [len(sets[i]) for i in own]
         most = counts.max(axis=0)
-        nodes.append(Node(min(sizes), max(sizes), (most > 0).astype(np.float32), most, items=own, counts=counts))
+        nodes.append(Node(min(sizes), max(sizes), (most > 0).astype(np.float32), most, items=own))
     while len(nodes) > 1:
         packed = []
         for at in range(0, len(nodes), FAN):
@@ -121,7 +126,8 @@ def _leaves(sets, x: Node, y: Node, groups: Groups, percent: int) -> None:
         return
     bound = None
     if len(open_pairs) > 8:
-        bound = np.minimum(x.counts @ (y.counts > 0).astype(np.float32).T, ((x.counts > 0).astype(np.float32) @ y.counts.T))
+        a, b = (_counts(sets, n.items, len(n.bits)) for n in (x, y))
+        bound = np.minimum(a @ (b > 0).astype(np.float32).T, (a > 0).astype(np.float32) @ b.T)
     for i, j in open_pairs:
         p, q = x.items[i], y.items[j]
         if groups.find(p) == groups.find(q) or bound is not None and bound[i, j] < _need(len(sets[p]), len(sets[q]), percent):
