@@ -102,5 +102,5 @@ def parse_lines(contents: DataFrame) -> DataFrame:
     lines = contents.select("doc_id", F.posexplode(F.split("toc_content", "\n")).alias("pos", "line"))
     pattern = r"^\s*(\d+(?:\.\d+)*)?\.?\s*(.*?)[:.\s]*(\d+)?\s*$"
     got = lambda k: F.nullif(F.regexp_extract("line", pattern, k), F.lit(""))
-    rows = lines.select("doc_id", "pos", got(1).alias("structure"), got(2).alias("title"), got(3).try_cast("int").alias("page")).where("title IS NOT NULL")
+    rows = lines.select("doc_id", "pos", got(1).alias("structure"), got(2).alias("title"), got(3).try_cast("int").alias("page")).where("title IS NOT NULL AND lower(title) NOT IN ('contents', 'table of contents')")
     return rows.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")).alias("item_no"), "structure", "title", "page")

@@ -75,15 +75,15 @@ def http(providers: list[Provider], tries: int = 3, wait: float = 1.0, timeout:
     tried again after a wait; at the end content is null and the reason "error"."""
 
     def run(asked: DataFrame) -> DataFrame:
-        import pandas as pd
+        import pyarrow as pa
 
-        def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
             at = TaskContext.get().partitionId()
             for batch in batches:
                 out = []
-                for prompt in batch["prompt"]:
+                for prompt in batch.column(1).to_pylist():
                     content, reason, failed, busy = None, "error", 0, 0
                     while failed < tries and busy < len(providers):
                         try:
@@ -100,8 +100,8 @@ def http(providers: list[Provider], tries: int = 3, wait: float = 1.0, timeout:
                         time.sleep(wait)
                     at += 1
                     out.append((content, reason))
-                yield pd.DataFrame({"prompt_hash": batch["prompt_hash"], "content": [c for c, _ in out], "finish_reason": [r for _, r in out]})
+                yield pa.RecordBatch.from_pydict({"prompt_hash": batch.column(0), "content": pa.array([c for c, _ in out], pa.string()), "finish_reason": pa.array([r for _, r in out], pa.string())})
 
-        return asked.select("prompt_hash", "prompt").mapInPandas(ask, COMPLETION)
+        return asked.select("prompt_hash", "prompt").mapInArrow(ask, COMPLETION)
 
     return run

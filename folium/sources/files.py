@@ -30,7 +30,7 @@ def _named(files: DataFrame) -> DataFrame:
 
 def markdown_files(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, doc_name, text): each Markdown file as one text; doc_id is a hash of its path."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     rows = rows.select(F.input_file_name().alias("path"), F.col("value").alias("text")).where(accepted(F.col("path"), MARKDOWN))
     return _named(rows).select(F.xxhash64("path").alias("doc_id"), "doc_name", "text")
 
@@ -38,23 +38,24 @@ def markdown_files(spark: SparkSession, path: str) -> DataFrame:
 def pdf_pages(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, doc_name, page_no, text, token_count) of the pages of PDF files: the text that content streams show, plain or
     deflated, with one-byte fonts.  Files that can't be read have no pages."""
-    import pandas as pd
+    import pyarrow as pa
 
     files = _named(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(accepted(F.col("path"), PDF)))
 
-    def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, name, content in batch.itertuples(index=False):
-                texts = pdf_texts(bytes(content))
-                yield pd.DataFrame({"doc_id": [doc_id] * len(texts), "doc_name": [name] * len(texts), "page_no": range(1, len(texts) + 1), "text": texts})
+            for doc_id, name, content in zip(*[c.to_pylist() for c in batch.columns]):
+                texts = pdf_texts(content)
+                n = len(texts)
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc_id] * n, pa.int64()), "doc_name": pa.array([name] * n, pa.string()), "page_no": pa.array(range(1, n + 1), pa.int32()), "text": pa.array(texts, pa.string())})
 
-    rows = files.select(F.xxhash64("path").alias("doc_id"), "doc_name", "content").mapInPandas(pages, "doc_id long, doc_name string, page_no int, text string")
+    rows = files.select(F.xxhash64("path").alias("doc_id"), "doc_name", "content").mapInArrow(pages, "doc_id long, doc_name string, page_no int, text string")
     return rows.withColumn("token_count", X.token_count(F.col("text")))
 
 
 _OBJECT = re.compile(rb"(?:^|[\r\n ])(\d+)\s+\d+\s+obj\b(.*?)\bendobj", re.DOTALL)
 _STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.DOTALL)
-_SHOWN = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|\b(?:Tj|TJ|T\*|Td|TD|Tm|ET)\b|'|\"|-?\d+(?:\.\d+)?")
+_SHOWN = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|T\*|\b(?:Tj|TJ|Td|TD|Tm|ET)\b|'|\"|-?\d+(?:\.\d+)?")
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 
 
