@@ -102,3 +102,11 @@ def nested_json(rows: DataFrame, fields: list[str]) -> DataFrame:
 
 def without_text(rows: DataFrame) -> DataFrame:
     return rows.drop("text")
+
+
+def without_repeated_head(items: DataFrame, titles: DataFrame) -> DataFrame:
+    """Items without a document's first one where it has the title (stripped) that titles (doc_id, title) give the document."""
+    first = items.groupBy("doc_id").agg(F.min("item_no").alias("first"))
+    rows = items.join(first, "doc_id").join(titles.select("doc_id", X.strip(F.col("title")).alias("parent_title")), "doc_id", "left")
+    repeated = (F.col("item_no") == F.col("first")) & (X.strip(F.col("title")) == F.col("parent_title"))
+    return rows.where(~F.coalesce(repeated, F.lit(False))).select(*items.columns)

@@ -82,3 +82,13 @@ def repaired(items: DataFrame, pages: DataFrame, page_counts: DataFrame, rounds:
             break
         items = apply_fixes(items, found)
     return items
+
+
+def sampled(items: DataFrame, n: int | None, seed: int = 7) -> DataFrame:
+    """n items of each document for a check, by a seeded hash; all of them if n is null."""
+    if n is None:
+        return items
+    from pyspark.sql import Window
+
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("doc_id", "item_no", F.lit(seed))))
+    return items.withColumn("drawn", order).where(F.col("drawn") <= n).drop("drawn")

@@ -181,6 +181,9 @@ def oracle_sql() -> dict[str, str]:
         "section_text": q(_SECTIONS, "SELECT s.doc_id, item_no, string_agg(p.text, '' ORDER BY page_no) AS text FROM section_index s JOIN doc_pages p ON p.doc_id = s.doc_id AND p.page_no BETWEEN start_index AND end_index GROUP BY s.doc_id, item_no"),
         "section_tokens": q(_SECTIONS, "SELECT doc_id, item_no, start_index, end_index, tokens FROM sec_tokens"),
         "large_nodes": q(_SECTIONS, "SELECT doc_id, item_no, tokens FROM sec_tokens WHERE end_index - start_index > 1 AND tokens >= 60"),
+        "head_removal": q(_ITEMS, """, first AS (SELECT doc_id, min(item_no) AS item_no FROM toc_items GROUP BY doc_id)
+            SELECT t.doc_id, t.item_no, t.title FROM toc_items t JOIN first f ON f.doc_id = t.doc_id LEFT JOIN doc_pages p ON p.doc_id = t.doc_id AND p.page_no = 1
+            WHERE NOT (t.item_no = f.item_no AND trim(t.title) = trim(substring(p.text, 1, 40)))""").replace(")\n, first", "),\n first"),
         "outline_text": q(_SECTIONS, "SELECT doc_id, string_agg(repeat('  ', depth) || '- ' || title || ' (pages ' || start_index || '-' || end_index || ')' || chr(10), '' ORDER BY seq) AS outline FROM section_index GROUP BY doc_id"),
         "doc_description": q(_SECTIONS, "SELECT doc_id, string_agg(title, '; ' ORDER BY seq) AS doc_description FROM section_index WHERE depth = 0 GROUP BY doc_id"),
         "html_outline": "SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h1, CAST(len(string_split(html, '<p>')) - 1 AS INT) AS n_p FROM pages",
@@ -207,5 +210,8 @@ def oracle_sql() -> dict[str, str]:
         "stream_usage": f"WITH {_USAGE} SELECT client, event_id, uses FROM used",
         "job_latest_status": q(_EVENTS, "SELECT job_id, arg_max(status, (ts, event_id)) AS status, count(*) AS events FROM job_events GROUP BY job_id"),
         "job_event_order": q(_EVENTS, "SELECT job_id, event_id, CAST(row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) AS INT) AS place, status FROM job_events"),
+        "job_sessions": q(_EVENTS, """, marked AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY job_id ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS opens FROM job_events),
+            numbered AS (SELECT *, sum(opens) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS g FROM marked)
+            SELECT job_id, epoch_us(min(ts)) AS started, epoch_us(max(ts)) AS last, count(*) AS events FROM numbered GROUP BY job_id, g""").replace(")\n, marked", "),\n marked"),
         "stream_progress": q(_EVENTS, "SELECT job_id, count(*) AS events, arg_max(status, (ts, event_id)) AS status FROM job_events GROUP BY job_id"),
     }

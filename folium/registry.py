@@ -288,6 +288,13 @@ def large_nodes(s, d):
     return I.large(_sections(s, d), FX.doc_pages(s, d), 1, 60).select("doc_id", "item_no", "tokens")
 
 
+@query
+def head_removal(s, d):
+    items = FX.toc_items(s, d).select("doc_id", "item_no", "title")
+    titles = FX.doc_pages(s, d).where("page_no = 1").select("doc_id", F.substring("text", 1, 40).alias("title"))
+    return tree.without_repeated_head(items, titles)
+
+
 @query
 def outline_text(s, d):
     return tree.outline(_sections(s, d))
@@ -462,6 +469,11 @@ def job_event_order(s, d):
     return jobs.ordered_events(FX.job_events(s, d))
 
 
+@query
+def job_sessions(s, d):
+    return jobs.sessions(FX.job_events(s, d), "1 hour").select("job_id", F.unix_micros("started").alias("started"), F.unix_micros("last").alias("last"), "events")
+
+
 def _checkpoint(s: SparkSession) -> str:
     return f"{lineage.shared_dir(s)}/stream-{uuid.uuid4().hex}"
 

@@ -38,9 +38,14 @@ def markdown_files(spark: SparkSession, path: str) -> DataFrame:
 def pdf_pages(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, doc_name, page_no, text, token_count) of the pages of PDF files: the text that content streams show, plain or
     deflated, with one-byte fonts.  Files that can't be read have no pages."""
+    return pages_of(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path))
+
+
+def pages_of(files: DataFrame) -> DataFrame:
+    """The pages of the PDF files among files (path, content)."""
     import pyarrow as pa
 
-    files = _named(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(accepted(F.col("path"), PDF)))
+    files = _named(files.where(accepted(F.col("path"), PDF)))
 
     def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

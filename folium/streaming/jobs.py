@@ -36,6 +36,35 @@ def remaining(used: DataFrame, limit: int = LIMIT) -> DataFrame:
     return used.select("client", "event_id", F.greatest(F.lit(0), F.lit(limit) - F.col("uses")).alias("remaining"), (F.col("uses") <= limit).alias("allowed"))
 
 
+def sessions(events: DataFrame, gap: str = "60 seconds") -> DataFrame:
+    """(job_id, started, last, events): runs of a job's events without a pause as long as the gap; what a listener that gives up
+    after the gap would see in one go."""
+    window = F.session_window("ts", gap)
+    rows = events.groupBy("job_id", window.alias("w")).agg(F.count(F.lit(1)).alias("events"), F.min("ts").alias("started"), F.max("ts").alias("last"))
+    return rows.select("job_id", "started", "last", "events")
+
+
+def ingest(spark: SparkSession, inbox: str, kept, checkpoint: str, free_pages: int | None = 50) -> DataFrame:
+    """Indexes the PDF files of an inbox as they come: each micro-batch is a set of jobs, and what is in the store stays as it is.
+    Works through what is there now and gives (doc_key, status, error) of all batches."""
+    from ..functions import text as X
+    from ..plans import service
+    from ..sources import files
+
+    schema = spark.read.format("binaryFile").load(inbox).schema
+    stream = spark.readStream.format("binaryFile").schema(schema).load(inbox)
+    out = f"{checkpoint}/statuses"
+
+    def batch(rows: DataFrame, number: int) -> None:
+        pages = files.pages_of(rows)
+        uploads = rows.select(X.doc_key(F.element_at(F.split("path", "/"), -1)).alias("doc_key"), F.xxhash64("path").alias("doc_id"))
+        service.index_jobs(uploads, pages.drop("doc_name"), kept, free_pages).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{checkpoint}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(out).drop("batch")
+
+
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
     """A stream of a table's files; time stamps get the session's time zone, as watermarks ask for."""
     # A pattern, so that the path may be one file as well as a folder.
