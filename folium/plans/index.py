@@ -42,6 +42,13 @@ def heading_items(pages: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.row_number().over(order).alias("item_no"), F.row_number().over(order).cast("string").alias("structure"), "title", F.col("page_no").alias("physical_index"))
 
 
+def whole_documents(pages: DataFrame) -> DataFrame:
+    """One item for each document, titled by the first terms of its first page that has text."""
+    first = pages.where(F.length(X.strip(F.col("text"))) > 0).groupBy("doc_id").agg(F.min_by("text", "page_no").alias("text"))
+    terms = F.slice(F.filter(F.split("text", r"\s+"), lambda w: w != ""), 1, 12)
+    return first.select("doc_id", F.lit(1).alias("item_no"), F.lit("1").alias("structure"), F.array_join(terms, " ").alias("title"), F.lit(1).alias("physical_index"))
+
+
 def detected(pages: DataFrame, limit: int) -> DataFrame:
     """(doc_id, page_no, toc_detected): a page of which three lines or more end in a number behind a title, or one says "contents"."""
     lines = F.split("text", "\n")
@@ -83,6 +90,7 @@ def settled(pages: DataFrame, limit: int = 20, threshold: float = verify.THRESHO
     for way in (contents_items, contents_without_pages, None):
         if way is None:
             items = heading_items(open_pages)
+            items = items.unionByName(whole_documents(open_pages.join(items.select("doc_id").distinct(), "doc_id", "left_anti")))
             return items if done is None else done.unionByName(items)
         items = cut(verify.with_index(verify.truncated(way(open_pages, limit), counts)), "items")
         found = verify.decisions(verify.accuracy(verify.checked(items, open_pages), counts), threshold).where("decision <> 'fall back'")
