@@ -52,36 +52,43 @@ class Node:
         self.low, self.high, self.bits, self.most, self.kids, self.items = low, high, bits, most, kids, items
 
 
-def width_for(sets: list[np.ndarray]) -> int:
-    """Bits of a bitmap: at least four for each element of the largest set, up to 2**15."""
-    largest = max(map(len, sets), default=1)
-    return 1 << min(15, max(8, int(4 * largest - 1).bit_length()))
+def _width(size: int) -> int:
+    """Bits of a bitmap for sets up to a size: at least four for each element, up to 2**15."""
+    return 1 << min(15, max(8, int(4 * size - 1).bit_length()))
 
 
 def _counts(sets: list[np.ndarray], items: list[int], width: int) -> np.ndarray:
     counts = np.zeros((len(items), width), np.float32)
     for row, i in enumerate(items):
-        counts[row] = np.bincount((sets[i] % width).astype(np.int64), minlength=width)
+        counts[row] = np.bincount(sets[i] & (width - 1), minlength=width)
     return counts
 
 
-def build(sets: list[np.ndarray], items: list[int], width: int) -> Node | None:
-    """The tree of the given items of sets; empty sets are left out."""
-    items = sorted((i for i in items if len(sets[i])), key=lambda i: (int(sets[i][0]), len(sets[i])))
+def _folded(most: np.ndarray, width: int) -> np.ndarray:
+    """Counts for a smaller width: bits that fall together add up, which no set of the node can exceed."""
+    return most if len(most) == width else most.reshape(-1, width).sum(axis=0)
+
+
+def build(sets: list[np.ndarray], items: list[int]) -> Node | None:
+    """The tree of the given items of sets; empty sets are left out.  Sets stand by bands of size, then by their smallest
+    element, and a node's bitmap is as wide as its sets need."""
+    band = lambda i: int(np.log(len(sets[i])) / np.log(4 / 3))
+    items = sorted((i for i in items if len(sets[i])), key=lambda i: (band(i), int(sets[i][0]), len(sets[i])))
     if not items:
         return None
-    nodes = []
-    for at in range(0, len(items), LEAF):
-        own = items[at : at + LEAF]
-        counts = _counts(sets, own, width)
+    nodes, at = [], 0
+    while at < len(items):
+        own = [i for i in items[at : at + LEAF] if band(i) == band(items[at])]
+        at += len(own)
         sizes = [len(sets[i]) for i in own]
-        most = counts.max(axis=0)
+        most = _counts(sets, own, _width(max(sizes))).max(axis=0)
         nodes.append(Node(min(sizes), max(sizes), (most > 0).astype(np.float32), most, items=own))
     while len(nodes) > 1:
         packed = []
         for at in range(0, len(nodes), FAN):
             kids = nodes[at : at + FAN]
-            most = np.maximum.reduce([k.most for k in kids])
+            width = min(len(k.most) for k in kids)
+            most = np.maximum.reduce([_folded(k.most, width) for k in kids])
             packed.append(Node(min(k.low for k in kids), max(k.high for k in kids), (most > 0).astype(np.float32), most, kids=kids))
         nodes = packed
     return nodes[0]
@@ -98,7 +105,11 @@ def _possible(a: Node, b: Node, percent: int) -> bool:
     if a is b:
         return True
     need = _need(a.low, b.low, percent)
-    return float(a.most @ b.bits) >= need and float(b.most @ a.bits) >= need
+    if len(a.most) == len(b.most):
+        return float(a.most @ b.bits) >= need and float(b.most @ a.bits) >= need
+    width = min(len(a.most), len(b.most))
+    p, q = _folded(a.most, width), _folded(b.most, width)
+    return float(p @ (q > 0)) >= need and float(q @ (p > 0)) >= need
 
 
 def traverse(sets: list[np.ndarray], a: Node | None, b: Node | None, groups: Groups, percent: int) -> None:
@@ -126,7 +137,8 @@ def _leaves(sets, x: Node, y: Node, groups: Groups, percent: int) -> None:
         return
     bound = None
     if len(open_pairs) > 8:
-        a, b = (_counts(sets, n.items, len(n.bits)) for n in (x, y))
+        width = min(len(x.most), len(y.most))
+        a, b = (_counts(sets, n.items, width) for n in (x, y))
         bound = np.minimum(a @ (b > 0).astype(np.float32).T, (a > 0).astype(np.float32) @ b.T)
     for i, j in open_pairs:
         p, q = x.items[i], y.items[j]
@@ -137,10 +149,9 @@ def _leaves(sets, x: Node, y: Node, groups: Groups, percent: int) -> None:
 
 
 def self_join(sets: list[np.ndarray], groups: Groups, percent: int) -> None:
-    tree = build(sets, list(range(len(sets))), width_for(sets))
+    tree = build(sets, list(range(len(sets))))
     traverse(sets, tree, tree, groups, percent)
 
 
 def cross_join(sets: list[np.ndarray], left: list[int], right: list[int], groups: Groups, percent: int) -> None:
-    width = width_for(sets)
-    traverse(sets, build(sets, left, width), build(sets, right, width), groups, percent)
+    traverse(sets, build(sets, left), build(sets, right), groups, percent)
