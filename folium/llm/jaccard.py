@@ -278,16 +278,20 @@ def near_components(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK)
     docs = docs.select("doc_id", "text")
     profiles = common.written(profile(docs, percent), "profiles")
     copies = profiles.where("copy_of IS NOT NULL").select(F.col("doc").alias("a"), F.col("copy_of").alias("b"))
-    candidates = components(candidate_edges(common.written(prefixes(profiles), "prefixes")))
+    left = common.written(prefixes(profiles), "prefixes")
+    common.settled(docs.sparkSession)
+    candidates = components(candidate_edges(left))
     candidates, more = _refined(candidates, docs, percent, block)
     copies = copies if more is None else copies.unionByName(more)
     rows, members = _blocks(candidates, block)
     nothing = F.lit(None).cast("long")
     links = common.written(_join_blocks(_with_text(rows.withColumn("known", nothing), docs, ["doc"]), percent), "links")
+    common.settled(docs.sparkSession)
     several = members.where("blocks > 1")
     if not several.isEmpty():
         more = _rest(several, components(links), docs, percent)
         links = links if more is None else links.unionByName(more)
+    common.settled(docs.sparkSession)
     return profiles, components(links.unionByName(copies))
 
 
