@@ -4,8 +4,9 @@ Base spans (code points, end exclusive) are e-mail addresses, IPv4 addresses, pa
 below.  Their values are the protected entities.  The corpus tells how strongly a term t reveals an entity e: with
 p(e), p(t) and p(e, t) the shares of documents that hold e, hold t, and hold t close to e (within ``NEAR`` terms and
 ``REACH`` code points), the disclosure of e by t is PMI(e; t) / IC(e), where PMI(e; t) = ln p(e, t) / (p(e) p(t)) and
-IC(e) = -ln p(e).  It is 1 if t only ever stands close to e.  A term that stands close to e in at least ``SUPPORT`` documents is
-removed from there if its disclosure reaches ``REMOVE``, and generalised (to the class of its shape) from ``GENERALISE`` on.
+IC(e) = -ln p(e).  A term is removed from there if its disclosure reaches ``REMOVE``, and generalised (to the class of its
+shape) from ``GENERALISE`` on.  Entities and terms of a single document are judged like all others: p(t) is smoothed by one
+document (``SMOOTH``) that holds t without e, so a term that only ever stands close to e comes near 1 the more documents say so.
 
 All documents are counted; a row counts as a document.  What is found is a function of a text and the corpus, so rows are
 matched by the MD5 of their texts.
@@ -32,7 +33,7 @@ from pyspark.sql import types as T
 from . import common
 
 KINDS = ("email", "ip", "card", "phone", "generalised", "removed")
-NEAR, REACH, SUPPORT, GENERALISE, REMOVE = 12, 400, 3, 0.85, 0.95
+NEAR, REACH, SMOOTH, GENERALISE, REMOVE = 12, 400, 1, 0.85, 0.95
 FLUSH = 200_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -163,19 +164,19 @@ def term_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n_t"))
 
 
-def disclosures(docs: DataFrame, found: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def disclosures(docs: DataFrame, found: DataFrame, smooth: int = SMOOTH, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(e, t, kind): terms whose disclosure of an entity reaches the thresholds; kind is a place in KINDS."""
     n = found.count()
     pairs = (found.where("size(contexts) > 0").select(F.explode(F.array_distinct(F.transform("contexts", lambda c: F.struct(c["e"].alias("e"), c["t"].alias("t"))))).alias("x"))
-             .groupBy("x.e", "x.t").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= support))
+             .groupBy("x.e", "x.t").agg(F.count(F.lit(1)).alias("n_et")))
     pairs = common.written(pairs, "pairs")
-    entities = found.select(F.explode("entities").alias("of")).groupBy("of").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= support)
+    entities = found.select(F.explode("entities").alias("of")).groupBy("of").agg(F.count(F.lit(1)).alias("n_e"))
     pairs = pairs.join(entities.select(common.skew_key("of").alias("of"), "n_e"), F.col("e").cast("string") == F.col("of")).drop("of")
     terms = term_counts(docs)
     pairs = pairs.join(terms.select(common.skew_key("t").alias("term"), "n_t"), F.col("t").cast("string") == F.col("term"))
     # A document may hold a term at other places too, so n_et <= n_t.
     ic = F.log(F.lit(float(max(n, 1))) / F.col("n_e"))
-    pmi = F.log(F.col("n_et").cast("double") * n / (F.col("n_e") * F.col("n_t")))
+    pmi = F.log(F.col("n_et").cast("double") * (n + smooth) / (F.col("n_e") * (F.col("n_t") + smooth)))
     share = F.when(ic > 0, pmi / ic)
     kind = F.when(share >= remove, KINDS.index("removed")).when(share >= generalise, KINDS.index("generalised"))
     return pairs.select("e", "t", kind.alias("kind")).where("kind IS NOT NULL")

@@ -124,6 +124,19 @@ def test_disclosing_terms(spark):
     assert "Zyxxy" not in clean[0] and "@" not in clean[0] and "[EMAIL] alpha" in clean[0] and clean[200] == texts[200]
 
 
+def test_entities_of_one_or_two_documents_are_judged(spark):
+    r = random.Random(2)
+    words = ["alpha", "beta", "gamma", "delta"]
+    texts = [" ".join(r.choice(words) for _ in range(30)) for _ in range(300)]
+    texts[0] += " Zyxxy writes from ann@ex.com alpha"
+    texts[1] += " Qwyyq writes from joe@ex.com beta"
+    texts[2] += " Qwyyq writes from joe@ex.com beta"
+    clean = {x.doc_id: x.text for x in pii.sanitise(table(spark, texts)).collect()}
+    assert "Zyxxy" not in clean[0] and "[EMAIL] alpha" in clean[0]
+    assert all("Qwyyq" not in clean[i] and "[EMAIL] beta" in clean[i] for i in (1, 2))
+    assert all(clean[i] == texts[i] for i in range(3, 300))
+
+
 def test_pii_rows(spark, odd):
     got = pii.personal_data(odd)
     assert got.count() == odd.count()
