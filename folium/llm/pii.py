@@ -2,11 +2,12 @@
 
 Base spans (code points, end exclusive) are e-mail addresses, IPv4 addresses, payment cards and phone numbers by the patterns
 below.  Their values are the protected entities.  The corpus tells how strongly a term t reveals an entity e: with
-p(e), p(t) and p(e, t) the shares of documents that hold e, hold t, and hold t close to e (within ``NEAR`` terms and
-``REACH`` code points), the disclosure of e by t is PMI(e; t) / IC(e), where PMI(e; t) = ln p(e, t) / (p(e) p(t)) and
-IC(e) = -ln p(e).  A term is removed from there if its disclosure reaches ``REMOVE``, and generalised (to the class of its
-shape) from ``GENERALISE`` on.  Entities and terms of a single document are judged like all others: p(t) is smoothed by one
-document (``SMOOTH``) that holds t without e, so a term that only ever stands close to e comes near 1 the more documents say so.
+p(e), p(t) and p(e, t) the shares of documents that hold e, hold t, and hold both (t outside of base spans, at any distance),
+the disclosure of e by t is PMI(e; t) / IC(e), where PMI(e; t) = ln p(e, t) / (p(e) p(t)) and IC(e) = -ln p(e).  A term is
+removed if its disclosure of any entity reaches ``REMOVE``, and generalised (to the class of its shape) from ``GENERALISE`` on:
+at each of its places outside of base spans, in documents that don't hold the entity as well.  Entities and terms of a single
+document are judged like all others: p(t) is smoothed by one document (``SMOOTH``) that holds t without e, so a term that only
+ever stands with e comes near 1 the more documents say so.
 
 All documents are counted; a row counts as a document.  What is found is a function of a text and the corpus, so rows are
 matched by the MD5 of their texts.
@@ -33,8 +34,8 @@ from pyspark.sql import types as T
 from . import common
 
 KINDS = ("email", "ip", "card", "phone", "generalised", "removed")
-NEAR, REACH, SMOOTH, GENERALISE, REMOVE = 12, 400, 1, 0.85, 0.95
-FLUSH = 200_000
+SMOOTH, GENERALISE, REMOVE = 1, 0.85, 0.95
+FLUSH, MARKS = 200_000, 25
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -100,31 +101,22 @@ def entity(text: str, kind: int) -> int:
     return _hash(f"{kind}|{value}")
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(entity, term, start, end) of the terms close to each base span and outside of all of them."""
-    found = []
-    spans = sorted(spans)
+def _terms(text: str, spans: list[tuple[int, int, int]], among: frozenset[str] | None = None) -> Iterator[re.Match[str]]:
+    """The terms of a text outside of all spans, only those ``among`` the given ones if there are any given."""
     starts, reach = [a for a, _, _ in spans], list(itertools.accumulate((b for _, _, b in spans), max))
-    for a, kind, b in spans:
-        e = entity(text[a:b], kind)
-        low = max(0, a - REACH)
-        before = [m for m in _TERM.finditer(text, low, a) if m.start() > low or low == 0][-NEAR:]
-        high = min(len(text), b + REACH)
-        after = [m for m in _TERM.finditer(text, b, high) if m.end() < high or high == len(text)][:NEAR]
-        for m in (*before, *after):
+    for m in _TERM.finditer(text):
+        if among is None or m[0] in among:
             k = bisect.bisect_left(starts, m.end())
             if not k or reach[k - 1] <= m.start():
-                found.append((e, _hash(m[0].lower()), m.start(), m.end()))
-    return found
+                yield m
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """The base result of every row of docs (doc_id, text), with its spans, entities and contexts."""
+    """The base result of every row of docs (doc_id, text), with its spans, entities and, where it has any, its other terms."""
     common.prepare(docs.sparkSession)
     kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(),
-             pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])), pa.list_(pa.int64()),
-             pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])))
-    names = ("doc_id", "key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "entities", "contexts")
+             pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])), pa.list_(pa.int64()), pa.list_(pa.int64()))
+    names = ("doc_id", "key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "entities", "terms")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,13 +125,13 @@ def scan(docs: DataFrame) -> DataFrame:
                 text = text or ""
                 spans = base_spans(text)
                 n = Counter(k for _, k, _ in spans)
-                near = contexts(text, spans) if spans else []
+                terms = {_hash(w) for w in {m[0].lower() for m in _terms(text, spans)}} if spans else ()
                 rows.append((doc_id, hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest(), n[0], n[1], n[2], n[3], hashlib.sha256(joined(spans).encode()).hexdigest(),
-                             [dict(start=a, kind=k, end=b) for a, k, b in spans], list({entity(text[a:b], k) for a, k, b in spans}), [dict(e=e, t=t, start=a, end=b) for e, t, a, b in near]))
+                             [dict(start=a, kind=k, end=b) for a, k, b in spans], list({entity(text[a:b], k) for a, k, b in spans}), list(terms)))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], names=names)
 
     schema = ("doc_id long, key string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, "
-              "entities array<long>, contexts array<struct<e:long,t:long,start:int,end:int>>")
+              "entities array<long>, terms array<long>")
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -154,7 +146,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                count.update(set(_TERM.findall((text or "").lower())))
+                count.update({w.lower() for w in set(_TERM.findall(text or ""))})
             if len(count) > FLUSH:
                 yield from packed()
                 count.clear()
@@ -167,14 +159,14 @@ def term_counts(docs: DataFrame) -> DataFrame:
 def disclosures(docs: DataFrame, found: DataFrame, smooth: int = SMOOTH, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(e, t, kind): terms whose disclosure of an entity reaches the thresholds; kind is a place in KINDS."""
     n = found.count()
-    pairs = (found.where("size(contexts) > 0").select(F.explode(F.array_distinct(F.transform("contexts", lambda c: F.struct(c["e"].alias("e"), c["t"].alias("t"))))).alias("x"))
-             .groupBy("x.e", "x.t").agg(F.count(F.lit(1)).alias("n_et")))
+    each = found.where("size(entities) > 0").select(F.explode("entities").alias("e"), "terms").select("e", F.explode("terms").alias("t"))
+    pairs = each.groupBy("e", "t").agg(F.count(F.lit(1)).alias("n_et"))
     pairs = common.written(pairs, "pairs")
     entities = found.select(F.explode("entities").alias("of")).groupBy("of").agg(F.count(F.lit(1)).alias("n_e"))
     pairs = pairs.join(entities.select(common.skew_key("of").alias("of"), "n_e"), F.col("e").cast("string") == F.col("of")).drop("of")
     terms = term_counts(docs)
     pairs = pairs.join(terms.select(common.skew_key("t").alias("term"), "n_t"), F.col("t").cast("string") == F.col("term"))
-    # A document may hold a term at other places too, so n_et <= n_t.
+    # n_t counts terms inside of base spans too, so n_et <= n_t.
     ic = F.log(F.lit(float(max(n, 1))) / F.col("n_e"))
     pmi = F.log(F.col("n_et").cast("double") * (n + smooth) / (F.col("n_e") * (F.col("n_t") + smooth)))
     share = F.when(ic > 0, pmi / ic)
@@ -182,19 +174,49 @@ def disclosures(docs: DataFrame, found: DataFrame, smooth: int = SMOOTH, general
     return pairs.select("e", "t", kind.alias("kind")).where("kind IS NOT NULL")
 
 
-def term_spans(found: DataFrame, disclosed: DataFrame) -> DataFrame:
-    """(key, terms): for each text, by its MD5, the spans of the terms to generalise or remove."""
-    rows = found.where("size(contexts) > 0").select("key", F.explode("contexts").alias("c")).select("key", "c.e", "c.t", "c.start", "c.end").distinct()
-    rows = common.written(rows, "contexts")
-    named = disclosed.select(F.concat_ws("|", "e", "t").alias("pair"), F.col("kind").cast("int").alias("kind"))
-    hit = rows.join(named, F.concat_ws("|", "e", "t") == F.col("pair"))
-    worst = hit.groupBy("key", "start", "end").agg(F.max("kind").alias("kind"))
-    return worst.groupBy("key").agg(F.collect_list(F.struct("start", "kind", "end")).alias("terms"))
+def _marked(terms: DataFrame) -> bytes:
+    """A table of 2^MARKS bits with the low bits of each t set: it never grows, and what it lets through is joined after."""
+    low = F.col("t").bitwiseAND((1 << MARKS) - 1)
+    sets = terms.select(F.shiftright(low, 15).alias("at"), low.bitwiseAND(32767).alias("bit")).groupBy("at").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    bits = bytearray(1 << (MARKS - 3))
+    for row in sets.collect():
+        bits[row["at"] << 12 : (row["at"] + 1) << 12] = row["bits"]
+    return bytes(bits)
+
+
+def term_spans(docs: DataFrame, disclosed: DataFrame) -> DataFrame:
+    """(key, terms): for each text, by its MD5, the spans of the terms to generalise or remove, wherever they stand."""
+    terms = common.written(disclosed.groupBy("t").agg(F.max("kind").cast("int").alias("kind")), "terms")
+    bits = docs.sparkSession.sparkContext.broadcast(_marked(terms))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked, memo = bits.value, {}
+
+        def hit(word: str) -> bool:
+            if word not in memo:
+                low = _hash(word.lower()) & ((1 << MARKS) - 1)
+                memo[word] = bool(marked[low >> 3] >> (low & 7) & 1)
+            return memo[word]
+
+        for batch in batches:
+            rows = []
+            for text in batch.column(0).to_pylist():
+                if words := frozenset(filter(hit, set(_TERM.findall(text or "")))):
+                    key = hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()
+                    rows += [(key, _hash(m[0].lower()), m.start(), m.end()) for m in _terms(text, base_spans(text), words)]
+                if len(memo) > FLUSH:
+                    memo.clear()
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.int64(), pa.int32(), pa.int32()))], names=["key", "t", "start", "end"])
+
+    rows = common.written(docs.select("text").mapInArrow(run, "key string, t long, start int, end int").distinct(), "places")
+    hit = rows.join(terms.select(common.skew_key("t").alias("term"), "kind"), F.col("t").cast("string") == F.col("term"))
+    return hit.groupBy("key").agg(F.collect_list(F.struct("start", "kind", "end")).alias("terms"))
 
 
 def _found(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = common.written(scan(docs), "pii-scan")
-    return found, common.written(term_spans(found, disclosures(docs, found)), "pii-terms")
+    return found, common.written(term_spans(docs, disclosures(docs, found)), "pii-terms")
 
 
 def personal_data(docs: DataFrame) -> DataFrame:

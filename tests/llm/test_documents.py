@@ -137,6 +137,22 @@ def test_entities_of_one_or_two_documents_are_judged(spark):
     assert all(clean[i] == texts[i] for i in range(3, 300))
 
 
+def test_disclosing_terms_at_any_distance(spark):
+    r = random.Random(3)
+    fill = lambda n: " ".join(r.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(n))
+    texts = [fill(30) for _ in range(300)]
+    for i in range(6):
+        texts[i] = f"Zyxxy {fill(200)} ann@ex.com {fill(200)} zyxxy"
+    texts[6] = f"{fill(20)} Zyxxy {fill(20)}"
+    docs = table(spark, texts)
+    clean = {x.doc_id: x.text for x in pii.sanitise(docs).collect()}
+    assert all("zyxxy" not in clean[i].lower() and "[EMAIL]" in clean[i] for i in range(6))
+    assert "zyxxy" not in clean[6].lower() and len(clean[6].split()) in (40, 41)
+    assert all(clean[i] == texts[i] for i in range(7, 300))
+    spans = {x.doc_id: x.spans for x in pii.personal_data(docs).collect()}
+    assert all(spans[i].count("generalised") + spans[i].count("removed") == 2 - (i == 6) for i in range(7)) and spans[7] == ""
+
+
 def test_pii_rows(spark, odd):
     got = pii.personal_data(odd)
     assert got.count() == odd.count()
