@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from folium.llm import bpe, common, jaccard, mixing, pii, toxicity
 from folium.llm.queries import vocabulary
 
-#: The mix takes nine tenths of the tokens, each document at most once.
-MIX_SHARE, MIX_EPOCHS = 0.9, 1
+#: The mix takes nine tenths of the tokens, in as many epochs of a domain as its target weight needs.
+MIX_SHARE, MIX_EPOCHS = 0.9, None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,12 +19,16 @@ side, each counted.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 from .quality import words_of
 
+_log = logging.getLogger(__name__)
+
 LEVELS = ("domain", "lang", "source")
 SEED, MAX_EPOCHS = 20240229, 2
 #: Hex digits of the slices of a leaf's order.
@@ -70,7 +74,7 @@ def _shares(nodes: DataFrame, parent: list[str]) -> DataFrame:
     return nodes.withColumn("share", F.when(F.col("full"), F.col("capacity")).otherwise(F.expr("cast(cast(left as decimal(20,0)) * cast(weight as decimal(18,0)) div sharing as bigint)"))).drop("taken", "weights", "full", "left", "sharing")
 
 
-def budgets(leaves: DataFrame, budget: Column, max_epochs: int = MAX_EPOCHS, weight=weight_of) -> DataFrame:
+def budgets(leaves: DataFrame, budget: Column, max_epochs: int | Column = MAX_EPOCHS, weight=weight_of) -> DataFrame:
     """(domain, lang, source, tokens, share) of the leaves (domain, lang, source, tokens): budget is an expression over their
     total ``all_tokens``.  A row a leaf; nothing here grows with the documents."""
     leaves = leaves.where("tokens > 0").withColumn("capacity", F.col("tokens") * max_epochs)
@@ -86,6 +90,28 @@ def budgets(leaves: DataFrame, budget: Column, max_epochs: int = MAX_EPOCHS, wei
     return leaves.join(shares, list(LEVELS)).select(*LEVELS, "tokens", F.col("budget").alias("share"))
 
 
+def with_epochs(leaves: DataFrame, budget: Column, weight=weight_of) -> DataFrame:
+    """leaves with ``epochs``: as many as their domain needs in order to have its share of the budget by weight."""
+    domains = leaves.where("tokens > 0").groupBy("domain").agg(F.sum("tokens").alias("n")).withColumn("weight", weight("domain", F.col("domain")))
+    top = domains.agg(F.sum("n").alias("all_tokens"), F.sum("weight").alias("weights")).select(F.floor(budget).alias("budget"), "weights")
+    epochs = F.greatest(F.lit(1), F.ceil(F.col("budget") * F.col("weight") / F.col("weights") / F.col("n"))).cast("long")
+    return leaves.join(domains.crossJoin(F.broadcast(top)).select("domain", epochs.alias("epochs")), "domain")
+
+
+def achieved(leaves: DataFrame, shares: DataFrame, weight=weight_of) -> DataFrame:
+    """(domain, lang, source, target, achieved): the share of all tokens that weights ask for at each leaf, and that of its budget."""
+    nodes, target = leaves.where("tokens > 0").select(*LEVELS), F.lit(1.0)
+    for depth, level in enumerate(LEVELS):
+        parent = list(LEVELS[:depth])
+        siblings = nodes.select(*parent, level).distinct().withColumn("w", weight(level, F.col(level)))
+        of = Window.partitionBy(*parent or [F.lit(0)])
+        siblings = siblings.select(*parent, level, (F.col("w") / F.sum("w").over(of)).alias(f"{level}_share"))
+        nodes, target = nodes.join(siblings, [*parent, level]), target * F.col(f"{level}_share")
+    total = shares.agg(F.sum("share").alias("all_shares"))
+    nodes = nodes.select(*LEVELS, target.alias("target")).join(shares.select(*LEVELS, "share"), list(LEVELS)).crossJoin(F.broadcast(total))
+    return nodes.select(*LEVELS, "target", (F.col("share") / F.col("all_shares")).alias("achieved"))
+
+
 def _order(epoch: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), epoch.cast("string"), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
 
@@ -117,10 +143,15 @@ def selection(rows: DataFrame, shares: DataFrame, seed: int = SEED) -> DataFrame
     return found.select(*rows.columns, F.explode(epochs).alias("epoch")).unionByName(ends.select(*rows.columns, F.col("whole").alias("epoch")))
 
 
-def mixed(docs: DataFrame, budget: Column, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """The rows of docs that a mix selects, once an epoch, with the columns of docs."""
+def mixed(docs: DataFrame, budget: Column, max_epochs: int | None = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+    """The rows of docs that a mix selects, once an epoch, with the columns of docs.  Without ``max_epochs``, each
+    domain has as many as its weight needs, and the shares that domains get are logged with their targets."""
     narrow = common.written(leaf_rows(docs), "mix-rows")
-    shares = budgets(narrow.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), budget, max_epochs)
+    leaves = common.written(narrow.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), "mix-leaves")
+    shares = common.written(budgets(leaves, budget, max_epochs) if max_epochs else budgets(with_epochs(leaves, budget), budget, F.col("epochs")), "mix-shares")
+    if max_epochs is None:
+        for x in achieved(leaves, shares).groupBy("domain").agg(F.sum("target").alias("target"), F.sum("achieved").alias("achieved")).orderBy("domain").collect():
+            _log.info("mix: domain %s has %.4f of the tokens, target %.4f", x.domain, x.achieved or 0, x.target)
     return selection(leaf_rows(docs, F.struct(*docs.columns).alias("row")), shares, seed).select("row.*")
 
 

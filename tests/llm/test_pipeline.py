@@ -1,6 +1,8 @@
 """The pipeline against a plain version of each stage's rule, over small tables."""
 
+import hashlib
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,6 +50,21 @@ def test_stages(spark, tables):
     assert start[0].endswith("bob.smith@ex.com")
 
 
+def test_mix_meets_the_weights_of_a_skewed_corpus(spark, tables, caplog):
+    caplog.set_level("INFO", logger="folium.llm.mixing")
+    names = {}
+    for i in range(200):
+        names.setdefault(int(hashlib.md5(f"s{i}".encode()).hexdigest()[0], 16) % 4, f"s{i}")
+    sizes = {0: 20, 1: 60, 2: 800, 3: 120}
+    rows = [(f"{d}-{i}", "w " * 20, "en", names[d]) for d, n in sizes.items() for i in range(n)]
+    docs = spark.createDataFrame([(k, *x[1:], x[0]) for k, x in enumerate(rows)], "doc_id long, text string, lang string, source string, name string")
+    got = corpus_pipeline.mix(spark, docs, tables).collect()
+    share = [sum(x.source == names[d] for x in got) / len(got) for d in range(4)]
+    assert all(abs(a - b) < 0.01 for a, b in zip(share, (0.4, 0.3, 0.2, 0.1))) and 880 <= len(got) <= 900
+    assert max(Counter(x.doc_id for x in got).values()) == 18
+    assert "domain d0 has 0.4000 of the tokens, target 0.4000" in caplog.text
+
+
 def test_run_and_names(spark, tables):
     got = corpus_pipeline.run(spark, tables)
     assert got.count() > 0 and "input_ids" in got.columns
