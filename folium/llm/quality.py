@@ -81,8 +81,8 @@ def doc_key() -> Column:
     return F.xxhash64(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("source", F.lit("-")), common.text_or_empty())))
 
 
-def depleted(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """(doc, removed): words of each document that stand in lines above the limit."""
+def lines_above(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+    """(doc, line, n): for each document the hashes of its lines above the limit, and the words it has in them."""
     rows = line_rows(docs)
     # Copies of a row within a document add up before anything is shuffled twice.
     rows = common.written(rows.groupBy("source", "line", "doc").agg(F.sum("n").alias("n")), "lines")
@@ -90,8 +90,22 @@ def depleted(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_S
     hosts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("of"))
     above = (counts.join(hosts.select(F.col("source").alias("host"), "of"), F.col("source").eqNullSafe(F.col("host")))
              .where(F.col("docs") > max_share * F.col("of")).select(F.col("source").alias("host"), common.skew_key("line").alias("same")))
-    hit = rows.join(above, (F.col("line").cast("string") == F.col("same")) & F.col("source").eqNullSafe(F.col("host")))
-    return hit.groupBy("doc").agg(F.sum("n").alias("removed"))
+    return rows.join(above, (F.col("line").cast("string") == F.col("same")) & F.col("source").eqNullSafe(F.col("host"))).select("doc", "line", "n")
+
+
+def depleted(docs: DataFrame, **limits) -> DataFrame:
+    """(doc, removed): words of each document that stand in lines above the limit."""
+    return lines_above(docs, **limits).groupBy("doc").agg(F.sum("n").alias("removed"))
+
+
+def without_lines(docs: DataFrame, **limits) -> DataFrame:
+    """docs with the lines above the limit taken out of ``text``; columns and rows stay as they are."""
+    gone = lines_above(docs, **limits).groupBy("doc").agg(F.collect_set("line").alias("lines"))
+    gone = gone.select(common.skew_key("doc").alias("gone"), "lines")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), doc_key().alias("doc")).join(gone, F.col("doc").cast("string") == F.col("gone"), "left")
+    left = F.filter(F.split("row.text", "\n"), lambda x: ~F.array_contains("lines", F.xxhash64(normalised(x))))
+    text = F.when(F.col("lines").isNull(), F.col("row.text")).otherwise(F.array_join(left, "\n"))
+    return rows.select(*[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def verdicts(docs: DataFrame, min_left: float = MIN_LEFT, **limits) -> DataFrame:

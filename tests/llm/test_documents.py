@@ -290,6 +290,16 @@ def test_quality(spark, odd):
     assert quality.verdicts(odd.limit(0)).count() == 0
 
 
+def test_lines_above_the_limit_leave_the_texts(spark, odd):
+    common_lines = ["All  rights reserved", "\tSubscribe TO our letter "]
+    texts = [f"own {i} first\n{common_lines[0]}\n\n{common_lines[1]}\nown {i} last" for i in range(30)] + ["All rights\nleft alone", None]
+    docs = table(spark, texts).withColumn("source", F.lit("h"))
+    got = quality.without_lines(docs)
+    assert got.columns == docs.columns
+    assert {x.doc_id: x.text for x in got.collect()} == {i: f"own {i} first\n\nown {i} last" for i in range(30)} | {30: texts[30], 31: None}
+    assert rows(quality.without_lines(odd), "doc_id", "text") == rows(odd, "doc_id", "text")
+
+
 def test_mixing(spark, odd):
     r = random.Random(9)
     docs = spark.createDataFrame([(i, "w " * r.randint(0, 40), r.choice(["en", "fr", "de"]), f"s{r.randint(0, 9)}", "x") for i in range(500)], "doc_id long, text string, lang string, source string, row string")
