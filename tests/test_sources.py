@@ -141,3 +141,15 @@ def test_plans_have_no_python(spark, tmp_path):
     for name in ("section_index", "page_groups", "md_thinning", "fix_incorrect", "rag_context", "usage_ttl"):
         plan = registry.queries()[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan, name
+
+
+def test_every_model_of_the_catalogue_has_its_url(spark):
+    hosts = {"api.groq.com": 4, "generativelanguage.googleapis.com": 2, "api.cerebras.ai": 1, "api.mistral.ai": 2}
+    asked = catalog.models(spark).select(F.col("id").alias("model")).union(spark.createDataFrame([("unknown",), (None,)], "model string"))
+    got = {x.model: x.url.split("/")[2] for x in catalog.with_url(asked).collect()}
+    assert {h: list(got.values()).count(h) for h in hosts} == hosts
+    assert {got[m] for m in ("gpt-4o", "gpt-4o-mini", "gpt-4-turbo")} == {"api.openai.com"}
+    assert {got[m] for m in ("qwen2.5:3b", "llama3.2", "mistral", "unknown", None)} == {"localhost:11434"}
+    own = spark.createDataFrame([("mine", "http://own/v1")], "id string, url string")
+    asked = spark.createDataFrame([("mine",), ("gpt-4o",)], "model string")
+    assert {x.model: x.url for x in catalog.with_url(asked, catalogue=own).collect()} == {"mine": "http://own/v1", "gpt-4o": catalog.LOCAL_URL}
