@@ -153,3 +153,11 @@ def test_every_model_of_the_catalogue_has_its_url(spark):
     own = spark.createDataFrame([("mine", "http://own/v1")], "id string, url string")
     asked = spark.createDataFrame([("mine",), ("gpt-4o",)], "model string")
     assert {x.model: x.url for x in catalog.with_url(asked, catalogue=own).collect()} == {"mine": "http://own/v1", "gpt-4o": catalog.LOCAL_URL}
+
+
+def test_arrays_are_read_from_every_reply(spark, monkeypatch):
+    array = '[{"structure": "1", "title": "A", "physical_index": "<physical_index_3>"}]'
+    replies = [(0, f"```json\n{array}\n```"), (1, array), (2, '{"structure": "1"}'), (3, "Error"), (4, None)]
+    monkeypatch.setattr(registry.FX, "replies", lambda s, d: spark.createDataFrame(replies, "item_id long, reply string"))
+    got = registry.queries()["json_array_rows"](spark, "")
+    assert sorted(map(tuple, got.collect())) == [(0, "1", "A", 3), (1, "1", "A", 3)]
