@@ -2,15 +2,20 @@
 
 A page is cut into blocks.  Markup puts a block inside an article (``article``, ``main``), inside a declared region of
 another kind (menus, headers, footers, sidebars, notices, adverts, forms, comments: by element, role, class and id), or leaves it
-open.  The article is the main text where there is one; it is never cut, because passages that pages share are content there.
-Where markup declares no article, the open blocks are judged by what the pages of a host repeat:
-
-* the tokens outside articles of all pages of a host are concatenated, page by page, and their suffixes sorted by prefix
-  doubling up to ``RUN`` tokens (what is equal to that depth is a repeated run of that length or more);
-* stretches of input are sorted apart, and the groups of equal suffixes meet by host and prefix hash with the smallest and
-  the largest page that has them, so a run counts as repeated wherever its pages are, and no host is gathered in one task;
-* tokens that a run repeated on distinct pages covers are removed, unique runs stay.  Pages whose streams are equal count as
-  one page.  A page that would lose nine tenths or more repeats another page and stays as it is.
+open.  The blocks of the article are the main text where there is one, the open blocks where there is none.  What the pages of a
+host repeat judges both, with what markup says as a prior:
+
+* the streams of all pages of a host (tokens of article blocks apart from those outside) are concatenated, and their suffixes
+  sorted by prefix doubling up to ``RUN`` tokens (what is equal to that depth is a repeated run of that length or more);
+* stretches of input are sorted apart, and the groups of equal suffixes meet by host and prefix hash, so runs are told
+  wherever their pages are, and no host is gathered in one task;
+* open tokens that a run outside articles covers are removed if two distinct pages have it.  Passages that articles share are
+  often content, so a token in an article is removed only if runs that cover it stand in more than half of the host's articles
+  that are no copies of each other, and in ``COMMON`` of them at least; an article that would lose all it has stays.
+  A run in more than half of all articles is in more than half of those of some stretch, so only such runs are
+  counted, exactly, in a second pass;
+* pages whose streams are equal count as one page.  A page without an article that would lose nine tenths or more repeats
+  another page and stays as it is.
 
 Blocks end at block elements and ``br``.  Character references are decoded, white space in a block becomes one space, blocks are
 joined by a line feed.
@@ -35,8 +40,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Tokens of a run (a power of two), share of a page from which it counts as a repetition as a whole, tokens sorted at once.
-RUN, WHOLE, STRETCH = 8, 0.9, 1 << 20
+#: Tokens of a run (a power of two), share of a page from which it counts as a repetition as a whole, tokens sorted at once,
+#: articles from which a run in them can be boilerplate.
+RUN, WHOLE, STRETCH, COMMON = 8, 0.9, 1 << 20, 5
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
@@ -280,6 +286,82 @@ def repeated_runs(parsed: DataFrame) -> DataFrame:
     return groups.groupBy("host", "prefix").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("host", "prefix")
 
 
+def common_runs(articles: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(host, prefix) of the runs that more than half of a host's distinct articles have, and COMMON of them at least.
+
+    articles (host, key, text) have each text of a host once (rows of one key are equal and count once), sizes (host, of) tells how
+    many.  A run in more than half of them is in more than half of those of some stretch, and it has at most half of the others."""
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[np.ndarray]]]:
+        hosts: dict[str, dict[str, np.ndarray]] = {}
+        size = 0
+        for batch in batches:
+            for host, key, text in zip(*[c.to_pylist() for c in batch.columns]):
+                t = hosts.setdefault(host, {})[key] = _tokens(text)
+                size += len(t)
+                if size > STRETCH:
+                    yield from ((h, list(p.values())) for h, p in hosts.items())
+                    hosts, size = {}, 0
+        yield from ((h, list(p.values())) for h, p in hosts.items())
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for host, pages in grouped(batches):
+            stream = np.concatenate([np.append(t, -1 - i) for i, t in enumerate(pages)])
+            page = np.repeat(np.arange(len(pages)), [len(t) + 1 for t in pages])
+            hashes = np.concatenate([np.append(h, np.full(len(t) + 1 - len(h), -1, np.int64)) for t in pages for h in [prefixes(t)]])
+            order, rank = equal_suffixes(stream, RUN)
+            order = order[hashes[order] >= 0]
+            half = len(pages) // 2
+            if not len(order):
+                yield pa.RecordBatch.from_pydict({"host": [host], "prefix": pa.array([-1], pa.int64()), "n": pa.array([0], pa.int64()), "half": pa.array([half], pa.int64())})
+                continue
+            starts = np.flatnonzero(np.concatenate(([True], rank[order][1:] != rank[order][:-1])))
+            # Suffixes of equal rank keep their order, so a page's own stand side by side.
+            first = np.concatenate(([True], (page[order][1:] != page[order][:-1]) | (rank[order][1:] != rank[order][:-1])))
+            n = np.add.reduceat(first.astype(np.int64), starts)
+            many = n * 2 > len(pages)
+            found, n = np.append(hashes[order[starts[many]]], -1), np.append(n[many], 0)
+            # The row of prefix -1 tells how much the stretch may have of a run that it doesn't name.
+            yield pa.RecordBatch.from_pydict({"host": pa.array([host] * len(found), pa.string()), "prefix": pa.array(found, pa.int64()), "n": pa.array(n, pa.int64()), "half": pa.array(np.full(len(found), half), pa.int64())})
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for host, key, text, wanted in zip(*[c.to_pylist() for c in batch.columns]):
+                found = np.intersect1d(prefixes(_tokens(text)), np.array(wanted, np.int64))
+                yield pa.RecordBatch.from_pydict({"host": pa.array([host] * len(found), pa.string()), "key": pa.array([key] * len(found), pa.string()), "prefix": pa.array(found, pa.int64())})
+
+    sizes = common.written(sizes.where(F.col("of") >= COMMON).withColumnRenamed("host", "name"), "hosts")
+    large = articles.join(sizes, F.col("host") == F.col("name")).select("host", "key", "text")
+    named = common.written(large.mapInArrow(local, "host string, prefix long, n long, half long").groupBy("host", "prefix").agg(F.sum("n").alias("n"), F.sum("half").alias("half")), "runs-named")
+    rest = named.where("prefix = -1").select(F.col("host").alias("at"), F.col("half").alias("all_half"))
+    most = named.where("prefix >= 0").join(rest, F.col("host") == F.col("at")).join(sizes, F.col("host") == F.col("name")).withColumn("most", F.expr("n + all_half - half"))
+    maybe = most.where(f"most >= {COMMON} AND 2 * most > of").groupBy("at").agg(F.collect_list("prefix").alias("wanted"))
+    maybe = common.written(maybe, "runs-maybe")
+    counts = large.join(maybe, F.col("host") == F.col("at")).select("host", "key", "text", "wanted").mapInArrow(each, "host string, key string, prefix long").distinct().groupBy("host", "prefix").count()
+    return counts.join(sizes, F.col("host") == F.col("name")).where(f"count >= {COMMON} AND 2 * count > of").select("host", "prefix")
+
+
+def _cut_articles(parsed: DataFrame) -> DataFrame:
+    """(page_id, url, text) of the pages that markup decides, without what most articles of their host repeat."""
+    decided = parsed.where("open IS NULL").select("page_id", "url", "host", "text")
+    named = parsed.where("open IS NULL AND text <> ''").select("host", "key", F.md5("text").alias("copy"))
+    first = common.written(named.groupBy("host", "copy").agg(F.min("key").alias("first")).groupBy("host", "first").count(), "articles")
+    distinct = parsed.where("open IS NULL AND text <> ''").join(first.select("first").withColumnRenamed("first", "of"), F.col("key") == F.col("of"), "left_semi")
+    distinct = distinct.select("host", "key", "text")
+    runs = common_runs(distinct, first.groupBy("host").agg(F.count(F.lit(1)).alias("of"))).groupBy(F.col("host").alias("at")).agg(F.collect_list("prefix").alias("runs"))
+    rows = decided.join(common.written(runs, "runs"), F.col("host") == F.col("at"), "left").select("page_id", "url", "text", "runs")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, runs in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                places = np.flatnonzero(np.isin(prefixes(_tokens(text)), np.array(runs, np.int64))) if runs else ()
+                texts.append((unique_text(text.split("\n"), list(places), 2.0) or text) if len(places) else text)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+    return rows.mapInArrow(cut, "page_id long, url string, text string")
+
+
 def _judged(parsed: DataFrame) -> DataFrame:
     """(page_id, url, text) of the pages whose open blocks the host's repetitions judge."""
     undecided = parsed.where("open IS NOT NULL")
@@ -304,8 +386,8 @@ def _judged(parsed: DataFrame) -> DataFrame:
     return pages.mapInArrow(cut, "page_id long, url string, text string")
 
 
-def unique_text(open_: list[str], places: list[int]) -> str:
-    """The open blocks without the tokens that runs from these places on cover."""
+def unique_text(open_: list[str], places: list[int], whole: float = WHOLE) -> str:
+    """The blocks without the tokens that runs from these places on cover, or all of them from a share of ``whole`` on."""
     words = [b.split() for b in open_]
     n = sum(map(len, words))
     covered = np.zeros(n + 1, np.int64)
@@ -313,7 +395,7 @@ def unique_text(open_: list[str], places: list[int]) -> str:
         covered[p] += 1
         covered[min(n, p + RUN)] -= 1
     gone = np.cumsum(covered)[:n] > 0
-    if n and gone.mean() >= WHOLE:
+    if n and gone.mean() >= whole:
         return "\n".join(open_)
     out, at = [], 0
     for w in words:
@@ -328,5 +410,5 @@ def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of pages (page_id, url, html)."""
     common.prepare(pages.sparkSession)
     parsed = common.written(_parsed(pages), "pages")
-    rows = parsed.where("open IS NULL").select("page_id", "url", "text").unionByName(_judged(parsed))
+    rows = _cut_articles(parsed).unionByName(_judged(parsed))
     return rows.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -109,3 +109,17 @@ def test_main_text(spark):
     twice = html_text.main_text(table(spark, rows + rows))
     assert twice.count() == 2 * len(rows) and twice.distinct().count() == len(rows)
     assert html_text.main_text(table(spark, rows).limit(0)).count() == 0
+
+
+def test_boilerplate_in_articles(spark):
+    notice = "Read our other stories and subscribe to the weekly letter of this paper"
+    shared = "a passage that only two of the articles share is content and so it stays"
+    own = [f"Story{i} has its{i} own{i} words{i} about{i} things{i} nobody{i} else{i} tells{i}" for i in range(8)]
+    rows = [(i, f"http://h.com/{i}", f"<article><p>{b}</p><p>{shared if i < 2 else ''}</p><p>{notice}</p></article>") for i, b in enumerate(own)]
+    rows += [(20 + i, f"http://few.com/{i}", f"<article><p>{b}</p><p>{notice}</p></article>") for i, b in enumerate(own[:3])]
+    rows += [(30 + i, f"http://h.com/copy{i}", rows[2][2]) for i in range(20)]
+    got = {x.page_id: x.text for x in html_text.main_text(table(spark, rows)).collect()}
+    assert len(got) == len(rows)
+    for i, b in enumerate(own):
+        assert got[i] == b + ("\n" + shared if i < 2 else "")
+    assert all(got[20 + i] == f"{own[i]}\n{notice}" for i in range(3)) and all(got[30 + i] == own[2] for i in range(20))
