@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
@@ -25,13 +26,22 @@ from . import common
 
 #: Bytes of a word from which a heap takes the place of scans.
 LONG = 256
-#: Entries of each of a memo's two generations, and code points of the longest key kept.
-MEMO, MEMO_LEN = 400_000, 48
+#: Entries of each of a memo's two generations, and code points of the longest key kept: some 60 MB a worker at most.
+MEMO, MEMO_LEN = 200_000, 48
 _NO_RANK = 1 << 60
+#: The split of the public vocabularies, and, for texts in lower case without other characters than those of ``_COMMON``, the same split
+#: in a form that the faster ``re`` module takes: letters and numbers of Latin-1, Latin Extended-A and Cyrillic are spelt out.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff\u0100-\u012f\u0131-\u017f\u0430-\u0481\u048a-\u052f"
+_NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
+_UNCOMMON = re.compile("[^\n\t -~\xa1-\u012f\u0131-\u017f\u0400-\u0481\u048a-\u052f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]")
+_COMMON = re.compile(f"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
 
 
 class Memo(dict):
-    """What ``make`` gives for a key, kept in two generations: when the new one is full it becomes the old one."""
+    """What ``make`` gives for a key, kept in two generations: when the new one is full it becomes the old one.
+
+    It lasts as long as the worker, so its size is bounded by the number of entries and by the length of their keys."""
 
     def __init__(self, make, limit: int = MEMO):
         self.make, self.limit, self.old = make, limit, {}
@@ -71,8 +81,10 @@ class RankBpe:
         self.tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in added.items()}
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(split)
+        self.common = _COMMON if split == SPLIT else None
         self.special = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
-        self.of_word, self.of_chunk = Memo(self.word), Memo(self.chunk)
+        self.of_word = Memo(self.word)
+        self.printable = "".join(self.alphabet)
 
     def merge(self, word: str) -> list[str]:
         """Parts of one word (in byte-level characters) after all merges."""
@@ -122,19 +134,26 @@ class RankBpe:
         # Lower case goes character by character, so a final sigma is the common one.
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
+    def mapped(self, word: str) -> str:
+        """The byte-level characters of a word."""
+        return word if word.isascii() and word.isprintable() else word.encode("utf-8").decode("latin-1").translate(self.printable)
+
     def word(self, word: str) -> bytes:
         """Ids of one word of a normalised text."""
         vocab = self.vocab
-        mapped = "".join([self.alphabet[b] for b in word.encode("utf-8")])
-        return array("I", [i for p in self.merge(mapped) if (i := vocab.get(p)) is not None]).tobytes()
+        return array("I", [i for p in self.merge(self.mapped(word)) if (i := vocab.get(p)) is not None]).tobytes()
 
     def plain(self, text: str) -> bytes:
         """Ids of a text in which special tokens are ordinary text."""
-        of_word = self.of_word
-        return b"".join([of_word[w] for w in self.words.findall(self.normalise(text))])
+        if self.common is not None and not _UNCOMMON.search(text):
+            words = self.common.findall(text.lower())
+        else:
+            words = self.words.findall(self.normalise(text))
+        return b"".join(map(self.of_word.__getitem__, words))
 
-    def chunk(self, text: str) -> bytes:
-        """Ids of a text, as little-endian 32-bit integers, without the memo of chunks."""
+    def encode(self, text: str | None) -> bytes:
+        """Ids of a text as little-endian 32-bit integers; each distinct word is encoded once for each worker."""
+        text = text or ""
         if self.special is None or "<" not in text:
             return self.plain(text)
         found, at = [], 0
@@ -143,12 +162,6 @@ class RankBpe:
             at = m.end()
         return b"".join([*found, self.plain(text[at:])])
 
-    def encode(self, text: str | None) -> bytes:
-        """Ids of a text as little-endian 32-bit integers.  No rule reaches across a space or a line end, so
-        what stands between them is encoded on its own, once for each worker and distinct chunk."""
-        of_chunk = self.of_chunk
-        return b"".join([of_chunk[c] for c in (text or "").replace("\n", " ").split(" ")])
-
     def decode(self, ids: Iterable[int]) -> str:
         get = self.tokens.get
         return " ".join([t for i in ids if (t := get(i)) is not None])

@@ -4,21 +4,24 @@ Words are runs of other than white space with A-Z lowered; a document's set has
 words: the whole sequence).  Two documents link when 100 * |x & y| >= percent * |x | y|.  All links between different
 sets are found; the result gives them as connected components.
 
-1. A profile of each document is written: its size and the smallest hashes of its set, those below 3/8 of the hash range
-   ("low") and as many more as the prefix needs.  A prefix has |x| - ceil(percent * |x| / 100) + 1 elements: linked sets share
-   an element of their prefixes in any common order.  Documents with equal sets within a stretch of input name one of them.
-2. Low elements are counted.  The common order takes the rarest first; those of 64 documents or more count as equally frequent
-   and those that aren't low come last; equals go by hash.  A document whose elements of its own fill its prefix has no partner; the
-   others keep what is left of their prefix.  Elements that are frequent within a stretch are counted there and not dealt.
-3. Documents that share a prefix element, joined through the smallest of them, form candidate groups (components).
-4. Groups of more than a block of documents go through 1 to 3 once more, by other hashes and counts within the group: linked sets
-   share a prefix element in every order, so they stay together, and what only common passages held together falls apart.
-5. A group comes to one task with its texts and is joined by a signature tree.  Groups that are still larger than a block are cut into
-   blocks, each with the same 16 pivots, which connect what is alike across blocks.
-6. In groups of several blocks, the documents outside the largest component so found meet all blocks of the group.  So every pair of
-   a group is compared or already connected, whatever the size of the group.
-
-Nothing depends on a cap: 64, 16 and the block size decide where work is done, not what is compared.
+1. A profile of each document is written: its size, a bitmap of its set as wide as the set needs, and the smallest hashes of its
+   set, those below 3/8 of the hash range ("low") and as many more as the prefix needs.  A prefix has
+   |x| - ceil(percent * |x| / 100) + 1 elements: linked sets share an element of their prefixes in any common order.
+   Documents with equal sets within a stretch of input name one of them.
+2. Low elements are counted.  The common order takes the rarest first; those of ``FREQUENT`` documents or more count as equally
+   frequent and those that aren't low come last; equals go by hash.  A document whose elements of its own fill its prefix has no
+   partner; the others keep what is left of their prefix.  Elements that are frequent within a stretch are counted there and not
+   dealt, so no element deals more than ``FREQUENT`` rows a stretch.
+3. The documents that share a prefix element make a list.  Elements of which only one of two sets sets the bit bound how far the
+   sets differ from below, so most pairs of a list can't link.  What is left connects documents; a pair that links is in a list, so it
+   is connected.  A list of more than ``LIST`` documents connects all it has through the smallest.  Candidate groups are
+   the components of all lists.
+4. A group comes to one task with its texts and is joined by a signature tree.  Groups that are larger than a block, by documents or
+   by elements, are cut into blocks, each with the same 16 pivots, which connect what is alike across blocks.
+5. In groups of several blocks, links may be left between components.  The lists of their documents tell which pairs of different
+   components the bitmaps still allow; those pairs, and only those, are compared by their texts.
+
+Nothing depends on a cap: the constants decide where work is done, not what is compared.
 
 Defined results: null, empty and blank texts have an empty set, link with nothing and are their own component; rows with one
 doc_id are one document for links (any of their sets may link it) and each get the row's size; a null doc_id never links and its
@@ -32,57 +35,109 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, signature_tree
-from .bpe import Memo
 from .components import components
 
 PERCENT, WORDS = 75, 5
 LOW = (3 << 63) // 8
-FREQUENT, PIVOTS, BLOCK, STRETCH, FEW = 64, 16, 1024, 2_000_000, 1_000_000
+FREQUENT, PIVOTS, BLOCK, BLOCK_ELEMENTS, STRETCH, LIST, FEW = 16, 16, 1024, 2_000_000, 2_000_000, 4096, 1_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
-
-_words = Memo(lambda w: xxhash.xxh3_64_intdigest(w))
+#: A number for each byte at each of 32 places in a word, A-Z as a-z, and which bytes are white space.
+_AT = np.random.default_rng(5).integers(0, 1 << 63, (32, 256), np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_AT[:, 65:91] = _AT[:, 97:123]
+_AT = _AT.ravel()
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, bounds) of the words of texts that stand one after another in data, the k-th up to ends[k]: the words of
+    the k-th text are those from bounds[k] to bounds[k + 1].  Words are taken some hundred thousand at a time."""
+    inside = ~_BLANK[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    begins = np.concatenate(([0], ends[:-1]))
+    begins = begins[begins < len(data)]
+    first[begins] = inside[begins]
+    starts = np.flatnonzero(first)
+    found = np.empty(len(starts), np.uint64)
+    for k in range(0, len(starts), 400_000):
+        own = starts[k : k + 400_000]
+        a, b = own[0], starts[k + 400_000] if k + 400_000 < len(starts) else len(data)
+        own = own - a
+        place = np.arange(b - a) - np.repeat(own, np.diff(own, append=b - a))
+        value = _AT[((place & 31) << 8) | data[a:b]]
+        if (far := np.flatnonzero((place > 31) & inside[a:b])).size:
+            value[far] *= (place[far].astype(np.uint64) >> np.uint64(5)) * _P | np.uint64(1)
+        value[~inside[a:b]] = 0
+        found[k : k + 400_000] = _mix(np.add.reduceat(value, own))
+    return found, np.concatenate(([0], np.searchsorted(starts, ends)))
+
+
+def batch_sets(texts: pa.Array, k: int = WORDS) -> Iterator[np.ndarray]:
+    """For each text its set: sorted distinct hashes (63 bits) of its shingles.  Words and shingles of all texts are hashed at once."""
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts.fill_null("").to_pylist()]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    words, bounds = word_hashes(data, np.cumsum([len(t) for t in raw], dtype=np.int64))
+
+    def folded(w: np.ndarray, k: int) -> np.ndarray:
+        if len(w) < k:
+            return np.empty(0, np.int64)
+        s = np.full(len(w) - k + 1, k, np.uint64)
+        for i in range(k):
+            s = (s ^ w[i : len(w) - k + 1 + i]) * _P
+            s ^= s >> np.uint64(29)
+        return ((s * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(1)).astype(np.int64)
+
+    whole = folded(words, k)
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        if b - a <= k:
+            yield folded(words[a:b], b - a) if b > a else np.empty(0, np.int64)
+            continue
+        s = np.sort(whole[a : b - k + 1])
+        keep = np.empty(len(s), bool)
+        keep[0] = True
+        np.not_equal(s[1:], s[:-1], out=keep[1:])
+        yield s if keep.all() else s[keep]
 
 
 def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes (63 bits) of a text's shingles."""
-    words = (text or "").encode("utf-8").lower().split()
-    n = len(words)
-    if not n:
-        return np.empty(0, np.int64)
-    of = _words
-    h = np.array([of[w] for w in words], np.uint64)
-    k = min(k, n)
-    s = np.full(n - k + 1, k, np.uint64)
-    for i in range(k):
-        s = (s ^ h[i : n - k + 1 + i]) * _P
-        s ^= s >> np.uint64(29)
-    s = (s * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(1)
-    return np.unique(s).astype(np.int64)
+    """The set of one text."""
+    return next(batch_sets(pa.array([text], pa.string()), k))
 
 
 def prefix(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-def regrouped(elements: np.ndarray, grp: int) -> np.ndarray:
-    """The elements under other hashes, of a group's own: sets of different groups have none in common."""
-    s = (elements.astype(np.uint64) ^ np.uint64(grp & ((1 << 64) - 1)) * _P) * np.uint64(0xD6E8FEB86659FD93)
-    s = (s ^ (s >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-    return np.sort((s ^ (s >> np.uint64(29))) >> np.uint64(1)).astype(np.int64)
+def width(n: int) -> int:
+    """Bits of the bitmap of a set of n elements."""
+    return 1 << max(6, int(4 * n // 3).bit_length())
+
+
+def bitmap(s: np.ndarray) -> bytes:
+    """The bits that the elements of a set hash to, little-endian."""
+    bits = np.zeros(width(len(s)), bool)
+    bits[s & (len(bits) - 1)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
 
 
 def profile(docs: DataFrame, percent: int) -> DataFrame:
-    """Of docs (doc_id, text), and grp where only documents of a group are compared: (doc, n, a, p, copy_of, hashes, often): size, low elements, prefix length, a document with the same set, the hashes to
-    deal, and low ones that are frequent here.  Rows with a = -1 list what a stretch found to be frequent."""
+    """Of docs (doc_id, text): (doc, n, a, p, copy_of, hashes, often, bits): size, low elements, prefix length, a document with the
+    same set, the hashes to deal, low ones that are frequent here, and the bitmap.  Rows with a = -1 list what a stretch found to be
+    frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("doc", "n", "a", "p", "copy_of", "hashes", "often")
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        names = ("doc", "n", "a", "p", "copy_of", "hashes", "often", "bits")
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
         rows: list[list] = []
         first: dict[bytes, int] = {}
         size = 0
@@ -91,23 +146,20 @@ def profile(docs: DataFrame, percent: int) -> DataFrame:
             dealt = [r[5][: r[2]] for r in rows if len(r[5])]
             often = np.empty(0, np.int64)
             if dealt:
-                value, count = np.unique(np.concatenate(dealt), return_counts=True)
-                often = value[count >= FREQUENT]
+                value = np.sort(np.concatenate(dealt))
+                far = value[FREQUENT - 1 :] == value[: max(0, len(value) - FREQUENT + 1)]
+                often = np.unique(value[FREQUENT - 1 :][far])
             if len(often):
                 for r in rows:
                     if r[2] and len(r[5]):
-                        is_often = np.isin(r[5], often, assume_unique=True)
+                        is_often = np.isin(r[5], often, assume_unique=True, kind="sort")
                         r[6], r[5] = r[5][is_often], r[5][~is_often]
-                rows.append([None, 0, -1, 0, None, often, ()])
+                rows.append([None, 0, -1, 0, None, often, (), None])
             for at in range(0, len(rows), 1000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 1000]), kinds)], names=names)
 
         for batch in batches:
-            grps = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
-            for doc, text, grp in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), grps):
-                s = shingles(text)
-                if grp is not None:
-                    s = regrouped(s, grp)
+            for doc, s in zip(batch.column(0).to_pylist(), batch_sets(batch.column(1))):
                 n = len(s)
                 a, p = int(np.searchsorted(s, LOW)), prefix(n, percent)
                 copy_of = None
@@ -116,8 +168,9 @@ def profile(docs: DataFrame, percent: int) -> DataFrame:
                     copy_of = first.setdefault(key, doc)
                 if copy_of == doc:
                     copy_of = None
-                hashes = s[:0] if doc is None or copy_of is not None else s[: max(a, p)]
-                rows.append([doc, n, a, p, copy_of, hashes, ()])
+                alone = doc is None or copy_of is not None
+                hashes = s[:0] if alone else s[: max(a, p)].copy()
+                rows.append([doc, n, a, p, copy_of, hashes, (), None if alone or not n else bitmap(s)])
                 size += len(hashes)
                 if size >= STRETCH:
                     yield from closed()
@@ -125,11 +178,11 @@ def profile(docs: DataFrame, percent: int) -> DataFrame:
         if rows:
             yield from closed()
 
-    return docs.select("doc_id", "text", *[c for c in ("grp",) if c in docs.columns]).mapInArrow(run, "doc long, n long, a long, p long, copy_of long, hashes array<long>, often array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc long, n long, a long, p long, copy_of long, hashes array<long>, often array<long>, bits binary")
 
 
 def prefixes(profiles: DataFrame) -> DataFrame:
-    """(doc, h): what is left of the prefixes of the documents that may have a partner."""
+    """(doc, n, bits, elements): what is left of the prefixes of the documents that may have a partner."""
     dealt = profiles.where("size(hashes) > 0").select("doc", F.explode("hashes").alias("h"))
     of = Window.partitionBy("h")
     seen = dealt.withColumn("k", F.count(F.lit(1)).over(of)).withColumn("marks", F.sum(F.col("doc").isNull().cast("int")).over(of))
@@ -137,173 +190,282 @@ def prefixes(profiles: DataFrame) -> DataFrame:
     level = F.when(F.col("h") >= LOW, FREQUENT + 1).when(often, FREQUENT).otherwise(F.col("k")).cast("int")
     shared = seen.where("k > 1 AND doc IS NOT NULL").select("doc", F.struct(level.alias("level"), "h").alias("e"))
     shared = shared.groupBy(F.col("doc").alias("of")).agg(F.collect_list("e").alias("shared"))
-    own = profiles.where("a >= 0 AND doc IS NOT NULL AND copy_of IS NULL AND n > 0").select("doc", "n", "a", "p", "often")
+    own = profiles.where("a >= 0 AND doc IS NOT NULL AND copy_of IS NULL AND n > 0").select("doc", "n", "a", "p", "often", "bits")
     both = own.join(shared, F.col("doc") == F.col("of"), "left")
     both = both.withColumn("shared", F.coalesce("shared", F.array().cast("array<struct<level:int,h:bigint>>")))
     low = F.size(F.filter("shared", lambda e: e["level"] <= FREQUENT))
     left = F.col("p") - (F.col("a") - F.size("often") - low)
     often = F.transform("often", lambda h: F.struct(F.lit(FREQUENT).alias("level"), h.alias("h")))
     kept = F.slice(F.array_sort(F.concat("shared", often)), F.lit(1), F.greatest(left, F.lit(0)).cast("int"))
-    return both.where(left > 0).select("doc", F.explode(kept).alias("e")).select("doc", "e.h")
+    return both.where(left > 0).select("doc", "n", "bits", F.transform(kept, lambda e: e["h"]).alias("elements"))
+
+
+def _folded(bits: bytes, w: int) -> np.ndarray:
+    """A bitmap of w bits as 64-bit numbers; a wider one is folded."""
+    x = np.frombuffer(bits, "<u8")
+    return x if 64 * len(x) == w else np.bitwise_or.reduce(x.reshape(-1, w // 64), axis=0)
+
+
+def _near(n: np.ndarray, rows: np.ndarray, m: int, row: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets (sizes n, bitmaps rows) may link with one set, as far as sizes and bitmaps tell: an element that one set alone has
+    sets at most one bit that differs, and linked sets differ in (100 - percent) / (100 + percent) of their sizes at most."""
+    differ = np.bitwise_count(rows ^ row).sum(axis=1, dtype=np.int64)
+    return (differ * (100 + percent) <= (100 - percent) * (n + m)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+
+
+def _may_link(n: int, x: bytes, m: int, y: bytes, percent: int) -> bool:
+    if 100 * min(n, m) < percent * max(n, m):
+        return False
+    w = 8 * min(len(x), len(y))
+    p, q = (int.from_bytes(z if 8 * len(z) == w else _folded(z, w).tobytes(), "little") for z in (x, y))
+    return (p ^ q).bit_count() * (100 + percent) <= (100 - percent) * (n + m)
 
 
-def candidate_edges(rows: DataFrame) -> DataFrame:
-    """(a, b): documents that share a prefix element, each with the smallest that has it."""
-    least = rows.groupBy("h").agg(F.min("doc").alias("b"), F.count(F.lit(1)).alias("k")).where("k > 1").select(common.skew_key("h").alias("same"), "b")
-    return rows.join(least, F.col("h").cast("string") == F.col("same")).where("doc <> b").select(F.col("doc").alias("a"), "b").distinct()
+def _classes(sizes: list[int], percent: int) -> list[tuple[int, list[int]]]:
+    """(w, places): the widths of bitmaps, each with the sets of that width and of wider ones that still may link with them."""
+    widths = [width(n) for n in sizes]
+    most = max(1, -(-100 // percent)) * 2
+    return [(w, [i for i, x in enumerate(widths) if w <= x <= most * w]) for w in sorted(set(widths))]
 
 
-def _blocks(labels: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
-    """(doc, grp, block, role) of all members and, for groups of several blocks, their pivots in every block; and
-    (grp, blocks) of those groups."""
-    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("k"))
-    blocks = sizes.select(common.skew_key("label").alias("grp"), F.ceil(F.col("k") / block).cast("int").alias("blocks"))
-    members = labels.join(blocks, F.col("label").cast("string") == F.col("grp"))
-    members = members.select(F.col("node").alias("doc"), F.col("label").alias("grp"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    members = common.written(members, "members")
+def _listed(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """Runs of rows with equal first columns, without those."""
+    at, held = None, []
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns]):
+            if at != row[:keys]:
+                if held:
+                    yield held
+                at, held = row[:keys], []
+            held.append(row[keys:])
+    if held:
+        yield held
+
+
+def _edges(pairs) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs)], names=["a", "b"])
+
+
+def list_edges(left: DataFrame, percent: int, scratch: common.Scratch, most: int = LIST) -> DataFrame:
+    """(a, b): edges that connect the documents of left (doc, n, bits, elements) which share an element and may link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+        out: list[tuple[int, int]] = []
+
+        def find(x: int) -> int:
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = x = up[y]
+            return x
+
+        def join(x: int, y: int) -> None:
+            a, b = find(x), find(y)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+                out.append((x, y))
+
+        for rows in _listed(batches, 1):
+            if len(rows) < 2:
+                continue
+            roots = [find(r[0]) for r in rows]
+            if roots.count(roots[0]) == len(roots):
+                continue
+            if len(rows) <= 8:
+                for i, (a, n, x) in enumerate(rows):
+                    for b, m, y in rows[i + 1 :]:
+                        if find(a) != find(b) and _may_link(n, x, m, y, percent):
+                            join(a, b)
+                continue
+            for w, members in _classes([r[1] for r in rows], percent):
+                n = np.array([rows[i][1] for i in members], np.int64)
+                bits = np.stack([_folded(rows[i][2], w) for i in members])
+                rest = np.arange(len(members))
+                while len(rest):
+                    open_, rest = [rest[0]], rest[1:]
+                    while open_ and len(rest):
+                        i = open_.pop()
+                        near = _near(n[rest], bits[rest], int(n[i]), bits[i], percent)
+                        for j in rest[near]:
+                            join(rows[members[i]][0], rows[members[j]][0])
+                        open_.extend(rest[near])
+                        rest = rest[~near]
+            if len(out) > 50_000:
+                yield _edges(out)
+                out.clear()
+        if out:
+            yield _edges(out)
+
+    rows = left.select(F.explode("elements").alias("h"), "doc", "n", "bits")
+    sizes = rows.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("doc").alias("b"))
+    long = scratch.written(sizes.where(F.col("k") > most).select(common.skew_key("h").alias("same"), "b"), "long-lists")
+    if long.isEmpty():
+        stars = None
+    else:
+        same = F.col("h").cast("string") == F.col("same")
+        stars = rows.select("h", "doc").join(long, same).where("doc <> b").select(F.col("doc").alias("a"), "b").distinct()
+        rows = rows.join(long, same, "left_anti")
+    rows = rows.repartition(common.partitions(left.sparkSession), "h").sortWithinPartitions("h")
+    edges = rows.mapInArrow(run, "a long, b long")
+    return scratch.written(edges if stars is None else edges.unionByName(stars), "edges")
+
+
+def _blocks(groups: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Of groups (doc, grp, n): (doc, grp, block) of all members and, for groups of several blocks, their pivots in every block; and
+    the documents (doc) of those groups."""
+    sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("elements"))
+    blocks = F.ceil(F.greatest(F.col("k") / block, F.col("elements") / BLOCK_ELEMENTS)).cast("int")
+    sizes = sizes.select(common.skew_key("grp").alias("same"), blocks.alias("blocks"))
+    members = groups.join(sizes, F.col("grp").cast("string") == F.col("same")).select("doc", "grp", "blocks")
     large = members.where("blocks > 1")
     pivots = large.groupBy("grp", "blocks", F.pmod(F.xxhash64("doc", F.lit(1)), F.lit(PIVOTS)).alias("r")).agg(F.min_by("doc", F.xxhash64("doc", F.lit(2))).alias("doc"))
     pivots = pivots.select("doc", "grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    rows = members.select("doc", "grp", "block").unionByName(pivots.select("doc", "grp", "block")).withColumn("role", F.lit(0))
-    return rows, members
+    own = members.select("doc", "grp", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"))
+    return own.unionByName(pivots).distinct(), large.select("doc")
 
 
-def _texts(asked: DataFrame, docs: DataFrame) -> DataFrame:
-    """asked (doc, ...) with the documents' texts."""
-    texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    ids = asked.select(F.col("doc").alias("asked")).distinct()
+def _texts(asked: DataFrame, docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
+    """asked with the texts of its column doc."""
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("of"), F.col("text").alias(text))
+    ids = asked.select(F.col(doc).alias("asked")).distinct()
     if ids.count() <= FEW:  # a few MB of ids keep other texts from being dealt; more are sought by the join alone
-        texts = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("asked"), "left_semi")
-    return asked.join(texts, F.col("doc") == F.col("doc_id"))
+        texts = texts.join(F.broadcast(ids), F.col("of") == F.col("asked"), "left_semi")
+    return asked.join(texts, F.col(doc) == F.col("of")).drop("of")
 
 
-def _with_text(rows: DataFrame, docs: DataFrame, order: list[str]) -> DataFrame:
-    found = _texts(rows, docs).drop("doc_id")
-    return found.repartition(common.partitions(docs.sparkSession), "grp", "block").sortWithinPartitions("grp", "block", *order)
-
-
-def _join_blocks(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b) links within each (grp, block) of rows (doc, grp, block, role, known, text) in order: rows of role 0 with each other,
-    or, where there are rows of role 1, those with the rows of role 0.  Links come as edges to one document a component."""
+def _join_blocks(rows: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the links within each (grp, block) of rows (doc, grp, block), as edges to one document a component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = None
         docs: list[int] = []
-        known: list[int | None] = []
         sets: list[np.ndarray] = []
-        asked: list[int] = []
         out: list[tuple[int, int]] = []
 
         def settle() -> None:
             groups = signature_tree.Groups(len(sets))
             same: dict[int, int] = {}
-            for i, (d, k) in enumerate(zip(docs, known)):
-                for key in (("doc", d), ("known", k)):
-                    if key[1] is not None:
-                        groups.join(same.setdefault(key, i), i)
-            if asked:
-                base = [i for i in range(len(sets)) if i < asked[0]]
-                signature_tree.cross_join(sets, asked, base, groups, percent)
-            else:
-                signature_tree.self_join(sets, groups, percent)
+            for i, d in enumerate(docs):
+                groups.join(same.setdefault(d, i), i)
+            signature_tree.self_join(sets, groups, percent)
             for i, d in enumerate(docs):
                 r = docs[groups.find(i)]
                 if r != d:
                     out.append((d, r))
 
-        def packed() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
-
         for batch in batches:
-            for doc, grp, block, role, label, text in zip(*[c.to_pylist() for c in batch.columns]):
+            keys = zip(*[batch.column(k).to_pylist() for k in range(3)])
+            for (doc, grp, block), s in zip(keys, batch_sets(batch.column(3))):
                 if at != (grp, block):
                     settle()
-                    at, docs, known, sets, asked = (grp, block), [], [], [], []
-                if len(asked) >= BLOCK:  # those asked come last, a block at a time
-                    settle()
-                    keep = asked[0]
-                    docs, known, sets, asked = docs[:keep], known[:keep], sets[:keep], []
-                if role:
-                    asked.append(len(sets))
+                    at, docs, sets = (grp, block), [], []
                 docs.append(doc)
-                known.append(label)
-                sets.append(shingles(text))
+                sets.append(s)
             if len(out) > 5000:
-                yield packed()
-                out = []
+                yield _edges(out)
+                out.clear()
         settle()
         if out:
-            yield packed()
-
-    return rows.select("doc", "grp", "block", "role", "known", "text").mapInArrow(run, "a long, b long")
-
-
-def _refined(labels: DataFrame, docs: DataFrame, percent: int, block: int) -> tuple[DataFrame, DataFrame | None]:
-    """Candidate groups of more than a block, told apart once more; and copies found on the way.
-
-    Linked sets share a prefix element in any common order, so also in one by other hashes and by the counts within a group.
-    What hung together by common passages mostly falls apart."""
-    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > block)
-    sizes = common.written(sizes.select(common.skew_key("label").alias("large")), "large")
-    if sizes.isEmpty():
-        return labels, None
-    large = F.col("label").cast("string") == F.col("large")
-    asked = common.written(labels.join(sizes, large).select(F.col("node").alias("doc"), F.col("label").alias("grp")), "asked")
-    profiles = common.written(profile(_texts(asked, docs).select("doc_id", "text", "grp"), percent), "profiles")
-    again = components(candidate_edges(common.written(prefixes(profiles), "prefixes")))
-    copies = profiles.where("copy_of IS NOT NULL").select(F.col("doc").alias("a"), F.col("copy_of").alias("b"))
-    return labels.join(sizes, large, "left_anti").unionByName(again), copies
-
-
-def _rest(several: DataFrame, found: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None:
-    """Links between the documents outside the largest component (of found) of a group of several blocks and all others of it."""
-    state = several.join(found, F.col("doc") == F.col("node"), "left").select("doc", "grp", "blocks", "block", F.coalesce("label", "doc").alias("known"))
-    state = common.written(state, "state")
-    counts = state.groupBy("grp", "known").agg(F.count(F.lit(1)).alias("k"))
-    main = counts.groupBy("grp").agg(F.max(F.struct("k", "known")).alias("m")).select(common.skew_key("grp").alias("of"), F.col("m.known").alias("main"))
-    rest = state.join(main, F.col("grp").cast("string") == F.col("of")).where("known <> main")
-    rest = common.written(rest.select("doc", "grp", "blocks", "known"), "rest")
-    if rest.isEmpty():
-        return None
-    asked = rest.select("doc", "grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "known")
-    open_ = rest.select(F.col("grp").alias("open")).distinct()
-    base = state.join(open_.select(common.skew_key("open").alias("open")), F.col("grp").cast("string") == F.col("open"), "left_semi")
-    base = base.select("doc", "grp", "block", F.lit(0).alias("role"), "known")
-    return common.written(_join_blocks(_with_text(base.unionByName(asked), docs, ["role", "doc"]), percent), "links")
-
-
-def near_components(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """Profiles of all documents, and (node, label) of the documents that link with another: label is the smallest doc_id."""
-    common.prepare(docs.sparkSession)
+            yield _edges(out)
+
+    rows = _texts(rows, docs).select("doc", "grp", "block", "text")
+    rows = rows.repartition(common.partitions(docs.sparkSession), "grp", "block").sortWithinPartitions("grp", "block", "doc")
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def open_pairs(left: DataFrame, known: DataFrame, percent: int, scratch: common.Scratch, most: int = LIST) -> DataFrame:
+    """(a, b): the pairs of documents of different components of known (doc, label) that share an element of left and may link.
+
+    In each list the documents of the component that has most of it are looked at, the others look and are looked at.  Both sides
+    of a long list are cut into parts of ``most`` documents on average, and each part of one side meets each of the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[tuple[int, int]] = set()
+        for rows in _listed(batches, 3):
+            for w, members in _classes([r[1] for r in rows], percent):
+                base, ask = ([rows[i] for i in members if rows[i][4] == role] for role in (0, 1))
+                if not base or not ask:
+                    continue
+                n, label = (np.array([r[k] for r in base], np.int64) for k in (1, 3))
+                bits = np.stack([_folded(r[2], w) for r in base])
+                for doc, m, x, own, _ in ask:
+                    for i in np.flatnonzero(_near(n, bits, m, _folded(x, w), percent) & (label != own)):
+                        found.add((min(doc, base[i][0]), max(doc, base[i][0])))
+            if len(found) > 50_000:
+                yield _edges(found)
+                found.clear()
+        if found:
+            yield _edges(found)
+
+    rows = left.join(known.select(F.col("doc").alias("of"), "label"), F.col("doc") == F.col("of"))
+    rows = scratch.written(rows.select(F.explode("elements").alias("h"), "doc", "n", "bits", "label"), "open-rows")
+    counts = rows.groupBy("h", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.sum("k").alias("k"), F.max(F.struct("k", "label")).alias("main"))
+    parts = lambda n: F.ceil(n / most).cast("int")
+    counts = counts.where("k > main.k").select(common.skew_key("h").alias("same"), F.col("main.label").alias("main"), parts(F.col("k")).alias("bases"), parts(F.col("k") - F.col("main.k")).alias("asks"))
+    rows = rows.join(scratch.written(counts, "open-lists"), F.col("h").cast("string") == F.col("same"))
+    of = lambda n, salt: F.pmod(F.xxhash64("doc", F.lit(salt)), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    what = ["doc", "n", "bits", "label"]
+    base = rows.select("h", of(F.col("bases"), 3).alias("i"), each(F.col("asks")).alias("j"), *what, F.lit(0).alias("role"))
+    ask = rows.where("label <> main").select("h", each(F.col("bases")).alias("i"), of(F.col("asks"), 4).alias("j"), *what, F.lit(1).alias("role"))
+    both = base.unionByName(ask).repartition(common.partitions(left.sparkSession), "h", "i", "j").sortWithinPartitions("h", "i", "j")
+    return scratch.written(both.mapInArrow(run, "a long, b long").distinct(), "open-pairs")
+
+
+def _compared(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = zip(batch_sets(batch.column(2)), batch_sets(batch.column(3)))
+            yield batch.select([0, 1]).filter(pa.array([signature_tree.linked(x, y, percent) for x, y in sets], pa.bool_()))
+
+    rows = _texts(_texts(pairs, docs, "a", "text_a"), docs, "b", "text_b")
+    return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+def near_components(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, most: int = LIST) -> tuple[DataFrame, DataFrame]:
+    """(doc, n) of all rows, and (node, label) of the documents that link with another: label is the smallest doc_id."""
+    spark = common.prepare(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    profiles = common.written(profile(docs, percent), "profiles")
-    copies = profiles.where("copy_of IS NOT NULL").select(F.col("doc").alias("a"), F.col("copy_of").alias("b"))
-    left = common.written(prefixes(profiles), "prefixes")
-    common.settled(docs.sparkSession)
-    candidates = components(candidate_edges(left))
-    candidates, more = _refined(candidates, docs, percent, block)
-    copies = copies if more is None else copies.unionByName(more)
-    rows, members = _blocks(candidates, block)
-    nothing = F.lit(None).cast("long")
-    links = common.written(_join_blocks(_with_text(rows.withColumn("known", nothing), docs, ["doc"]), percent), "links")
-    common.settled(docs.sparkSession)
-    several = members.where("blocks > 1")
-    if not several.isEmpty():
-        more = _rest(several, components(links), docs, percent)
-        links = links if more is None else links.unionByName(more)
-    common.settled(docs.sparkSession)
-    return profiles, components(links.unionByName(copies))
+    with common.Scratch(spark) as scratch:
+        profiles = scratch.written(profile(docs, percent), "profiles")
+        left = scratch.written(prefixes(profiles), "prefixes")
+        sizes = common.written(profiles.where("a >= 0").select("doc", "n"), "sizes")
+        copies = scratch.written(profiles.where("copy_of IS NOT NULL").select(F.col("doc").alias("a"), F.col("copy_of").alias("b")), "copies")
+        scratch.done(profiles)
+        groups = components(list_edges(left, percent, scratch, most), scratch)
+        n = left.groupBy(F.col("doc").alias("of")).agg(F.max("n").alias("n"))
+        groups = groups.join(n, F.col("node") == F.col("of")).select(F.col("node").alias("doc"), F.col("label").alias("grp"), "n")
+        rows, several = _blocks(scratch.written(groups, "groups"), block)
+        several = scratch.written(several, "several")
+        links = scratch.written(_join_blocks(scratch.written(rows, "blocks"), docs, percent), "links")
+        if not several.isEmpty():
+            state = several.join(components(links, scratch), F.col("doc") == F.col("node"), "left")
+            state = scratch.written(state.select("doc", F.coalesce("label", "doc").alias("label")), "state")
+            links = links.unionByName(scratch.written(_compared(open_pairs(left, state, percent, scratch, most), docs, percent), "late-links"))
+        return sizes, components(links.unionByName(copies))
 
 
 def component_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs."""
-    profiles, found = near_components(docs, percent)
-    rows = profiles.where("a >= 0").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"))
+    sizes, found = near_components(docs, percent)
+    rows = sizes.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"))
     return rows.join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row of each component of docs, that with the smallest doc_id, and all rows that link with nothing."""
-    _, found = near_components(docs, percent)
+    """One row of each component of docs, one with the smallest doc_id, and all rows that link with nothing.  Of several rows of one
+    doc_id and text, if that has words, the one with the smallest hash of its columns stays."""
+    sizes, found = near_components(docs, percent)
     gone = found.where("label <> node").select(F.col("node").alias("near_copy_of_another"))
-    return docs.join(gone, docs["doc_id"] == gone["near_copy_of_another"], "left_anti")
+    rows = docs.join(gone, docs["doc_id"] == gone["near_copy_of_another"], "left_anti")
+    twice = sizes.where("n > 0 AND doc IS NOT NULL").groupBy("doc").count().where("count > 1").select(F.col("doc").alias("repeated_doc_id"))
+    twice = common.written(twice, "repeated")
+    if twice.isEmpty():
+        return rows
+    same = docs["doc_id"] == twice["repeated_doc_id"]
+    has_words = F.coalesce(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    row = F.struct(*docs.columns)
+    again = rows.join(twice, same, "left_semi")
+    one = again.where(has_words).groupBy("doc_id", F.md5(F.col("text").cast("binary"))).agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("row")).select("row.*")
+    return rows.join(twice, same, "left_anti").unionByName(one).unionByName(again.where(~has_words))

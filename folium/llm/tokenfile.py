@@ -20,14 +20,14 @@ Frames go through Spark's own text writer (a frame is a "line" of bytes), so any
 and a lost task leaves nothing behind.
 
 Defined results: null text is empty; null doc_ids come first; rows with one doc_id follow one another, in the order of
-their texts' hashes; an empty table makes no frame.
+their texts' hashes, whatever range they are in; an empty table makes no frame.
 """
 
 from __future__ import annotations
 
+import bisect
 import os
 import struct
-import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -108,6 +108,16 @@ def unpack(least: np.ndarray, width: np.ndarray, count: np.ndarray, starts: np.n
     return (values + least[:, None]).reshape(-1)[:n]
 
 
+def squeezed(ids: np.ndarray) -> bytes:
+    """Ids on their way to a range: in two bytes each where that does, else in four."""
+    return b"\x02" + ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 1 << 16 else b"\x04" + ids.tobytes()
+
+
+def unsqueezed(raw) -> np.ndarray:
+    raw = memoryview(raw)
+    return np.frombuffer(raw[1:], f"<u{raw[0]}").astype(np.uint32)
+
+
 def frame(part: int, seq: int, doc_ids: list[int | None], sizes: list[int], ids: np.ndarray) -> bytes:
     least, width, count, starts, payload = pack(ids)
     body = b"".join((
@@ -144,16 +154,15 @@ def frames(content: bytes) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, n
 
 
 class LibraryEncoder(bpe.RankBpe):
-    """The ``tokenizers`` library with memos of words and of what stands between spaces.
-
-    Its pattern and normal form are applied here to chunks in NFC, and the library's model encodes each distinct word once
-    for each worker; a chunk that isn't in NFC or holds a special token goes through the whole library."""
+    """The ``tokenizers`` library with a memo of words: texts are normalised and split here, and the library's model encodes each
+    distinct word once for each worker."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__(path)
+        self.ranks = {}
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -162,12 +171,7 @@ class LibraryEncoder(bpe.RankBpe):
     def word(self, word: str) -> bytes:
         if len(word) > bpe.MEMO_LEN:
             return array("I", self.library.encode(word, add_special_tokens=False).ids).tobytes()
-        return array("I", [t.id for t in self.model.tokenize("".join([self.alphabet[b] for b in word.encode("utf-8")]))]).tobytes()
-
-    def chunk(self, text: str) -> bytes:
-        if "<" in text or not (text.isascii() or unicodedata.is_normalized("NFC", text)):
-            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
-        return self.plain(text)
+        return array("I", [t.id for t in self.model.tokenize(self.mapped(word))]).tobytes()
 
 
 _made: dict[str, LibraryEncoder] = {}
@@ -179,39 +183,60 @@ def library_encoder(path: str) -> LibraryEncoder:
     return _made[path]
 
 
+def cuts(docs: DataFrame, parts: int) -> list[tuple[bool, int, int]]:
+    """The first keys (not null, doc_id, hash of the text) of all ranges but the first, for about equal ranges in their order.
+
+    They come from about 64 rows a range, chosen by a hash of the text, so that rows of one doc_id spread as well."""
+    keys = docs.select("doc_id", F.xxhash64("text", "doc_id").alias("tie"))
+    every = max(1, docs.count() // (64 * parts))
+    rows = keys.where(F.pmod(F.xxhash64("tie"), F.lit(every)) == 0).collect() if parts > 1 else []
+    keys = sorted((r[0] is not None, r[0] or 0, r[1]) for r in rows)
+    return sorted({keys[len(keys) * k // parts] for k in range(1, parts)}) if keys else []
+
+
 def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int | None = 2) -> None:
-    """Encodes the text of docs (doc_id, text), ends each document with end_id and writes the token files."""
-    spark = common.prepare(docs.sparkSession)
+    """Encodes the text of docs (doc_id, text), ends each document with end_id and writes the token files.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    Texts are encoded where they are read; what is dealt to ranges are packed ids."""
+    spark = common.prepare(docs.sparkSession)
+    n = common.partitions(spark)
+    docs = docs.select("doc_id", "text")
+    first = cuts(docs, n)
 
-        encoder, part, seq = library_encoder(vocabulary), TaskContext.get().partitionId(), 0
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = library_encoder(vocabulary)
         end = b"" if end_id is None else struct.pack("<I", end_id)
+        for batch in batches:
+            ids, ties = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            part = [bisect.bisect_right(first, (d is not None, d or 0, t)) for d, t in zip(ids, ties)]
+            packed = [squeezed(np.frombuffer(encoder.encode(t) + end, "<u4")) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), batch.column(0), batch.column(2), pa.array(packed, pa.binary())], names=["part", "doc_id", "tie", "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, seq = None, 0
         doc_ids: list[int | None] = []
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         size = 0
 
         def closed() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), "<u4")
-            return pa.RecordBatch.from_pydict({"frame": pa.array([frame(part, seq, doc_ids, [len(x) // 4 for x in held], ids)], pa.binary())})
+            return pa.RecordBatch.from_pydict({"frame": pa.array([frame(at, seq, doc_ids, [len(x) for x in held], np.concatenate(held))], pa.binary())})
 
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), map(encoder.encode, batch.column(1).to_pylist())):
-                doc_ids.append(doc_id)
-                held.append(ids + end)
-                size += len(held[-1]) // 4
-                if size >= FRAME_TOKENS:
+            for part, doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if size >= FRAME_TOKENS or held and part != at:
                     yield closed()
                     doc_ids, held, size, seq = [], [], 0, seq + 1
+                if part != at:
+                    at, seq = part, 0
+                doc_ids.append(doc_id)
+                held.append(unsqueezed(ids.as_buffer()))
+                size += len(held[-1])
         if held:
             yield closed()
 
-    tie = F.xxhash64("text")
-    (docs.select("doc_id", "text")
-     .repartitionByRange(common.partitions(spark), F.col("doc_id").asc_nulls_first(), tie)
-     .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
-     .mapInArrow(run, "frame binary")
+    encoded = docs.select("doc_id", "text", F.xxhash64("text", "doc_id").alias("tie")).mapInArrow(encode, "part int, doc_id long, tie long, ids binary")
+    (encoded.repartition(n, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "tie")
+     .select("part", "doc_id", "ids").mapInArrow(run, "frame binary")
      .select(F.col("frame").cast("string"))
      .write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_FRAMES).text(f"{folder}/data"))
 

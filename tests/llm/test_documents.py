@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 from array import array
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,7 +42,9 @@ def test_bpe_equals_the_library():
     path = vocabulary()
     library, own, memo = Tokenizer.from_file(path), bpe.RankBpe(path), tokenfile.LibraryEncoder(path)
     r = random.Random(5)
-    texts = [t or "" for t in TEXTS] + ["".join(r.choice("abcdefghij Éß'<>|!?0123\n\t漢😀") for _ in range(r.randint(1, 80))) for _ in range(300)] + ["İstanbul ǅ ﬁ ½", "ab" * 2000]
+    known = [chr(c) for c in range(33, 0x2100) if not unicodedata.category(chr(c)).startswith(("C", "M"))]
+    texts = [t or "" for t in TEXTS] + ["".join(r.choice(known[:600]) for _ in range(60)) for _ in range(400)] + ["".join(r.choice(known) for _ in range(30)) for _ in range(200)]
+    texts += ["".join(r.choice("'sStTrRvVeElLdDmM ") for _ in range(40)) for _ in range(200)] + ["".join(r.choice("abcdefghij Éß'<>|!?0123\n\t漢😀") for _ in range(r.randint(1, 80))) for _ in range(300)] + ["İstanbul ǅ ﬁ ½", "ab" * 2000]
     for t in texts:
         ids = library.encode(t, add_special_tokens=False).ids
         assert list(array("I", own.encode(t))) == ids == list(array("I", memo.encode(t)))
@@ -213,15 +217,47 @@ def near_copies(seed, n):
     return texts
 
 
-@pytest.mark.parametrize("block, frequent", [(512, 64), (4, 3)])
-def test_jaccard(spark, monkeypatch, block, frequent):
+@pytest.mark.parametrize("block, frequent, most, percent", [(512, 64, 4096, 75), (4, 3, 5, 75), (8, 64, 3, 50)])
+def test_jaccard(spark, monkeypatch, block, frequent, most, percent):
     monkeypatch.setattr(jaccard, "FREQUENT", frequent)
-    texts = near_copies(block, 240)
+    texts = near_copies(block + most, 240)
     docs = table(spark, list(texts.values()), list(texts)).repartition(3)
-    profiles, found = jaccard.near_components(docs, 75, block)
+    sizes, found = jaccard.near_components(docs, percent, block, most)
     label = dict(map(tuple, found.collect()))
-    got = {x.doc: (x.n, label.get(x.doc, x.doc)) for x in profiles.where("a >= 0").collect()}
-    assert got == plain_components(texts)
+    got = {x.doc: (x.n, label.get(x.doc, x.doc)) for x in sizes.collect()}
+    assert got == plain_components(texts, percent)
+
+
+def test_sets_of_a_batch():
+    r = random.Random(6)
+    texts = ["", None, " \n", "a b c d e", "A b C d e", "x" * 100 + " " + "x" * 101, "é É\u00a0ß 漢", *["".join(r.choice("ab Cc\n\t") for _ in range(r.randint(0, 90))) for _ in range(200)]]
+    sets = list(jaccard.batch_sets(pa.array(texts, pa.string())))
+    plain = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        plain.append(set() if not w else {tuple(w)} if len(w) < 5 else {tuple(w[k : k + 5]) for k in range(len(w) - 4)})
+    assert [len(s) for s in sets] == [len(s) for s in plain]
+    for i in range(len(texts)):
+        assert list(jaccard.shingles(texts[i])) == list(sets[i])
+        for j in range(0, i, 7):
+            assert len(np.intersect1d(sets[i], sets[j])) == len(plain[i] & plain[j])
+
+
+def test_bitmaps_never_part_linked_sets():
+    r = np.random.default_rng(8)
+    for _ in range(2000):
+        n = int(r.integers(1, 300))
+        x = np.unique(r.integers(0, 1 << 62, n))
+        y = np.unique(np.concatenate((x[: len(x) - int(r.integers(0, len(x) + 1)) // 3], r.integers(0, 1 << 62, int(r.integers(0, 1 + n // 4))))))
+        may = jaccard._may_link(len(x), jaccard.bitmap(x), len(y), jaccard.bitmap(y), 75)
+        assert may or not signature_tree.linked(x, y, 75)
+
+
+def test_one_row_of_each_component_stays(spark):
+    words = " ".join(f"w{k}" for k in range(20))
+    docs = table(spark, [words, words, words + " more", "other words", "", ""], [4, 4, 2, 7, 8, 8])
+    assert sorted(x.doc_id for x in jaccard.keep_first(docs).collect()) == [2, 7, 8, 8]
+    assert sorted(x.doc_id for x in jaccard.keep_first(docs.where("doc_id <> 2")).collect()) == [4, 7, 8, 8]
 
 
 def test_signature_tree():
@@ -249,7 +285,7 @@ def test_jaccard_rows(spark, odd):
     assert got.where("n_shingles = 0").where("NOT component_id <=> doc_id").count() == 0
     assert got.where("doc_id IS NULL").head().component_id is None
     kept = jaccard.keep_first(odd)
-    assert kept.columns == odd.columns and kept.count() == odd.count()
+    assert kept.columns == odd.columns and kept.count() == odd.count() - 1  # a repeated row
     assert jaccard.component_of(odd.limit(0)).count() == 0
 
 
