@@ -2,31 +2,33 @@
 
 A page is cut into blocks.  Markup puts a block inside an article (``article``, ``main``), inside a declared region of
 another kind (menus, headers, footers, sidebars, notices, adverts, forms, comments: by element, role, class and id), or leaves it
-open.  The blocks of the article are the main text where there is one, the open blocks where there is none.  What the pages of a
-host repeat judges both, with what markup says as a prior:
-
-* the streams of all pages of a host (tokens of article blocks apart from those outside) are concatenated, and their suffixes
-  sorted by prefix doubling up to ``RUN`` tokens (what is equal to that depth is a repeated run of that length or more);
-* stretches of input are sorted apart, and the groups of equal suffixes meet by host and prefix hash, so runs are told
-  wherever their pages are, and no host is gathered in one task;
-* open tokens that a run outside articles covers are removed if two distinct pages have it.  Passages that articles share are
-  often content, so a token in an article is removed only if runs that cover it stand in more than half of the host's articles
-  that are no copies of each other, and in ``COMMON`` of them at least; an article that would lose all it has stays.
-  A run in more than half of all articles is in more than half of those of some stretch, so only such runs are
-  counted, exactly, in a second pass;
-* pages whose streams are equal count as one page.  A page without an article that would lose nine tenths or more repeats
-  another page and stays as it is.
+open.  The blocks of the article are the candidates for the main text where there is one, the open blocks where there is none.  What
+the pages of a host repeat judges all candidates, with what markup says as a prior:
+
+* Each page has two token streams, that of its articles and that of all its other blocks.  The streams of a host are
+  concatenated and their suffixes sorted by prefix doubling up to ``RUN`` tokens.  Suffixes that are equal to that depth begin
+  a repeated substring of that length or more, and the substrings of ``RUN`` tokens cover the same tokens as all longer ones.
+* A token outside articles is removed if a run that covers it stands in a tenth of the host's distinct streams, and in two of them
+  at least.  Passages that articles share are often content, so a token in an article is removed only if such a run stands in more
+  than half of the host's distinct articles, and in ``COMMON`` of them at least.
+* What a page keeps are its unique runs, however much is covered.  Where fewer than ``RUN`` tokens would be left, the page repeats
+  another as a whole (a copy, or a near copy) and stays as it is.
+* Streams are dealt by host, large hosts by salt as well, equal streams together, so that they count once.  A run in a share of
+  all streams of a host is in that share of some sorted stretch, so only runs that have it there are named.  Runs whose number is
+  still open, as stretches don't name what is below their share, are counted once more, exactly.
+
+Pages are parsed where they are read, in two or three passes; nothing but streams is dealt.  The runs to remove are broadcast, some
+hundred thousand at a time: beyond that, pages are taken in rounds by host.
 
 Blocks end at block elements and ``br``.  Character references are decoded, white space in a block becomes one space, blocks are
 joined by a line feed.
 
-Defined results: null html is empty; a page without text gives an empty string; a null url has a host of its own; rows equal in
+Defined results: null html is empty; a page without text gives an empty string; pages with a null url share one host; rows equal in
 all columns each get the same text.
 """
 
 from __future__ import annotations
 
-import hashlib
 import html as entities
 import re
 from collections import Counter
@@ -35,14 +37,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .words import word_hashes
 
-#: Tokens of a run (a power of two), share of a page from which it counts as a repetition as a whole, tokens sorted at once,
-#: articles from which a run in them can be boilerplate.
-RUN, WHOLE, STRETCH, COMMON = 8, 0.9, 1 << 20, 5
+#: Tokens of a run (a power of two), tokens sorted at once, distinct articles from which a run in them can be boilerplate, streams of a
+#: host from which it is salted, runs of a round.
+RUN, STRETCH, COMMON, SALTED, ROUND = 8, 1 << 20, 5, 2000, 500_000
+_HOSTS = 1 << 16
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
@@ -209,7 +213,8 @@ def equal_suffixes(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _tokens(text: str) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(w) >> 1 for w in text.split()], np.int64)
+    raw = text.encode("utf-8", "surrogatepass")
+    return (word_hashes(np.frombuffer(raw, np.uint8), np.array([len(raw)]))[0] >> np.uint64(1)).astype(np.int64)
 
 
 def prefixes(tokens: np.ndarray) -> np.ndarray:
@@ -224,179 +229,188 @@ def prefixes(tokens: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(1)).astype(np.int64)
 
 
-def _parsed(pages: DataFrame) -> DataFrame:
-    """(page_id, url, host, key, stream, text, open, outside): text where markup decides, else the open blocks, and all tokens
-    outside articles."""
-    host = F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("?"))
-    kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.string())
-    names = ("page_id", "url", "host", "key", "stream", "text", "open", "outside")
+ARTICLE, OUTSIDE = 0, 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for page_id, url, where, page in zip(*[c.to_pylist() for c in batch.columns]):
-                found = blocks(page or "")
-                main = [t for k, t in found if k == MAIN]
-                outside = " ".join(t for k, t in found if k != MAIN)
-                open_ = None if main else [t for k, t in found if k == OPEN]
-                key = hashlib.md5(f"{page_id}|{url}|{page}".encode("utf-8", "surrogatepass")).hexdigest()
-                rows.append((page_id, url, where, key, xxhash.xxh3_64_intdigest(outside) >> 1, None if open_ else "\n".join(main), open_ or None, outside))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], names=names)
 
-    rows = pages.select("page_id", "url", host.alias("host"), "html")
-    return rows.mapInArrow(run, "page_id long, url string, host string, key string, stream long, text string, open array<string>, outside string")
+def need(part: int, n: int) -> int:
+    """In how many of n distinct streams a run is boilerplate."""
+    return max(COMMON, n // 2 + 1) if part == ARTICLE else max(2, -(-n // 10))
 
 
-def repeated_runs(parsed: DataFrame) -> DataFrame:
-    """(host, prefix) of the runs that distinct pages of a host have outside articles."""
+def _below(part: int, n: int) -> int:
+    """In how many of a stretch's n streams a run may be without being named."""
+    return n // 2 if part == ARTICLE else -(-n // 10) - 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hosts: dict[str, list[tuple[int, np.ndarray]]] = {}
-        size = 0
-
-        def sorted_out() -> Iterator[pa.RecordBatch]:
-            for host, pages in hosts.items():
-                stream = np.concatenate([np.append(t, -1 - i) for i, (_, t) in enumerate(pages)])
-                page = np.concatenate([np.full(len(t) + 1, p, np.int64) for p, t in pages])
-                order, rank = equal_suffixes(stream, RUN)
-                hashes = np.full(len(stream), -1, np.int64)
-                at = 0
-                for _, t in pages:
-                    h = prefixes(t)
-                    hashes[at : at + len(h)] = h
-                    at += len(t) + 1
-                order = order[hashes[order] >= 0]
-                if not len(order):
-                    continue
-                starts = np.flatnonzero(np.concatenate(([True], rank[order][1:] != rank[order][:-1])))
-                own = page[order]
-                yield pa.RecordBatch.from_pydict({"host": pa.array([host] * len(starts), pa.string()), "prefix": pa.array(hashes[order[starts]], pa.int64()), "low": pa.array(np.minimum.reduceat(own, starts), pa.int64()), "high": pa.array(np.maximum.reduceat(own, starts), pa.int64())})
 
-        for batch in batches:
-            for host, stream, outside in zip(*[c.to_pylist() for c in batch.columns]):
-                t = _tokens(outside)
-                hosts.setdefault(host, []).append((stream, t))
-                size += len(t)
-            if size > STRETCH:
-                yield from sorted_out()
-                hosts, size = {}, 0
-        yield from sorted_out()
+def _host() -> Column:
+    return F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("?"))
+
 
-    groups = parsed.select("host", "stream", "outside").mapInArrow(run, "host string, prefix long, low long, high long")
-    return groups.groupBy("host", "prefix").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("host", "prefix")
+def _parts(page: str | None) -> tuple[list[str], list[str], str]:
+    """The article's blocks, the open blocks, and the text of all blocks outside of articles."""
+    found = blocks(page or "")
+    return [t for k, t in found if k == MAIN], [t for k, t in found if k == OPEN], " ".join([t for k, t in found if k != MAIN])
 
 
-def common_runs(articles: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(host, prefix) of the runs that more than half of a host's distinct articles have, and COMMON of them at least.
+def _salts(pages: DataFrame) -> np.ndarray:
+    """How many salts a host takes, by its bucket: a table of fixed size.  A small host in the bucket of a large one is salted too."""
+    sizes = pages.groupBy(_host().alias("host")).count().groupBy(F.pmod(F.xxhash64("host"), F.lit(_HOSTS)).cast("int").alias("bucket")).agg(F.max("count").alias("n"))
+    salts = np.ones(_HOSTS, np.int64)
+    for bucket, n in sizes.where(F.col("n") > SALTED).collect():
+        salts[bucket] = 1 << int(np.ceil(np.log2(n / SALTED)))
+    return salts
 
-    articles (host, key, text) have each text of a host once (rows of one key are equal and count once), sizes (host, of) tells how
-    many.  A run in more than half of them is in more than half of those of some stretch, and it has at most half of the others."""
 
-    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[np.ndarray]]]:
-        hosts: dict[str, dict[str, np.ndarray]] = {}
-        size = 0
+def streams(pages: DataFrame) -> DataFrame:
+    """(host, part, salt, copy, text): the streams of all pages, dealt by host and salt; equal ones stand together."""
+    salts = _salts(pages)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string())
         for batch in batches:
-            for host, key, text in zip(*[c.to_pylist() for c in batch.columns]):
-                t = hosts.setdefault(host, {})[key] = _tokens(text)
-                size += len(t)
-                if size > STRETCH:
-                    yield from ((h, list(p.values())) for h, p in hosts.items())
-                    hosts, size = {}, 0
-        yield from ((h, list(p.values())) for h, p in hosts.items())
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for host, pages in grouped(batches):
-            stream = np.concatenate([np.append(t, -1 - i) for i, t in enumerate(pages)])
-            page = np.repeat(np.arange(len(pages)), [len(t) + 1 for t in pages])
-            hashes = np.concatenate([np.append(h, np.full(len(t) + 1 - len(h), -1, np.int64)) for t in pages for h in [prefixes(t)]])
+            rows = []
+            for host, bucket, page in zip(*[c.to_pylist() for c in batch.columns]):
+                main, _, outside = _parts(page)
+                for part, text in ((ARTICLE, "\n".join(main)), (OUTSIDE, outside)):
+                    if text:
+                        copy = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+                        if (host, part, copy) not in seen:
+                            seen.add((host, part, copy))
+                            rows.append((host, part, copy % int(salts[bucket]), copy, text))
+            if len(seen) > 100_000:
+                seen.clear()
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["host", "part", "salt", "copy", "text"])
+
+    bucket = F.pmod(F.xxhash64("host"), F.lit(_HOSTS)).cast("int").alias("bucket")
+    found = pages.select(_host().alias("host"), "html").select("host", bucket, "html").mapInArrow(run, "host string, part int, salt int, copy long, text string")
+    return found.repartition(common.partitions(pages.sparkSession), "host", "part", "salt").sortWithinPartitions("host", "part", "salt", "copy")
+
+
+def named_runs(found: DataFrame) -> DataFrame:
+    """(host, part, prefix, n, below): for each stretch of a host's streams the runs that have its share, with the number of streams that
+    have them; and a row of prefix -1 with the number of all streams.  below is what the stretch may hide of a run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, size, last = None, [], 0, None
+
+        def named() -> pa.RecordBatch:
+            host, part, _ = at
+            stream = np.concatenate([np.append(t, -1 - i) for i, t in enumerate(held)])
+            page = np.repeat(np.arange(len(held)), [len(t) + 1 for t in held])
+            hashes = np.concatenate([np.append(h, np.full(len(t) + 1 - len(h), -1, np.int64)) for t in held for h in [prefixes(t)]])
             order, rank = equal_suffixes(stream, RUN)
             order = order[hashes[order] >= 0]
-            half = len(pages) // 2
-            if not len(order):
-                yield pa.RecordBatch.from_pydict({"host": [host], "prefix": pa.array([-1], pa.int64()), "n": pa.array([0], pa.int64()), "half": pa.array([half], pa.int64())})
-                continue
-            starts = np.flatnonzero(np.concatenate(([True], rank[order][1:] != rank[order][:-1])))
-            # Suffixes of equal rank keep their order, so a page's own stand side by side.
-            first = np.concatenate(([True], (page[order][1:] != page[order][:-1]) | (rank[order][1:] != rank[order][:-1])))
-            n = np.add.reduceat(first.astype(np.int64), starts)
-            many = n * 2 > len(pages)
-            found, n = np.append(hashes[order[starts[many]]], -1), np.append(n[many], 0)
-            # The row of prefix -1 tells how much the stretch may have of a run that it doesn't name.
-            yield pa.RecordBatch.from_pydict({"host": pa.array([host] * len(found), pa.string()), "prefix": pa.array(found, pa.int64()), "n": pa.array(n, pa.int64()), "half": pa.array(np.full(len(found), half), pa.int64())})
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for host, key, text, wanted in zip(*[c.to_pylist() for c in batch.columns]):
-                found = np.intersect1d(prefixes(_tokens(text)), np.array(wanted, np.int64))
-                yield pa.RecordBatch.from_pydict({"host": pa.array([host] * len(found), pa.string()), "key": pa.array([key] * len(found), pa.string()), "prefix": pa.array(found, pa.int64())})
-
-    sizes = common.written(sizes.where(F.col("of") >= COMMON).withColumnRenamed("host", "name"), "hosts")
-    large = articles.join(sizes, F.col("host") == F.col("name")).select("host", "key", "text")
-    named = common.written(large.mapInArrow(local, "host string, prefix long, n long, half long").groupBy("host", "prefix").agg(F.sum("n").alias("n"), F.sum("half").alias("half")), "runs-named")
-    rest = named.where("prefix = -1").select(F.col("host").alias("at"), F.col("half").alias("all_half"))
-    most = named.where("prefix >= 0").join(rest, F.col("host") == F.col("at")).join(sizes, F.col("host") == F.col("name")).withColumn("most", F.expr("n + all_half - half"))
-    maybe = most.where(f"most >= {COMMON} AND 2 * most > of").groupBy("at").agg(F.collect_list("prefix").alias("wanted"))
-    maybe = common.written(maybe, "runs-maybe")
-    counts = large.join(maybe, F.col("host") == F.col("at")).select("host", "key", "text", "wanted").mapInArrow(each, "host string, key string, prefix long").distinct().groupBy("host", "prefix").count()
-    return counts.join(sizes, F.col("host") == F.col("name")).where(f"count >= {COMMON} AND 2 * count > of").select("host", "prefix")
-
-
-def _cut_articles(parsed: DataFrame) -> DataFrame:
-    """(page_id, url, text) of the pages that markup decides, without what most articles of their host repeat."""
-    decided = parsed.where("open IS NULL").select("page_id", "url", "host", "text")
-    named = parsed.where("open IS NULL AND text <> ''").select("host", "key", F.md5("text").alias("copy"))
-    first = common.written(named.groupBy("host", "copy").agg(F.min("key").alias("first")).groupBy("host", "first").count(), "articles")
-    distinct = parsed.where("open IS NULL AND text <> ''").join(first.select("first").withColumnRenamed("first", "of"), F.col("key") == F.col("of"), "left_semi")
-    distinct = distinct.select("host", "key", "text")
-    runs = common_runs(distinct, first.groupBy("host").agg(F.count(F.lit(1)).alias("of"))).groupBy(F.col("host").alias("at")).agg(F.collect_list("prefix").alias("runs"))
-    rows = decided.join(common.written(runs, "runs"), F.col("host") == F.col("at"), "left").select("page_id", "url", "text", "runs")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            least = _below(part, len(held))
+            names, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+            if len(order):
+                new = np.concatenate(([True], rank[order][1:] != rank[order][:-1]))
+                # Suffixes of equal rank keep their order, so a page's own stand side by side.
+                first = new | np.concatenate(([True], page[order][1:] != page[order][:-1]))
+                starts = np.flatnonzero(new)
+                counts = np.add.reduceat(first.astype(np.int64), starts)
+                names, counts = hashes[order[starts]][counts > least], counts[counts > least]
+            n = len(names) + 1
+            columns = ([host] * n, [part] * n, np.append(names, -1), np.append(counts, len(held)), np.full(n, least))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["host", "part", "prefix", "n", "below"])
+
         for batch in batches:
-            texts = []
-            for text, runs in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                places = np.flatnonzero(np.isin(prefixes(_tokens(text)), np.array(runs, np.int64))) if runs else ()
-                texts.append((unique_text(text.split("\n"), list(places), 2.0) or text) if len(places) else text)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+            for host, part, salt, copy, text in zip(*[c.to_pylist() for c in batch.columns]):
+                if (host, part, salt) != at or size > STRETCH:
+                    if held:
+                        yield named()
+                    if (host, part, salt) != at:
+                        last = None
+                    at, held, size = (host, part, salt), [], 0
+                if copy != last:
+                    held.append(_tokens(text))
+                    size += len(held[-1])
+                    last = copy
+        if held:
+            yield named()
 
-    return rows.mapInArrow(cut, "page_id long, url string, text string")
+    return found.mapInArrow(run, "host string, part int, prefix long, n long, below long")
 
 
-def _judged(parsed: DataFrame) -> DataFrame:
-    """(page_id, url, text) of the pages whose open blocks the host's repetitions judge."""
-    undecided = parsed.where("open IS NOT NULL")
+class Runs:
+    """Runs by host and part: what a round of pages is matched against."""
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for host, key, outside in zip(*[c.to_pylist() for c in batch.columns]):
-                h = prefixes(_tokens(" ".join(outside)))
-                yield pa.RecordBatch.from_pydict({"host": pa.array([host] * len(h), pa.string()), "key": pa.array([key] * len(h), pa.string()), "place": pa.array(np.arange(len(h)), pa.int64()), "prefix": pa.array(h, pa.int64())})
+    def __init__(self, rows):
+        self.of = {(r["host"], r["part"]): np.sort(np.array(r["runs"], np.int64)) for r in rows}
 
-    rows = undecided.select("host", "key", "open").mapInArrow(places, "host string, key string, place long, prefix long").distinct()
-    rows = common.written(rows, "places")
-    runs = repeated_runs(parsed).select(F.concat_ws("|", "prefix", "host").alias("run"))
-    hit = rows.join(runs, F.concat_ws("|", "prefix", "host") == F.col("run")).groupBy(F.col("key").alias("of")).agg(F.collect_list("place").alias("places"))
-    pages = undecided.select("page_id", "url", "key", "open").join(hit, F.col("key") == F.col("of"), "left").select("page_id", "url", "open", "places")
+    def places(self, host: str, part: int, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places at which runs begin, and the hashes there."""
+        runs = self.of.get((host, part))
+        if runs is None or not len(hashes := prefixes(tokens)):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        at = np.flatnonzero(runs[np.minimum(np.searchsorted(runs, hashes), len(runs) - 1)] == hashes)
+        return at, hashes[at]
+
+
+def rounds(pages: DataFrame, runs: DataFrame) -> Iterator[tuple[DataFrame, object]]:
+    """(pages (page_id, url, host, html) of a round, broadcast Runs of their hosts): one round for every ``ROUND`` runs."""
+    n = max(1, -(-runs.count() // ROUND))
+    for k in range(n):
+        own = lambda df: df.where(F.pmod(F.xxhash64("host"), F.lit(n)) == k) if n > 1 else df  # noqa: E731, B023
+        rows = own(runs).groupBy("host", "part").agg(F.collect_list("prefix").alias("runs")).collect()
+        yield own(pages.select("page_id", "url", _host().alias("host"), "html")), pages.sparkSession.sparkContext.broadcast(Runs(rows))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [unique_text(o, p or []) for o, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return pages.mapInArrow(cut, "page_id long, url string, text string")
+def _counted(pages: DataFrame, maybe: DataFrame) -> DataFrame:
+    """(host, part, prefix, n): in how many distinct streams of its host each run is."""
 
+    def hits(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for host, page in zip(*[c.to_pylist() for c in batch.columns]):
+                    if (host, ARTICLE) not in shared.value.of and (host, OUTSIDE) not in shared.value.of:
+                        continue
+                    main, _, outside = _parts(page)
+                    for part, text in ((ARTICLE, "\n".join(main)), (OUTSIDE, outside)):
+                        found = np.unique(shared.value.places(host, part, _tokens(text))[1])
+                        if n := len(found):
+                            copy = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+                            columns = ([host] * n, [part] * n, found, [copy] * n)
+                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["host", "part", "prefix", "copy"])
 
-def unique_text(open_: list[str], places: list[int], whole: float = WHOLE) -> str:
-    """The blocks without the tokens that runs from these places on cover, or all of them from a share of ``whole`` on."""
-    words = [b.split() for b in open_]
+        return run
+
+    found = None
+    for own, shared in rounds(pages, maybe):
+        rows = own.select("host", "html").mapInArrow(hits(shared), "host string, part int, prefix long, copy long")
+        found = rows if found is None else found.unionByName(rows)
+    return found.distinct().groupBy("host", "part", "prefix").agg(F.count(F.lit(1)).alias("n"))
+
+
+def boilerplate_runs(pages: DataFrame, scratch: common.Scratch) -> DataFrame:
+    """(host, part, prefix) of the runs to remove."""
+    named = scratch.written(named_runs(streams(pages)), "runs-named")
+    total = named.where("prefix = -1").groupBy(F.col("host").alias("at"), F.col("part").alias("in")).agg(F.sum("n").alias("of"), F.sum("below").alias("all_below"))
+    least = F.when(F.col("in") == ARTICLE, F.greatest(F.lit(COMMON), F.floor(F.col("of") / 2) + 1)).otherwise(F.greatest(F.lit(2), F.ceil(F.col("of") / 10)))
+    total = total.select("at", "in", "all_below", least.alias("least"))
+    runs = named.where("prefix >= 0").groupBy("host", "part", "prefix").agg(F.sum("n").alias("n"), F.sum("below").alias("below"))
+    runs = runs.join(total, (F.col("host") == F.col("at")) & (F.col("part") == F.col("in"))).where("n + all_below - below >= least")
+    runs = scratch.written(runs.select("host", "part", "prefix", "n", "least"), "runs-likely")
+    sure, maybe = runs.where("n >= least").select("host", "part", "prefix"), runs.where("n < least")
+    if maybe.isEmpty():
+        return sure
+    n = _counted(pages, maybe.select("host", "part", "prefix")).select(F.col("host").alias("at"), F.col("part").alias("in"), F.col("prefix").alias("run"), F.col("n").alias("exact"))
+    more = maybe.join(n, (F.col("host") == F.col("at")) & (F.col("part") == F.col("in")) & (F.col("prefix") == F.col("run"))).where("exact >= least")
+    return sure.unionByName(scratch.written(more.select("host", "part", "prefix"), "runs-counted"))
+
+
+def unique_text(candidates: list[str], places) -> str:
+    """The blocks without the tokens that runs from these places on cover; all of them if fewer than RUN tokens would be left."""
+    words = [b.split() for b in candidates]
     n = sum(map(len, words))
     covered = np.zeros(n + 1, np.int64)
     for p in places:
         covered[p] += 1
         covered[min(n, p + RUN)] -= 1
     gone = np.cumsum(covered)[:n] > 0
-    if n and gone.mean() >= whole:
-        return "\n".join(open_)
+    if n - int(gone.sum()) < RUN:
+        return "\n".join(candidates)
     out, at = [], 0
     for w in words:
         left = [x for x, g in zip(w, gone[at : at + len(w)]) if not g]
@@ -408,7 +422,27 @@ def unique_text(open_: list[str], places: list[int], whole: float = WHOLE) -> st
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of pages (page_id, url, html)."""
-    common.prepare(pages.sparkSession)
-    parsed = common.written(_parsed(pages), "pages")
-    rows = _cut_articles(parsed).unionByName(_judged(parsed))
+    spark = common.prepare(pages.sparkSession)
+
+    def cut(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = []
+                for host, page in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                    main, open_, _ = _parts(page)
+                    candidates = main or open_
+                    text = "\n".join(candidates)
+                    if (host, part := OUTSIDE if not main else ARTICLE) in shared.value.of:
+                        at, _ = shared.value.places(host, part, _tokens(text))
+                        text = unique_text(candidates, at) if len(at) else text
+                    texts.append(text)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+        return run
+
+    with common.Scratch(spark) as scratch:
+        rows = None
+        for own, shared in rounds(pages, boilerplate_runs(pages, scratch)):
+            found = own.mapInArrow(cut(shared), "page_id long, url string, text string")
+            rows = found if rows is None else rows.unionByName(found)
     return rows.withColumn("n_chars", F.char_length("text").cast("long"))

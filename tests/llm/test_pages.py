@@ -101,11 +101,14 @@ def test_main_text(spark):
     own = [f"Number{i} speaks of topic{i * 7} in{i} its{i} own{i} words &amp; more{i}" for i in range(6)]
     rows = [(i, f"http://h.com/{i}", frame(b)) for i, b in enumerate(own)]
     rows += [(7, "http://other.com/", frame("alone on its host")), (8, None, None), (9, "http://h.com/9", "<article>All rights reserved by the example company 2024 terms privacy imprint</article>"), (10, "http://c.com/a", frame("copy")), (11, "http://c.com/b", frame("copy"))]
+    large = "".join(f"<div>{' '.join(f'frame{k}x{j}' for j in range(100))}</div>" for k in range(3))
+    rows += [(40 + i, f"http://large.com/{i}", large + "<div>" + " ".join(f"{'own' if not i else 'other'}{k}" for k in range(30)) + "</div>") for i in range(2)]
     got = {x.page_id: x for x in html_text.main_text(table(spark, rows)).collect()}
     for i, b in enumerate(own):
         assert got[i].text == b.replace("&amp;", "&") and got[i].n_chars == len(got[i].text)
     assert got[7].text.count("\n") == 2 and got[8].text == "" and got[8].n_chars == 0
     assert got[9].text.startswith("All rights") and got[10].text == got[11].text and "copy" in got[10].text
+    assert html_text.main_text(table(spark, rows)).where("page_id = 40").head().text == " ".join(f"own{k}" for k in range(30))
     twice = html_text.main_text(table(spark, rows + rows))
     assert twice.count() == 2 * len(rows) and twice.distinct().count() == len(rows)
     assert html_text.main_text(table(spark, rows).limit(0)).count() == 0
@@ -123,3 +126,59 @@ def test_boilerplate_in_articles(spark):
     for i, b in enumerate(own):
         assert got[i] == b + ("\n" + shared if i < 2 else "")
     assert all(got[20 + i] == f"{own[i]}\n{notice}" for i in range(3)) and all(got[30 + i] == own[2] for i in range(20))
+
+
+def plain_runs(pages):
+    """The runs to remove, by counting every substring of RUN tokens in every distinct stream."""
+    streams = {}
+    for _, url, page in pages:
+        main, _, outside = html_text._parts(page)
+        host = url.split("/")[2]
+        for part, text in ((html_text.ARTICLE, "\n".join(main)), (html_text.OUTSIDE, outside)):
+            if text:
+                streams.setdefault((host, part), set()).add(tuple(text.lower().split()))
+    found = {}
+    for key, texts in streams.items():
+        count = {}
+        for t in texts:
+            for run in {t[i : i + html_text.RUN] for i in range(len(t) - html_text.RUN + 1)}:
+                count[run] = count.get(run, 0) + 1
+        found[key] = {run for run, n in count.items() if n >= html_text.need(key[1], len(texts))}
+    return found
+
+
+def plain_text(page, host, runs):
+    main, open_, _ = html_text._parts(page)
+    words = [(k, w) for k, b in enumerate(main or open_) for w in b.split()]
+    own, gone = runs.get((host, html_text.ARTICLE if main else html_text.OUTSIDE), set()), set()
+    for i in range(len(words)):
+        if tuple(w.lower() for _, w in words[i : i + html_text.RUN]) in own:
+            gone |= set(range(i, i + html_text.RUN))
+    if len(words) - len(gone) < html_text.RUN:
+        return "\n".join(main or open_)
+    lines = {}
+    for i, (k, w) in enumerate(words):
+        if i not in gone:
+            lines.setdefault(k, []).append(w)
+    return "\n".join(" ".join(lines[k]) for k in sorted(lines))
+
+
+def test_main_text_equals_plain_counting(spark, monkeypatch):
+    r = np.random.default_rng(11)
+    phrases = [" ".join(f"p{k}w{j}" for j in range(int(r.integers(5, 20)))) for k in range(12)]
+    rows = []
+    for i in range(120):
+        own = [" ".join(f"Own{r.integers(0, 50)}" for _ in range(int(r.integers(0, 25)))) for _ in range(3)]
+        shared = [phrases[k] for k in r.choice(12, int(r.integers(0, 7)), p=np.arange(1, 13) / 78)]
+        body = "".join(f"<p>{x}</p>" for x in r.permutation(own + shared))
+        rows.append((i, f"http://h{int(r.integers(0, 3))}.com/{i}", f"<nav>{phrases[3]}</nav><article>{body}</article>" if i % 2 else body))
+    rows += [(200 + i, *rows[i][1:]) for i in range(20)]
+    runs = plain_runs(rows)
+    want = {i: plain_text(page, url.split("/")[2], runs) for i, url, page in rows}
+    pages = table(spark, rows)
+    for salted, stretch, of_round in ((2000, 1 << 20, 500_000), (5, 300, 40)):
+        for name, value in (("SALTED", salted), ("STRETCH", stretch), ("ROUND", of_round)):
+            monkeypatch.setattr(html_text, name, value)
+        got = {x.page_id: x.text for x in html_text.main_text(pages).collect()}
+        assert got == want
+    assert sum(map(len, runs.values())) > 50 and sum(want[i] != "\n".join(html_text._parts(p)[0] or html_text._parts(p)[1]) for i, _, p in rows) > 40
