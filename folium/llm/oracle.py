@@ -19,8 +19,7 @@ covered AS (SELECT r, count(*) AS n FROM (SELECT r, i FROM twice UNION SELECT r,
 each_line AS (SELECT r, doc_id, source, t, unnest(lines) AS line FROM w),
 normal AS (SELECT r, doc_id, source, t, lower(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM each_line),
 above AS (
-  SELECT f.source, f.line FROM (SELECT source, line, count(DISTINCT (doc_id, t)) AS docs FROM normal GROUP BY source, line) f
-  JOIN (SELECT source, count(*) AS n FROM docs GROUP BY source) h ON h.source IS NOT DISTINCT FROM f.source WHERE f.docs > 20 AND f.docs > 0.02 * h.n),
+  SELECT f.source, f.line FROM (SELECT source, line, count(DISTINCT t) AS docs FROM normal GROUP BY source, line) f WHERE f.docs > 20),
 removed AS (SELECT r, sum(n) AS n FROM normal JOIN above a ON a.line = normal.line AND a.source IS NOT DISTINCT FROM normal.source GROUP BY r),
 base AS (
   SELECT w.r, doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,

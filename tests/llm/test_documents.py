@@ -321,6 +321,10 @@ def test_quality(spark, odd):
         x = got[i]
         assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words, x.base_failed) == plain_quality(t)
         assert x.kept == (not x.base_failed and i < 120)
+    pairs = {x.doc_id: x.n_repeat_words for x in quality.verdicts(docs, packed=30).collect()}
+    assert pairs == {i: x.n_repeat_words for i, x in got.items()}
+    copies = quality.verdicts(docs.where("doc_id = 3").drop("doc_id").crossJoin(spark.range(50).toDF("doc_id")))
+    assert copies.where("kept AND n_removed_words = 0").count() == 50
     rows = quality.verdicts(odd)
     assert rows.count() == odd.count() and rows.where("n_words = 0 AND kept").count() == 0
     assert quality.verdicts(odd.limit(0)).count() == 0
