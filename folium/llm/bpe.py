@@ -26,8 +26,8 @@ from . import common
 
 #: Bytes of a word from which a heap takes the place of scans.
 LONG = 256
-#: Entries of each of a memo's two generations, and code points of the longest key kept: some 60 MB a worker at most.
-MEMO, MEMO_LEN = 200_000, 48
+#: Entries of each of a memo's two generations, and code points of the longest key kept: some 50 MB a worker at most.
+MEMO, MEMO_LEN = 120_000, 48
 _NO_RANK = 1 << 60
 #: The split of the public vocabularies, and, for texts in lower case without other characters than those of ``_COMMON``, the same split
 #: in a form that the faster ``re`` module takes: letters and numbers of Latin-1, Latin Extended-A and Cyrillic are spelt out.

@@ -12,14 +12,14 @@ sets are found; the result gives them as connected components.
    frequent and those that aren't low come last; equals go by hash.  A document whose elements of its own fill its prefix has no
    partner; the others keep what is left of their prefix.  Elements that are frequent within a stretch are counted there and not
    dealt, so no element deals more than ``FREQUENT`` rows a stretch.
-3. The documents that share a prefix element make a list.  Elements of which only one of two sets sets the bit bound how far the
-   sets differ from below, so most pairs of a list can't link.  What is left connects documents; a pair that links is in a list, so it
-   is connected.  A list of more than ``LIST`` documents connects all it has through the smallest.  Candidate groups are
-   the components of all lists.
+3. Documents that share a prefix element, joined through the smallest of them, form candidate groups (components).  In a group of
+   more than a block of documents the documents of an element make a list, and bitmaps tell which pairs of a list may link: elements of
+   which only one of two sets sets the bit bound from below how far the sets differ.  What may link stays together; a pair that links is
+   in a list, so it does.  A list of more than ``LIST`` documents stays together as a whole.
 4. A group comes to one task with its texts and is joined by a signature tree.  Groups that are larger than a block, by documents or
    by elements, are cut into blocks, each with the same 16 pivots, which connect what is alike across blocks.
-5. In groups of several blocks, links may be left between components.  The lists of their documents tell which pairs of different
-   components the bitmaps still allow; those pairs, and only those, are compared by their texts.
+5. In groups of several blocks, links may be left between components.  Wider bitmaps of their documents tell which pairs of different
+   components may still link; those pairs, and only those, are compared by their texts: first the most alike, then what is left.
 
 Nothing depends on a cap: the constants decide where work is done, not what is compared.
 
@@ -44,7 +44,7 @@ from .words import word_hashes
 
 PERCENT, WORDS = 75, 5
 LOW = (3 << 63) // 8
-FREQUENT, PIVOTS, BLOCK, BLOCK_ELEMENTS, STRETCH, LIST, FEW = 16, 16, 1024, 2_000_000, 2_000_000, 4096, 1_000_000
+FREQUENT, PIVOTS, BLOCK, BLOCK_ELEMENTS, STRETCH, LIST, PART_ROWS, FEW = 16, 16, 1024, 2_000_000, 2_000_000, 4096, 1_000_000, 1_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -89,9 +89,9 @@ def width(n: int) -> int:
     return 1 << max(6, int(4 * n // 3).bit_length())
 
 
-def bitmap(s: np.ndarray) -> bytes:
+def bitmap(s: np.ndarray, times: int = 1) -> bytes:
     """The bits that the elements of a set hash to, little-endian."""
-    bits = np.zeros(width(len(s)), bool)
+    bits = np.zeros(times * width(len(s)), bool)
     bits[s & (len(bits) - 1)] = True
     return np.packbits(bits, bitorder="little").tobytes()
 
@@ -148,7 +148,8 @@ def profile(docs: DataFrame, percent: int) -> DataFrame:
 
 
 def prefixes(profiles: DataFrame) -> DataFrame:
-    """(doc, n, bits, elements): what is left of the prefixes of the documents that may have a partner."""
+    """(doc, n, alone, bits, elements): what is left of the prefixes of the documents that may have a partner, and the share of their
+    low elements that no other document has."""
     dealt = profiles.where("size(hashes) > 0").select("doc", F.explode("hashes").alias("h"))
     of = Window.partitionBy("h")
     seen = dealt.withColumn("k", F.count(F.lit(1)).over(of)).withColumn("marks", F.sum(F.col("doc").isNull().cast("int")).over(of))
@@ -160,10 +161,12 @@ def prefixes(profiles: DataFrame) -> DataFrame:
     both = own.join(shared, F.col("doc") == F.col("of"), "left")
     both = both.withColumn("shared", F.coalesce("shared", F.array().cast("array<struct<level:int,h:bigint>>")))
     low = F.size(F.filter("shared", lambda e: e["level"] <= FREQUENT))
-    left = F.col("p") - (F.col("a") - F.size("often") - low)
+    own_elements = F.col("a") - F.size("often") - low
+    left = F.col("p") - own_elements
     often = F.transform("often", lambda h: F.struct(F.lit(FREQUENT).alias("level"), h.alias("h")))
     kept = F.slice(F.array_sort(F.concat("shared", often)), F.lit(1), F.greatest(left, F.lit(0)).cast("int"))
-    return both.where(left > 0).select("doc", "n", "bits", F.transform(kept, lambda e: e["h"]).alias("elements"))
+    alone = own_elements / F.greatest(F.col("a"), F.lit(1))
+    return both.withColumn("kept", kept).where(left > 0).select("doc", "n", alone.alias("alone"), "bits", F.transform("kept", lambda e: e["h"]).alias("elements"))
 
 
 def _folded(bits: bytes, w: int) -> np.ndarray:
@@ -194,99 +197,119 @@ def _classes(sizes: list[int], percent: int) -> list[tuple[int, list[int]]]:
     return [(w, [i for i, x in enumerate(widths) if w <= x <= most * w]) for w in sorted(set(widths))]
 
 
-def _listed(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
-    """Runs of rows with equal first columns, without those."""
-    at, held = None, []
-    for batch in batches:
-        for row in zip(*[c.to_pylist() for c in batch.columns]):
-            if at != row[:keys]:
-                if held:
-                    yield held
-                at, held = row[:keys], []
-            held.append(row[keys:])
-    if held:
-        yield held
-
-
 def _edges(pairs) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs)], names=["a", "b"])
 
 
-def list_edges(left: DataFrame, percent: int, scratch: common.Scratch, most: int = LIST) -> DataFrame:
-    """(a, b): edges that connect the documents of left (doc, n, bits, elements) which share an element and may link."""
+def shared_edges(left: DataFrame) -> DataFrame:
+    """(a, b): documents of left that share an element, each with the smallest that has it."""
+    rows = left.select("doc", F.explode("elements").alias("h"))
+    least = rows.groupBy("h").agg(F.min("doc").alias("b"), F.count(F.lit(1)).alias("k")).where("k > 1").select(common.skew_key("h").alias("same"), "b")
+    return rows.join(least, F.col("h").cast("string") == F.col("same")).where("doc <> b").select(F.col("doc").alias("a"), "b").distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        up: dict[int, int] = {}
-        out: list[tuple[int, int]] = []
 
-        def find(x: int) -> int:
-            while (y := up.setdefault(x, x)) != x:
-                up[x] = x = up[y]
-            return x
-
-        def join(x: int, y: int) -> None:
-            a, b = find(x), find(y)
-            if a != b:
-                up[max(a, b)] = min(a, b)
-                out.append((x, y))
-
-        for rows in _listed(batches, 1):
-            if len(rows) < 2:
-                continue
-            roots = [find(r[0]) for r in rows]
-            if roots.count(roots[0]) == len(roots):
-                continue
-            if len(rows) <= 8:
-                for i, (a, n, x) in enumerate(rows):
-                    for b, m, y in rows[i + 1 :]:
-                        if find(a) != find(b) and _may_link(n, x, m, y, percent):
-                            join(a, b)
-                continue
-            for w, members in _classes([r[1] for r in rows], percent):
-                n = np.array([rows[i][1] for i in members], np.int64)
-                bits = np.stack([_folded(rows[i][2], w) for i in members])
-                rest = np.arange(len(members))
-                while len(rest):
-                    open_, rest = [rest[0]], rest[1:]
-                    while open_ and len(rest):
-                        i = open_.pop()
-                        near = _near(n[rest], bits[rest], int(n[i]), bits[i], percent)
-                        for j in rest[near]:
-                            join(rows[members[i]][0], rows[members[j]][0])
-                        open_.extend(rest[near])
-                        rest = rest[~near]
-            if len(out) > 50_000:
+def list_edges(large: DataFrame, percent: int, most: int = LIST) -> DataFrame:
+    """(a, b): edges that connect the documents of a group of large (doc, grp, part, n, bits, elements) which share an element and may
+    link.  A group's elements stand in parts of bounded size, and a part is worked on alone.  A list of more than ``most`` documents
+    connects all it has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, docs, sizes, bits, elements = None, [], [], [], []
+
+        def joined() -> Iterator[pa.RecordBatch]:
+            groups, out = signature_tree.Groups(len(docs)), []
+
+            def join(i: int, j: int) -> None:
+                if groups.find(i) != groups.find(j):
+                    groups.join(i, j)
+                    out.append((docs[i], docs[j]))
+
+            which = np.repeat(np.arange(len(docs)), [len(e) for e in elements])
+            h = np.concatenate(elements)
+            order = np.argsort(h, kind="stable")
+            h, which = h[order], which[order]
+            starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            for a, b in zip(starts.tolist(), np.append(starts[1:], len(h)).tolist()):
+                own = which[a:b].tolist()
+                if len(own) < 2:
+                    continue
+                roots = [groups.find(i) for i in own]
+                if roots.count(roots[0]) == len(roots):
+                    continue
+                if len(own) > most:
+                    for i in own[1:]:
+                        join(own[0], i)
+                elif len(own) <= 8:
+                    for k, i in enumerate(own):
+                        for j in own[k + 1 :]:
+                            if groups.find(i) != groups.find(j) and _may_link(sizes[i], bits[i], sizes[j], bits[j], percent):
+                                join(i, j)
+                else:
+                    for w, members in _classes([sizes[i] for i in own], percent):
+                        members = [own[k] for k in members]
+                        n = np.array([sizes[i] for i in members], np.int64)
+                        rows = np.stack([_folded(bits[i], w) for i in members])
+                        rest = np.arange(len(members))
+                        while len(rest):
+                            open_, rest = [rest[0]], rest[1:]
+                            while open_ and len(rest):
+                                i = open_.pop()
+                                near = _near(n[rest], rows[rest], int(n[i]), rows[i], percent)
+                                for j in rest[near]:
+                                    join(members[i], members[j])
+                                open_.extend(rest[near])
+                                rest = rest[~near]
+            if out:
                 yield _edges(out)
-                out.clear()
-        if out:
-            yield _edges(out)
 
-    rows = left.select(F.explode("elements").alias("h"), "doc", "n", "bits")
-    sizes = rows.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("doc").alias("b"))
-    long = scratch.written(sizes.where(F.col("k") > most).select(common.skew_key("h").alias("same"), "b"), "long-lists")
-    if long.isEmpty():
-        stars = None
-    else:
-        same = F.col("h").cast("string") == F.col("same")
-        stars = rows.select("h", "doc").join(long, same).where("doc <> b").select(F.col("doc").alias("a"), "b").distinct()
-        rows = rows.join(long, same, "left_anti")
-    rows = rows.repartition(common.partitions(left.sparkSession), "h").sortWithinPartitions("h")
-    edges = rows.mapInArrow(run, "a long, b long")
-    return scratch.written(edges if stars is None else edges.unionByName(stars), "edges")
+        for batch in batches:
+            for doc, grp, part, n, x, own in zip(*[c.to_pylist() for c in batch.columns[:5]], (np.array(v.values) for v in batch.column(5))):
+                if (grp, part) != at:
+                    if docs:
+                        yield from joined()
+                    at, docs, sizes, bits, elements = (grp, part), [], [], [], []
+                docs.append(doc)
+                sizes.append(n)
+                bits.append(x)
+                elements.append(own)
+        if docs:
+            yield from joined()
+
+    rows = large.select("doc", "grp", "part", "n", "bits", "elements").where(F.size("elements") > 0)
+    rows = rows.repartition(common.partitions(large.sparkSession), "grp", "part").sortWithinPartitions("grp", "part", "doc")
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def told_apart(groups: DataFrame, left: DataFrame, percent: int, block: int, scratch: common.Scratch, most: int = LIST) -> DataFrame:
+    """groups (node, label) with those of more than a block of documents as the groups that lists and bitmaps make of them."""
+    sizes = groups.join(left.select(F.col("doc").alias("of"), F.size("elements").alias("rows")), F.col("node") == F.col("of"))
+    sizes = sizes.groupBy("label").agg(F.countDistinct("node").alias("k"), F.sum("rows").alias("rows")).where(F.col("k") > block)
+    sizes = scratch.written(sizes.select(common.skew_key("label").alias("large"), F.ceil(F.col("rows") / PART_ROWS).cast("int").alias("parts")), "large")
+    if sizes.isEmpty():
+        return groups
+    large = F.col("label").cast("string") == F.col("large")
+    members = scratch.written(groups.join(sizes, large).select(F.col("node").alias("of"), F.col("label").alias("grp"), "parts"), "large-members")
+    rows = left.join(members, F.col("doc") == F.col("of")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.withColumn("elements", F.when(F.col("parts") == 1, F.col("elements")).otherwise(F.filter("elements", lambda h: F.pmod(h, F.col("parts")) == F.col("part"))))
+    again = components(scratch.written(list_edges(rows, percent, most), "edges"), scratch)
+    return scratch.written(groups.join(sizes, large, "left_anti").unionByName(again), "groups")
 
 
 def _blocks(groups: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
-    """Of groups (doc, grp, n): (doc, grp, block) of all members and, for groups of several blocks, their pivots in every block; and
-    the documents (doc) of those groups."""
+    """Of groups (doc, grp, n, alone): (doc, grp, block) of all members and, for groups of several blocks, their pivots in every block;
+    and (doc, grp, parts) of those groups.
+
+    Pivots are documents with few elements of their own: copies that were changed each in another way are alike to what they were
+    made from more than to each other."""
     sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("elements"))
     blocks = F.ceil(F.greatest(F.col("k") / block, F.col("elements") / BLOCK_ELEMENTS)).cast("int")
-    sizes = sizes.select(common.skew_key("grp").alias("same"), blocks.alias("blocks"))
-    members = groups.join(sizes, F.col("grp").cast("string") == F.col("same")).select("doc", "grp", "blocks")
+    sizes = sizes.select(common.skew_key("grp").alias("same"), blocks.alias("blocks"), F.ceil(F.greatest(F.col("k") / LIST, F.col("elements") / (4 * BLOCK_ELEMENTS))).cast("int").alias("parts"))
+    members = groups.join(sizes, F.col("grp").cast("string") == F.col("same")).drop("same")
     large = members.where("blocks > 1")
-    pivots = large.groupBy("grp", "blocks", F.pmod(F.xxhash64("doc", F.lit(1)), F.lit(PIVOTS)).alias("r")).agg(F.min_by("doc", F.xxhash64("doc", F.lit(2))).alias("doc"))
+    pivots = large.groupBy("grp", "blocks", F.pmod(F.xxhash64("doc", F.lit(1)), F.lit(PIVOTS)).alias("r")).agg(F.min_by("doc", F.struct("alone", F.xxhash64("doc", F.lit(2)))).alias("doc"))
     pivots = pivots.select("doc", "grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     own = members.select("doc", "grp", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"))
-    return own.unionByName(pivots).distinct(), large.select("doc")
+    return own.unionByName(pivots).distinct(), large.select("doc", "grp", "parts")
 
 
 def _texts(asked: DataFrame, docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
@@ -338,42 +361,68 @@ def _join_blocks(rows: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def open_pairs(left: DataFrame, known: DataFrame, percent: int, scratch: common.Scratch, most: int = LIST) -> DataFrame:
-    """(a, b): the pairs of documents of different components of known (doc, label) that share an element of left and may link.
+def _wide(several: DataFrame, docs: DataFrame) -> DataFrame:
+    """several (doc, grp, parts) with n and a bitmap of eight times the usual width: near misses of a group of copies show in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(batch_sets(batch.column(3)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(map(len, sets), pa.int64()), pa.array([bitmap(s, 8) for s in sets], pa.binary())], names=["doc", "grp", "parts", "n", "bits"])
+
+    return _texts(several, docs).select("doc", "grp", "parts", "text").mapInArrow(run, "doc long, grp long, parts int, n long, bits binary")
 
-    In each list the documents of the component that has most of it are looked at, the others look and are looked at.  Both sides
-    of a long list are cut into parts of ``most`` documents on average, and each part of one side meets each of the other."""
+
+def open_pairs(wide: DataFrame, labels: DataFrame, percent: int, scratch: common.Scratch, best: bool) -> DataFrame | None:
+    """(a, b): the pairs of documents of one group of wide but of different components of labels (node, label) that may still link; null
+    if no group has several components.  best: of each document and each other component only the pair that is most alike.
+
+    The documents outside a group's largest component look at all of its documents, whose bitmaps stand in parts of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, base, classes = None, [], None
         found: set[tuple[int, int]] = set()
-        for rows in _listed(batches, 3):
-            for w, members in _classes([r[1] for r in rows], percent):
-                base, ask = ([rows[i] for i in members if rows[i][4] == role] for role in (0, 1))
-                if not base or not ask:
+        for batch in batches:
+            for grp, part, role, doc, n, bits, label in zip(*[c.to_pylist() for c in batch.columns]):
+                if (grp, part) != at:
+                    at, base, classes = (grp, part), [], None
+                if not role:
+                    base.append((doc, n, bits, label))
                     continue
-                n, label = (np.array([r[k] for r in base], np.int64) for k in (1, 3))
-                bits = np.stack([_folded(r[2], w) for r in base])
-                for doc, m, x, own, _ in ask:
-                    for i in np.flatnonzero(_near(n, bits, m, _folded(x, w), percent) & (label != own)):
-                        found.add((min(doc, base[i][0]), max(doc, base[i][0])))
-            if len(found) > 50_000:
-                yield _edges(found)
-                found.clear()
+                if classes is None:  # those that look come behind those that are looked at
+                    classes = []
+                    for w in sorted({8 * len(r[2]) for r in base}):
+                        own = [r for r in base if 8 * len(r[2]) == w]
+                        classes.append((w, np.stack([_folded(r[2], w) for r in own]), *(np.array([r[k] for r in own], np.int64) for k in (0, 1, 3))))
+                for w, rows, docs, sizes, labels in classes:
+                    mine = 8 * len(bits)
+                    if max(w, mine) > 4 * min(w, mine) and 100 * min(n, int(sizes.max())) < percent * max(n, int(sizes.min())):
+                        continue
+                    v = min(w, mine)
+                    rows = rows if v == w else np.bitwise_or.reduce(rows.reshape(len(rows), -1, v // 64), axis=1)
+                    differ = np.bitwise_count(rows ^ _folded(bits, v)).sum(axis=1, dtype=np.int64)
+                    near = (differ * (100 + percent) <= (100 - percent) * (sizes + n)) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)) & (labels != label)
+                    hits = np.flatnonzero(near)
+                    if best and len(hits):
+                        hits = hits[np.argsort(differ[hits], kind="stable")]
+                        hits = hits[np.unique(labels[hits], return_index=True)[1]]
+                    found.update((min(doc, x), max(doc, x)) for x in docs[hits].tolist())
+                if len(found) > 50_000:
+                    yield _edges(found)
+                    found.clear()
         if found:
             yield _edges(found)
 
-    rows = left.join(known.select(F.col("doc").alias("of"), "label"), F.col("doc") == F.col("of"))
-    rows = scratch.written(rows.select(F.explode("elements").alias("h"), "doc", "n", "bits", "label"), "open-rows")
-    counts = rows.groupBy("h", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.sum("k").alias("k"), F.max(F.struct("k", "label")).alias("main"))
-    parts = lambda n: F.ceil(n / most).cast("int")
-    counts = counts.where("k > main.k").select(common.skew_key("h").alias("same"), F.col("main.label").alias("main"), parts(F.col("k")).alias("bases"), parts(F.col("k") - F.col("main.k")).alias("asks"))
-    rows = rows.join(scratch.written(counts, "open-lists"), F.col("h").cast("string") == F.col("same"))
-    of = lambda n, salt: F.pmod(F.xxhash64("doc", F.lit(salt)), n).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    state = wide.join(labels, F.col("doc") == F.col("node"), "left").select("doc", "grp", "parts", "n", "bits", F.coalesce("label", "doc").alias("label"))
+    state = scratch.written(state, "state")
+    main = state.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("grp").agg(F.max(F.struct("k", "label")).alias("m"), F.count(F.lit(1)).alias("labels"))
+    main = scratch.written(main.where("labels > 1").select(common.skew_key("grp").alias("same"), F.col("m.label").alias("main")), "main")
+    if main.isEmpty():
+        return None
+    rows = state.join(main, F.col("grp").cast("string") == F.col("same"))
     what = ["doc", "n", "bits", "label"]
-    base = rows.select("h", of(F.col("bases"), 3).alias("i"), each(F.col("asks")).alias("j"), *what, F.lit(0).alias("role"))
-    ask = rows.where("label <> main").select("h", each(F.col("bases")).alias("i"), of(F.col("asks"), 4).alias("j"), *what, F.lit(1).alias("role"))
-    both = base.unionByName(ask).repartition(common.partitions(left.sparkSession), "h", "i", "j").sortWithinPartitions("h", "i", "j")
+    base = rows.select("grp", F.pmod(F.xxhash64("doc", F.lit(3)), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("role"), *what)
+    look = rows.where("label <> main").select("grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("role"), *what)
+    both = base.unionByName(look).repartition(common.partitions(wide.sparkSession), "grp", "part").sortWithinPartitions("grp", "part", "role")
     return scratch.written(both.mapInArrow(run, "a long, b long").distinct(), "open-pairs")
 
 
@@ -399,16 +448,19 @@ def near_components(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK,
         sizes = common.written(profiles.where("a >= 0").select("doc", "n"), "sizes")
         copies = scratch.written(profiles.where("copy_of IS NOT NULL").select(F.col("doc").alias("a"), F.col("copy_of").alias("b")), "copies")
         scratch.done(profiles)
-        groups = components(list_edges(left, percent, scratch, most), scratch)
-        n = left.groupBy(F.col("doc").alias("of")).agg(F.max("n").alias("n"))
-        groups = groups.join(n, F.col("node") == F.col("of")).select(F.col("node").alias("doc"), F.col("label").alias("grp"), "n")
+        groups = told_apart(components(shared_edges(left), scratch), left, percent, block, scratch, most)
+        n = left.groupBy(F.col("doc").alias("of")).agg(F.max("n").alias("n"), F.min("alone").alias("alone"))
+        groups = groups.join(n, F.col("node") == F.col("of")).select(F.col("node").alias("doc"), F.col("label").alias("grp"), "n", "alone")
         rows, several = _blocks(scratch.written(groups, "groups"), block)
         several = scratch.written(several, "several")
         links = scratch.written(_join_blocks(scratch.written(rows, "blocks"), docs, percent), "links")
         if not several.isEmpty():
-            state = several.join(components(links, scratch), F.col("doc") == F.col("node"), "left")
-            state = scratch.written(state.select("doc", F.coalesce("label", "doc").alias("label")), "state")
-            links = links.unionByName(scratch.written(_compared(open_pairs(left, state, percent, scratch, most), docs, percent), "late-links"))
+            wide = scratch.written(_wide(several, docs), "wide")
+            # The most alike pairs first: what they join needn't be told apart pair by pair.
+            for best in (True, False):
+                if (pairs := open_pairs(wide, components(links, scratch), percent, scratch, best)) is None:
+                    break
+                links = links.unionByName(scratch.written(_compared(pairs, docs, percent), "late-links"))
         return sizes, components(links.unionByName(copies))
 
 

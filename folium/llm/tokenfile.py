@@ -235,7 +235,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int | No
             yield closed()
 
     encoded = docs.select("doc_id", "text", F.xxhash64("text", "doc_id").alias("tie")).mapInArrow(encode, "part int, doc_id long, tie long, ids binary")
-    (encoded.repartition(n, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "tie")
+    (encoded.repartitionById(n, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "tie")
      .select("part", "doc_id", "ids").mapInArrow(run, "frame binary")
      .select(F.col("frame").cast("string"))
      .write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_FRAMES).text(f"{folder}/data"))

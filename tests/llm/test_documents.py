@@ -220,6 +220,7 @@ def near_copies(seed, n):
 @pytest.mark.parametrize("block, frequent, most, percent", [(512, 64, 4096, 75), (4, 3, 5, 75), (8, 64, 3, 50)])
 def test_jaccard(spark, monkeypatch, block, frequent, most, percent):
     monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+    monkeypatch.setattr(jaccard, "LIST", most)
     texts = near_copies(block + most, 240)
     docs = table(spark, list(texts.values()), list(texts)).repartition(3)
     sizes, found = jaccard.near_components(docs, percent, block, most)
