@@ -1,15 +1,21 @@
-"""python -m folium.cli --pdf_path FILE | --md_path FILE [--out FOLDER] ...: the section index of files as JSON."""
+"""python -m folium.cli --pdf_path FILE | --md_path FILE [--out FOLDER] ...: the section index of files as JSON.
+
+With --model, --base-url or LLM_BASE_URL a model decides about texts ("pool" as the model: the free endpoints whose keys the environment
+has); without them rules do."""
 
 from __future__ import annotations
 
 import argparse
+import os
 import sys
+from collections.abc import Mapping
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import config
-from .plans import index
+from .plans import index, reasoner
+from .plans.rules import Model, Rules
 from .sources import files, store
 
 
@@ -30,10 +36,18 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--if-add-node-text", dest="add_node_text")
     p.add_argument("--if-thinning", dest="thinning", default="no")
     p.add_argument("--thinning-threshold", dest="thinning_threshold", type=int, default=5000)
-    p.add_argument("--summary-token-threshold", dest="summary_token_threshold", type=int, default=200)
+    p.add_argument("--summary-token-threshold", dest="summary_token_threshold")
     return p
 
 
+def rules_for(args: argparse.Namespace, c: config.Config, env: Mapping[str, str]) -> Rules:
+    """Rules, or the model that the options or the environment name."""
+    if not (args.model or args.base_url or env.get("LLM_BASE_URL", "").strip()):
+        return index.RULES
+    providers = reasoner.pool(env) if c.model == "pool" else [reasoner.provider(c.model, env, c.base_url)]
+    return Model(reasoner.http(providers, num_ctx=c.num_ctx))
+
+
 def main(argv: list[str] | None = None) -> int:
     args, _ = parser().parse_known_args(argv)
     if bool(args.pdf_path) == bool(args.md_path):
@@ -45,14 +59,16 @@ def main(argv: list[str] | None = None) -> int:
         return 2
     c = config.load(vars(args))
     spark = SparkSession.builder.getOrCreate()
+    rules = rules_for(args, c, os.environ)
     if args.md_path:
         docs = files.markdown_files(spark, args.md_path)
-        found = index.build_markdown_index(docs, args.thinning_threshold if config._flag(args.thinning) else None, c.add_node_text)
+        thinning = args.thinning_threshold if config._flag(args.thinning) else None
+        found = index.build_markdown_index(docs, thinning, c.add_node_text, c.add_node_id, c.add_node_summary, c.summary_token_threshold, c.add_node_summary and c.add_doc_description, rules)
         names = docs.select("doc_id", "doc_name")
     else:
         pages = files.pdf_pages(spark, args.pdf_path)
         names = pages.select("doc_id", "doc_name").distinct()
-        found = index.build_index(pages.drop("doc_name"), c.max_pages_per_node, c.max_tokens_per_node, c.add_node_text, c.add_node_summary, c.add_doc_description)
+        found = index.build_index(pages.drop("doc_name"), c.max_pages_per_node, c.max_tokens_per_node, c.add_node_text, c.add_node_summary, c.add_doc_description, c.add_node_id, c.toc_check_pages, rules)
     store.write_results(found.join(names, "doc_id").orderBy(F.col("doc_name")), args.out)
     return 0
 

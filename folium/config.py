@@ -18,6 +18,7 @@ class Config:
     add_node_text: bool = False
     base_url: str | None = None
     num_ctx: int = 8192
+    summary_token_threshold: int = 200
 
 
 def _flag(value) -> bool:

@@ -30,6 +30,17 @@ def ordered_text(by: str = "page_no", text: str = "text", separator: str = "") -
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, text))), lambda x: x[text]), separator)
 
 
+def in_range(rows: DataFrame, pages: DataFrame, first: str, last: str, block: int = 32) -> DataFrame:
+    """rows joined with the pages of their document from the page in column ``first`` to that in ``last``.
+
+    Rows and pages meet by blocks of pages, so a row meets only pages near its range and a long document is no single key."""
+    a, b, n = F.col(first), F.col(last), F.lit(block)
+    blocks = F.when(a <= b, F.sequence(F.floor(a / n), F.floor(b / n)))
+    left = rows.withColumn("page_block", F.explode(blocks))
+    right = pages.withColumn("page_block", F.floor(F.col("page_no") / n))
+    return left.join(right, ["doc_id", "page_block"]).where(F.col("page_no").between(a, b)).drop("page_block")
+
+
 def range_text(pages: DataFrame, first: int, last: int, tag: bool = False) -> DataFrame:
     text = X.tagged(F.col("page_no"), F.col("text")) if tag else F.col("text")
     kept = pages.where(F.col("page_no").between(first, last)).withColumn("text", text)
@@ -62,7 +73,7 @@ def section_tokens(sections: DataFrame, pages: DataFrame) -> DataFrame:
 
 def section_text(sections: DataFrame, pages: DataFrame, key: str = "item_no") -> DataFrame:
     """(doc_id, key, text): the texts of each section's pages, in order; sections without pages have none."""
-    joined = sections.select("doc_id", key, "start_index", "end_index").join(pages, "doc_id").where(F.col("page_no").between(F.col("start_index"), F.col("end_index")))
+    joined = in_range(sections.select("doc_id", key, "start_index", "end_index"), pages.select("doc_id", "page_no", "text"), "start_index", "end_index")
     return joined.groupBy("doc_id", key).agg(ordered_text().alias("text"))
 
 

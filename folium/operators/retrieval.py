@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tree
-from .pages import ordered_text
+from .pages import in_range, ordered_text
 
 
 def terms(text: Column) -> Column:
@@ -19,8 +19,9 @@ def terms(text: Column) -> Column:
 def select_sections(questions: DataFrame, sections: DataFrame, k: int = 3) -> DataFrame:
     """(question_id, doc_id, rank, title): the k sections whose titles share most terms with the question, at least one; of
     equals the earlier."""
-    rows = questions.join(sections.select("doc_id", "seq", "title"), "doc_id")
-    rows = rows.withColumn("shared", F.size(F.array_intersect(terms(F.col("question")), terms(F.col("title"))))).where("shared > 0")
+    asked = questions.select("question_id", "doc_id", F.explode(terms(F.col("question"))).alias("term"))
+    named = sections.select("doc_id", "seq", "title", F.explode(terms(F.col("title"))).alias("term"))
+    rows = asked.join(named, ["doc_id", "term"]).groupBy("question_id", "doc_id", "seq", "title").agg(F.count(F.lit(1)).alias("shared"))
     rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("shared"), "seq"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("question_id", "doc_id", "rank", "title")
 
@@ -38,7 +39,9 @@ def contexts(matched: DataFrame, pages: DataFrame, questions: DataFrame, section
     extra_page: also the page behind each section."""
     last = F.col("end_index") + (1 if extra_page else 0)
     m = matched.withColumn("start", F.coalesce("start_index", F.lit(0))).withColumn("end_index", F.coalesce("end_index", "start_index", F.lit(0)))
-    rows = m.join(pages.select("doc_id", "page_no", "text"), (m["doc_id"] == pages["doc_id"]) & F.col("page_no").between(F.col("start"), last), "left")
+    m = m.withColumn("last", last)
+    found = in_range(m.select("question_id", "rank", "doc_id", "start", "last"), pages.select("doc_id", "page_no", "text"), "start", "last").select("question_id", "rank", "page_no", "text")
+    rows = m.select("question_id", "rank", "node_title").join(found, ["question_id", "rank"], "left")
     part = (
         rows.withColumn("line", F.when(F.col("page_no").isNotNull(), F.concat(F.col("text"), F.lit("\n"))))
         .groupBy("question_id", "rank", "node_title").agg(ordered_text("page_no", "line").alias("body"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .pages import ordered_text
+from .pages import in_range, ordered_text
 
 
 def runs(flags: DataFrame, limit: int) -> DataFrame:
@@ -25,7 +25,7 @@ def first_run(flags: DataFrame, limit: int) -> DataFrame:
 
 def content(found: DataFrame, pages: DataFrame) -> DataFrame:
     """Runs with ``toc_content`` (their pages' text, dot leaders made colons) and ``page_index_given``."""
-    rows = found.join(pages, "doc_id").where(F.col("page_no").between(F.col("first_page"), F.col("last_page")))
+    rows = in_range(found, pages.select("doc_id", "page_no", "text"), "first_page", "last_page")
     rows = rows.groupBy("doc_id", "run_no", "first_page", "last_page").agg(ordered_text().alias("raw")).withColumn("toc_content", X.dot_leaders(F.col("raw")))
     return rows.withColumn("page_index_given", F.when(F.col("toc_content").rlike(r"(?m)\d\s*$"), "yes").otherwise("no")).drop("raw")
 
@@ -80,19 +80,26 @@ def gap_neighbours(items: DataFrame, page_counts: DataFrame) -> DataFrame:
 def located(asked: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, item_no, found_index): the first page between prev_index and next_index that has the title on it."""
     title = X.squeezed(F.col("title"))
-    rows = asked.select("doc_id", "item_no", "prev_index", "next_index", title.alias("sought")).join(pages, "doc_id").where(F.col("page_no").between(F.col("prev_index"), F.col("next_index")))
+    rows = in_range(asked.select("doc_id", "item_no", "prev_index", "next_index", title.alias("sought")), pages.select("doc_id", "page_no", "text"), "prev_index", "next_index")
     rows = rows.where(X.squeezed(F.col("text")).contains(F.col("sought")))
     return rows.groupBy("doc_id", "item_no").agg(F.min("page_no").alias("found_index"))
 
 
-def fill_gaps(items: DataFrame, pages: DataFrame, page_counts: DataFrame) -> DataFrame:
-    found = located(gap_neighbours(items, page_counts), pages)
+def fill_gaps(items: DataFrame, pages: DataFrame, page_counts: DataFrame, locate=located) -> DataFrame:
+    """Items without an index get the page that ``locate`` finds between their neighbours."""
+    found = locate(gap_neighbours(items, page_counts), pages)
     return items.join(found, ["doc_id", "item_no"], "left").withColumn("physical_index", F.coalesce("physical_index", "found_index")).drop("found_index")
 
 
+def in_pages(items: DataFrame, first: int, last: int) -> DataFrame:
+    """The items that are said to start on the pages from first to last."""
+    return items.where(F.col("physical_index").between(first, last))
+
+
 def gap_pages(items: DataFrame, pages: DataFrame, page_counts: DataFrame) -> DataFrame:
     """(doc_id, item_no, n, tagged): how many pages an item without an index may start on, and their tagged text."""
-    rows = gap_neighbours(items, page_counts).select("doc_id", "item_no", "prev_index", "next_index").join(pages, "doc_id").where(F.col("page_no").between(F.col("prev_index"), F.col("next_index")))
+    gaps = gap_neighbours(items, page_counts).select("doc_id", "item_no", "prev_index", "next_index")
+    rows = in_range(gaps, pages.select("doc_id", "page_no", "text"), "prev_index", "next_index")
     rows = rows.withColumn("text", X.tagged(F.col("page_no"), F.col("text")))
     return rows.groupBy("doc_id", "item_no").agg(F.count(F.lit(1)).alias("n"), ordered_text().alias("tagged"))
 

@@ -9,28 +9,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..plans.lineage import cut
 from .pages import ordered_text
 
 
 def code_parents(items: DataFrame) -> DataFrame:
-    """Items with ``parent_item``: the latest earlier item whose code is what stands before the last dot; null for roots."""
-    child = items.withColumn("parent_code", X.parent_code(F.col("structure")))
-    earlier = items.select("doc_id", F.col("structure").alias("parent_code"), F.col("item_no").alias("candidate"))
-    found = child.where("parent_code IS NOT NULL").select("doc_id", "parent_code", "item_no").join(earlier, ["doc_id", "parent_code"]).where("candidate < item_no")
-    found = found.groupBy("doc_id", "item_no").agg(F.max("candidate").alias("parent_item"))
-    return items.join(found, ["doc_id", "item_no"], "left")
-
-
-def paths(items: DataFrame, max_depth: int = 32) -> DataFrame:
-    """Items with parent_item plus ``path`` (item_no of all ancestors and itself) and ``depth``.  A round a level, over all
-    documents at once; rounds end when no item has an open ancestor."""
-    rows = items.withColumn("path", F.array("item_no")).withColumn("up", F.col("parent_item"))
-    above = items.select("doc_id", F.col("item_no").alias("up"), F.col("parent_item").alias("next_up"))
-    deepest = items.agg(F.max(F.size(F.split("structure", r"\.")))).head()[0] if "structure" in items.columns else max_depth
-    for _ in range(min(max_depth, (deepest or 1)) - 1):
-        rows = rows.join(above, ["doc_id", "up"], "left")
-        path = F.when(F.col("up").isNotNull(), F.concat(F.array("up"), "path")).otherwise(F.col("path"))
-        rows = rows.withColumn("path", path).withColumn("up", F.col("next_up")).drop("next_up")
+    """Items with ``parent_item``: the latest earlier item whose code is what stands before the last dot; null for roots.
+
+    Items stand by the code that they look for and once more by the code that they have, and each looks back; nothing is paired."""
+    child = items.withColumn("code", X.parent_code(F.col("structure"))).withColumn("candidate", F.lit(None).cast(items.schema["item_no"].dataType))
+    has = {"code": F.col("structure"), "doc_id": F.col("doc_id"), "item_no": F.col("item_no"), "candidate": F.col("item_no")}
+    parent = items.where("structure IS NOT NULL").select(*[has.get(c, F.lit(None).cast(child.schema[c].dataType)).alias(c) for c in child.columns])
+    rows = parent.withColumn("looks", F.lit(False)).unionByName(child.withColumn("looks", F.lit(True)))
+    before = Window.partitionBy("doc_id", "code").orderBy("item_no", F.col("looks").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    found = rows.withColumn("parent_item", F.when(F.col("code").isNotNull(), F.last("candidate", True).over(before)))
+    return found.where("looks").drop("looks", "code", "candidate")
+
+
+def paths(items: DataFrame) -> DataFrame:
+    """Items with parent_item plus ``path`` (item_no of all ancestors and itself) and ``depth``.
+
+    A round doubles the length of all paths, over all documents at once, and works on the items whose path has no root yet, so
+    there are as many rounds as the depth of the deepest tree has binary digits."""
+    rows = cut(items.withColumn("path", F.array("item_no")).withColumn("up", F.col("parent_item")), "paths")
+    while not rows.where("up IS NOT NULL").isEmpty():
+        above = rows.select("doc_id", F.col("item_no").alias("up"), F.col("path").alias("above"), F.col("up").alias("next_up"))
+        open_ = rows.where("up IS NOT NULL").join(above, ["doc_id", "up"]).withColumn("path", F.concat("above", "path")).withColumn("up", F.col("next_up"))
+        rows = cut(rows.where("up IS NULL").unionByName(open_.select(*rows.columns)), "paths")
     return rows.select(*items.columns, "path", (F.size("path") - 1).alias("depth"))
 
 
@@ -85,7 +90,7 @@ def outline(rows: DataFrame) -> DataFrame:
 def nested_json(rows: DataFrame, fields: list[str]) -> DataFrame:
     """(doc_id, structure_json): the nodes of ``preorder`` as nested JSON.  Levels are folded from the deepest up, each by one
     aggregation over all documents; nodes without children have no ``nodes``."""
-    parts = rows.select("doc_id", "item_no", "parent_item", "depth", "seq", F.to_json(F.struct(*fields)).alias("json"))
+    parts = cut(rows.select("doc_id", "item_no", "parent_item", "depth", "seq", F.to_json(F.struct(*fields)).alias("json")), "nodes")
     deepest = parts.agg(F.max("depth")).head()[0] or 0
     below = None
     for depth in range(deepest, -1, -1):

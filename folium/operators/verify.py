@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..plans.lineage import cut
 from . import toc
 
 THRESHOLD = 0.4
@@ -56,9 +57,9 @@ def repair_ranges(answers: DataFrame, page_counts: DataFrame, start: int = 1) ->
     return toc.neighbours(rows, wrong, ~wrong, F.lit(start - 1), F.col("n_pages") + (start - 1)).drop("n_pages")
 
 
-def fixes(answers: DataFrame, pages: DataFrame, page_counts: DataFrame) -> DataFrame:
+def fixes(answers: DataFrame, pages: DataFrame, page_counts: DataFrame, located=toc.located) -> DataFrame:
     """(doc_id, item_no, found_index) for the incorrect items whose title is on a page between correct neighbours."""
-    return toc.located(repair_ranges(answers, page_counts), pages)
+    return located(repair_ranges(answers, page_counts), pages)
 
 
 def apply_fixes(items: DataFrame, found: DataFrame) -> DataFrame:
@@ -72,15 +73,15 @@ def decisions(accuracies: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return accuracies.withColumn("decision", what)
 
 
-def repaired(items: DataFrame, pages: DataFrame, page_counts: DataFrame, rounds: int = 3) -> DataFrame:
+def repaired(items: DataFrame, pages: DataFrame, page_counts: DataFrame, rounds: int = 3, checked=checked, located=toc.located) -> DataFrame:
     """Items after up to ``rounds`` repairs; a round that finds nothing ends it."""
     for _ in range(rounds):
         answers = checked(items, pages)
-        found = fixes(answers, pages, page_counts)
+        found = cut(fixes(answers, pages, page_counts, located), "fixes")
         changed = found.join(items, ["doc_id", "item_no"]).where("NOT (found_index <=> physical_index)")
         if changed.isEmpty():
             break
-        items = apply_fixes(items, found)
+        items = cut(apply_fixes(items, found), "items")
     return items
 
 

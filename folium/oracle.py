@@ -90,7 +90,7 @@ used AS (
   UNION ALL SELECT o.client, o.event_id, o.ts, o.r, CASE WHEN o.ts > u.expires_at THEN 1 ELSE u.uses + 1 END, CASE WHEN o.ts > u.expires_at THEN o.ts + INTERVAL 1 DAY ELSE u.expires_at END
   FROM ordered o JOIN used u ON o.client = u.client AND o.r = u.r + 1)"""
 _SELECTED = _SECTIONS + r""",
-questions AS (SELECT doc_id AS question_id, doc_id, substring(text, 1, 60) AS question FROM doc_pages WHERE page_no = 3 AND doc_id % 10 = 0),
+questions AS (SELECT doc_id AS question_id, doc_id, substring(text, 1, 60) AS question FROM doc_pages WHERE page_no = 3),
 shared AS (
   SELECT q.question_id, q.doc_id, s.seq, s.title, len(list_intersect(list_distinct(list_filter(regexp_split_to_array(lower(q.question), '\s+'), lambda x: x <> '')), list_distinct(list_filter(regexp_split_to_array(lower(s.title), '\s+'), lambda x: x <> '')))) AS n
   FROM questions q JOIN section_index s ON s.doc_id = q.doc_id),
@@ -202,7 +202,7 @@ def oracle_sql() -> dict[str, str]:
         "index_upsert": "SELECT doc_id, source AS filename, n_chars AS page_count, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS version FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0",
         "index_lookup": "SELECT doc_id, source FROM documents WHERE source = 'src3'",
         "cache_anti_join": "SELECT doc_id, source FROM documents WHERE doc_id % 2 <> 0",
-        "index_listing": "SELECT source AS filename, count(*) AS docs, CAST(row_number() OVER (ORDER BY max(doc_id) DESC, source) AS INT) AS place FROM documents GROUP BY source",
+        "index_listing": """SELECT CAST(doc_id AS VARCHAR) AS doc_key, CASE WHEN doc_id % 3 <> 0 THEN source ELSE CAST(doc_id AS VARCHAR) END AS filename, CASE WHEN doc_id % 5 <> 0 THEN n_chars ELSE 0 END AS page_count, doc_id AS indexed_at FROM documents""",
         "page_store": q(_PAGES, "SELECT doc_id, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM doc_pages GROUP BY doc_id"),
         "model_lookup": "SELECT r_regionkey, CASE r_regionkey WHEN 0 THEN 'https://api.openai.com/v1/chat/completions' ELSE 'http://localhost:11434/v1/chat/completions' END AS url FROM region",
         "usage_ttl": f"WITH {_USAGE} SELECT client, event_id, uses FROM used",

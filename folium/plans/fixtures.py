@@ -71,7 +71,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return doc_pages(spark, sf_dir).where("page_no = 3 AND doc_id % 10 = 0").selectExpr("doc_id AS question_id", "doc_id", "substring(text, 1, 60) AS question")
+    return doc_pages(spark, sf_dir).where("page_no = 3").selectExpr("doc_id AS question_id", "doc_id", "substring(text, 1, 60) AS question")
 
 
 def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:

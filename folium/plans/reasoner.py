@@ -11,12 +11,13 @@ import json
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import catalog
 from .lineage import cut
 
 COMPLETION = "prompt_hash string, content string, finish_reason string"
@@ -56,6 +57,23 @@ class Provider:
     api_key: str = "local"
 
 
+def provider(model: str, env: Mapping[str, str], base_url: str | None = None) -> Provider:
+    """Where to ask a model: the given address, else that of LLM_BASE_URL, else the catalogue's."""
+    url = (base_url or "").strip() or env.get("LLM_BASE_URL", "").strip() or catalog.url_of(model)
+    return Provider(url, catalog.api_id(model), catalog.key_of(url, env))
+
+
+def pool(env: Mapping[str, str]) -> list[Provider]:
+    """The free endpoints whose keys the environment has, a local one if it has none."""
+    found = [provider(m, {k: v for k, v in env.items() if k != "LLM_BASE_URL"}) for m in catalog.POOL]
+    return [p for p in found if p.api_key != catalog.NO_KEY] or [Provider(catalog.LOCAL_URL, catalog.LOCAL_MODEL)]
+
+
+def read_timeout(url: str) -> float:
+    """Local endpoints take their time."""
+    return 300.0 if ":11434" in url else 120.0
+
+
 def body(provider: Provider, prompt: str, num_ctx: int | None = None, history: list[dict] = ()) -> dict:
     found = {"model": provider.model, "temperature": 0, "messages": [*history, {"role": "user", "content": prompt}]}
     if num_ctx and ":11434" in provider.url:
@@ -70,7 +88,7 @@ def post(provider: Provider, prompt: str, timeout: float, num_ctx: int | None =
     return choice["message"]["content"], "max_output_reached" if choice.get("finish_reason") == "length" else "finished"
 
 
-def http(providers: list[Provider], tries: int = 3, wait: float = 1.0, timeout: float = 120.0, num_ctx: int | None = None) -> Backend:
+def http(providers: list[Provider], tries: int = 3, wait: float = 1.0, timeout: float | None = None, num_ctx: int | None = None) -> Backend:
     """Asks chat endpoints in turn: each task starts with another provider, a busy one (429) passes on to the next, other failures are
     tried again after a wait; at the end content is null and the reason "error"."""
 
@@ -87,7 +105,8 @@ def http(providers: list[Provider], tries: int = 3, wait: float = 1.0, timeout:
                     content, reason, failed, busy = None, "error", 0, 0
                     while failed < tries and busy < len(providers):
                         try:
-                            content, reason = post(providers[at % len(providers)], prompt, timeout, num_ctx)
+                            to = providers[at % len(providers)]
+                            content, reason = post(to, prompt, timeout or read_timeout(to.url), num_ctx)
                             break
                         except urllib.error.HTTPError as e:
                             if e.code == 429:

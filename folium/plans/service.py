@@ -10,9 +10,10 @@ from ..operators import retrieval as R
 from ..sources import store
 from . import index as I
 from .lineage import cut
+from .rules import Rules
 
 
-def index_jobs(uploads: DataFrame, pages: DataFrame, kept: store.IndexStore, free_pages: int | None = 50) -> DataFrame:
+def index_jobs(uploads: DataFrame, pages: DataFrame, kept: store.IndexStore, free_pages: int | None = 50, rules: Rules = I.RULES) -> DataFrame:
     """(doc_key, status, error) of uploads (doc_key, doc_id): documents over the page limit fail, those in the store are taken from it,
     the rest are indexed all together and stored with their pages."""
     counts = P.page_count(pages)
@@ -26,7 +27,7 @@ def index_jobs(uploads: DataFrame, pages: DataFrame, kept: store.IndexStore, fre
     new = cut(new, "new")
     if not new.isEmpty():
         own = pages.join(new.select("doc_id"), "doc_id", "left_semi")
-        found = I.build_index(own)
+        found = I.build_index(own, rules=rules)
         made = new.join(found, "doc_id", "left").join(store.page_store(own), "doc_id", "left")
         kept.upsert(cut(made.select("doc_key", F.col("doc_key").alias("filename"), "doc_id", "structure_json", "pages_json", F.col("n_pages").alias("page_count"), F.current_timestamp().alias("indexed_at")), "indexed"))
     limit = F.concat(F.lit("more pages than the limit of "), F.lit(str(free_pages)))
@@ -49,8 +50,8 @@ def sections_of(index: DataFrame) -> DataFrame:
     return found.select("doc_id", seq.alias("seq"), (F.size("path") - 1).alias("depth"), "n.title", "n.start_index", "n.end_index", "n.node_id")
 
 
-def answer(questions: DataFrame, index: DataFrame) -> DataFrame:
+def answer(questions: DataFrame, index: DataFrame, rules: Rules = I.RULES) -> DataFrame:
     """(question_id, answer, sources) of questions (question_id, doc_id, question) over stored indices."""
     sections, pages = cut(sections_of(index), "sections"), store.stored_pages(index)
-    matched = R.match_sections(R.select_sections(questions, sections), sections)
-    return R.answers(R.contexts(matched, pages, questions, sections), questions)
+    matched = R.match_sections(rules.select_sections(questions, sections), sections)
+    return rules.answers(R.contexts(matched, pages, questions, sections), questions)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -336,7 +335,7 @@ def select_sections(s, d):
 
 @query
 def rag_context(s, d):
-    questions, sections = FX.questions(s, d), _sections(s, d)
+    questions, sections = FX.questions(s, d), lineage.cut(_sections(s, d), "sections")
     matched = R.match_sections(R.select_sections(questions, sections), sections)
     return R.contexts(matched, FX.doc_pages(s, d), questions, sections)
 
@@ -425,11 +424,8 @@ def cache_anti_join(s, d):
 
 @query
 def index_listing(s, d):
-    from pyspark.sql import Window
-
-    hosts = FX.table(s, d, "documents").groupBy(F.col("source").alias("filename")).agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("last"))
-    # One row a source.
-    return hosts.select("filename", "docs", F.row_number().over(Window.orderBy(F.desc("last"), "filename")).alias("place"))
+    rows = FX.table(s, d, "documents").selectExpr("cast(doc_id AS string) AS doc_key", "CASE WHEN doc_id % 3 <> 0 THEN source END AS filename", "CASE WHEN doc_id % 5 <> 0 THEN n_chars END AS page_count", "doc_id AS indexed_at")
+    return store.listing(rows)
 
 
 @query
@@ -475,20 +471,16 @@ def job_sessions(s, d):
     return jobs.sessions(FX.job_events(s, d), "1 hour").select("job_id", F.unix_micros("started").alias("started"), F.unix_micros("last").alias("last"), "events")
 
 
-def _checkpoint(s: SparkSession) -> str:
-    return f"{lineage.shared_dir(s)}/stream-{uuid.uuid4().hex}"
-
-
 @query
 def stream_progress(s, d):
     stream = FX.as_job_events(jobs.read_stream(s, f"{d}/events.parquet"))
-    return jobs.run_to_end(jobs.progress_stream(stream), f"progress_{uuid.uuid4().hex}", "complete", _checkpoint(s))
+    return jobs.run_to_end(jobs.progress_stream(stream), lineage.new_path(s, "progress"), "complete")
 
 
 @query
 def stream_usage(s, d):
     stream = jobs.read_stream(s, f"{d}/events.parquet").select(F.col("user_id").alias("client"), "event_id", "ts")
-    return jobs.run_to_end(jobs.usage_stream(stream), f"usage_{uuid.uuid4().hex}", "append", _checkpoint(s))
+    return jobs.run_to_end(jobs.usage_stream(stream), lineage.new_path(s, "usage"), "append")
 
 
 def queries() -> dict[str, Query]:

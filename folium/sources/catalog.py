@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,12 +35,40 @@ MODELS = [
     ("paid", "gpt-4o-2024-11-20", "GPT-4o", "Hosted, general purpose", OPENAI_URL),
     ("free", "llama3.1:8b", "Llama 3.1 8B", "Local, 16 GB of memory", LOCAL_URL),
 ]
+#: What a provider calls a model of the catalogue, where that is another name.
+API_IDS = {"cerebras-llama-3.3-70b": "llama3.3-70b"}
+#: Which variable of the environment has the key of an endpoint, told by a part of its address; another endpoint takes the last.
+KEYS = {"groq.com": "GROQ_API_KEY", "googleapis.com": "GOOGLE_API_KEY", "cerebras.ai": "CEREBRAS_API_KEY", "mistral.ai": "MISTRAL_API_KEY", "openrouter.ai": "OPENROUTER_API_KEY", "": "CHATGPT_API_KEY"}
+#: The models of a pool of free endpoints.
+POOL = ("llama-3.3-70b-versatile", "llama-3.1-8b-instant", "cerebras-llama-3.3-70b", "mistral-small-latest", "gemini-2.0-flash")
+LOCAL_MODEL, NO_KEY = "qwen2.5:7b", "local"
+
+
+def url_of(model: str | None) -> str:
+    """Where a model is served; unknown ones are local."""
+    return {m[1]: m[4] for m in MODELS}.get(model, LOCAL_URL)
+
+
+def api_id(model: str) -> str:
+    return API_IDS.get(model, model)
+
+
+def key_of(url: str, env: Mapping[str, str]) -> str:
+    """The key of an endpoint, or ``NO_KEY`` where the environment has none."""
+    name = next(name for part, name in KEYS.items() if part in url)
+    return env.get(name, "").strip() or NO_KEY
 
 
 def models(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(MODELS, "tier string, id string, name string, description string, url string")
 
 
+def with_api_id(requests: DataFrame, model: str = "model") -> DataFrame:
+    """Requests with ``api_id``: what the provider of their model calls it."""
+    names = F.create_map(*[F.lit(x) for pair in API_IDS.items() for x in pair])
+    return requests.withColumn("api_id", F.coalesce(F.try_element_at(names, F.col(model)), F.col(model)))
+
+
 def with_url(requests: DataFrame, model: str = "model", catalogue: DataFrame | None = None) -> DataFrame:
     """Requests with the ``url`` of their model in a catalogue (``models`` unless given); unknown models are local.  A catalogue has
     a row a model, so Spark broadcasts it where it finds it small."""

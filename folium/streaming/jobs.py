@@ -21,15 +21,22 @@ def latest_status(events: DataFrame) -> DataFrame:
 
 
 def usage(events: DataFrame) -> DataFrame:
-    """(client, event_id, ts, uses): a counter that starts with a first use and starts anew with the first use after a day."""
-    rows = events.groupBy("client").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("events"))
-    # The state: places where the counter starts; uses are distances from them.
+    """(client, event_id, ts, uses): a counter that starts with a first use and starts anew with the first use after a day.
+
+    After a day without events the counter starts anew whatever came before, so a client's events fall into runs that are told
+    apart by a window and counted each on its own; a run is folded once, and its work grows with its events alone."""
+    order = Window.partitionBy("client").orderBy(F.col("ts").asc_nulls_first(), "event_id")
+    pause = F.col("ts") > F.lag("ts").over(order) + F.expr("interval 1 day")
+    runs = events.select("client", "event_id", "ts", F.coalesce(pause, F.lit(True)).cast("int").alias("begins"))
+    runs = runs.withColumn("run", F.sum("begins").over(order))
+    rows = runs.groupBy("client", "run").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("events"))
+    # The state: places where the counter starts; between two of them it counts up from 1.
     starts = """aggregate(events, named_struct('until', cast(null as timestamp), 'at', 0, 'starts', cast(array() as array<int>)),
         (s, e) -> if(s.until is null or e.ts > s.until, named_struct('until', e.ts + interval 1 day, 'at', s.at + 1, 'starts', concat(s.starts, array(s.at))),
                      named_struct('until', s.until, 'at', s.at + 1, 'starts', s.starts)), s -> s.starts)"""
-    rows = rows.select("client", F.posexplode("events").alias("pos", "e"), F.expr(starts).alias("starts"))
-    begun = F.element_at(F.filter("starts", lambda x: x <= F.col("pos")), -1)
-    return rows.select("client", "e.event_id", "e.ts", (F.col("pos") - begun + 1).alias("uses"))
+    uses = "flatten(transform(starts, (a, k) -> sequence(1, coalesce(get(starts, k + 1), size(events)) - a)))"
+    rows = rows.withColumn("starts", F.expr(starts)).select("client", F.explode(F.arrays_zip("events", F.expr(uses).alias("uses"))).alias("x"))
+    return rows.select("client", "x.events.event_id", "x.events.ts", F.col("x.uses").alias("uses"))
 
 
 def remaining(used: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -66,17 +73,32 @@ def ingest(spark: SparkSession, inbox: str, kept, checkpoint: str, free_pages: i
 
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
-    """A stream of a table's files; time stamps get the session's time zone, as watermarks ask for."""
-    # A pattern, so that the path may be one file as well as a folder.
-    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
+    """A stream of a table's files, be it a folder or one file; time stamps get the session's time zone, as watermarks ask for."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    stream = spark.readStream.schema(spark.read.parquet(path).schema)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        rows = stream.parquet(path)
+    else:
+        rows = stream.option("pathGlobFilter", where.getName()).parquet(where.getParent().toString())
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run_to_end(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Works through what a stream has now and gives the sink's table."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_end(stream: DataFrame, folder: str, mode: str) -> DataFrame:
+    """Works through what a stream has now and gives what the sink has then: all rows in append mode, the last state in complete
+    mode.  Batches are Parquet tables below folder; one that is repeated after a failure replaces itself."""
+    spark, out = stream.sparkSession, f"{folder}/batches"
+    batches: list[int] = []
+
+    def keep(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        batches.append(number)
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    if not batches:
+        return spark.createDataFrame([], stream.schema)
+    kept = batches if mode == "append" else [max(batches)]
+    return spark.read.schema(stream.schema).parquet(*[f"{out}/batch={k}" for k in sorted(set(kept))])
 
 
 def progress_stream(events: DataFrame) -> DataFrame:

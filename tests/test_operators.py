@@ -139,3 +139,20 @@ def test_split_large(spark):
     start = items(spark, [(1, 1, "1", "Whole book title", 1)])
     got = I.split_large(start, p, 10, 100, 3).orderBy("item_no").collect()
     assert [x.structure for x in got] == ["1"] + [f"1.{k}" for k in range(2, 7)] and got[1].title == "Chapter number 5"
+
+
+def test_paths_of_any_depth(spark):
+    chain = [(1, k + 1, ".".join(["1"] * (k + 1)), f"t{k}") for k in range(40)] + [(2, 1, "7", "a"), (2, 2, "7.1", "b"), (2, 3, "7", "c"), (2, 4, "7.1", "d"), (2, 5, "7.1.1", "e"), (2, 6, None, "f")]
+    rows = spark.createDataFrame(chain, "doc_id long, item_no int, structure string, title string").repartition(3)
+    got = {(x.doc_id, x.item_no): (x.parent_item, x.depth, x.path) for x in tree.paths(tree.code_parents(rows)).collect()}
+    assert all(got[1, k + 1] == (k or None, k, list(range(1, k + 2))) for k in range(40))
+    assert [got[2, k][2] for k in range(1, 7)] == [[1], [1, 2], [3], [3, 4], [3, 4, 5], [6]]
+    nodes = tree.nested_json(tree.preorder(tree.paths(tree.code_parents(rows))), ["title"]).where("doc_id = 1").head().structure_json
+    assert nodes.count("nodes") == 39
+
+
+def test_contents_runs_of_any_length(spark):
+    text = lambda k: "A one ..... 1\nB two ..... 2\nC three ..... 3" if 10 <= k < 120 else "plain text"
+    pages = spark.createDataFrame([(d, k, text(k) if d == 1 else text(k) if k < 15 else "plain", 3) for d in (1, 2) for k in range(1, 200)], "doc_id long, page_no int, text string, token_count int")
+    got = {x.doc_id: (x.first_page, x.last_page) for x in toc.runs(I.detected(pages, 20), 20).collect()}
+    assert got == {1: (10, 119), 2: (10, 14)}

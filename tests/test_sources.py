@@ -1,6 +1,7 @@
 """Sources, stores, the model boundary, jobs, configuration and the command line."""
 
 import json
+import random
 import threading
 import zlib
 from http.server import BaseHTTPRequestHandler, HTTPServer
@@ -161,3 +162,125 @@ def test_arrays_are_read_from_every_reply(spark, monkeypatch):
     monkeypatch.setattr(registry.FX, "replies", lambda s, d: spark.createDataFrame(replies, "item_id long, reply string"))
     got = registry.queries()["json_array_rows"](spark, "")
     assert sorted(map(tuple, got.collect())) == [(0, "1", "A", 3), (1, "1", "A", 3)]
+
+
+def test_usage_runs(spark):
+    r = random.Random(3)
+    day = 86_400
+    rows, event = [], 0
+    for client in (1, 2, None):
+        at = 0
+        for _ in range(200):
+            at += r.choice([0, 1, 3600, day // 2, day, day + 1, 3 * day])
+            rows.append((client, event, at))
+            event += 1
+    rows += [(1, event, None), (2, event + 1, None)]
+    want = {}
+    for client in (1, 2, None):
+        count = until = None
+        for _, e, at in sorted((x for x in rows if x[0] == client), key=lambda x: (x[2] is not None, x[2] or 0, x[1])):
+            if until is None or at > until:
+                count, until = 0, None if at is None else at + day
+            count += 1
+            want[e] = count
+    events = spark.createDataFrame(rows, "client long, event_id long, at long").selectExpr("client", "event_id", "timestamp_seconds(at) AS ts").repartition(3)
+    assert {x.event_id: x.uses for x in jobs.usage(events).collect()} == want
+
+
+def ruled(pages_of_prompt):
+    """A backend that answers prompts by the rules, from their payloads: what a model would say that thinks like them."""
+    from folium.functions import text as X
+    from folium.plans import rules
+
+    def run(asked):
+        rows = asked.withColumn("p", F.element_at(F.split("prompt", "\n", 2), 2))
+        get = lambda k: F.get_json_object("p", f"$.{k}")
+        answer = lambda c: F.concat(F.lit('```json {"answer": "'), c, F.lit('"} ```'))
+        yes = lambda c: F.when(F.coalesce(c, F.lit(False)), "yes").otherwise("no")
+        squeezed = lambda k: X.squeezed(get(k))
+        tagged = F.expr(r"regexp_extract_all(get_json_object(p, '$.pages'), '(?s)<physical_index_(\\d+)>\n(.*?)\n<physical_index_\\d+>\n\n', 1)")
+        texts = F.expr(r"regexp_extract_all(get_json_object(p, '$.pages'), '(?s)<physical_index_(\\d+)>\n(.*?)\n<physical_index_\\d+>\n\n', 2)")
+        title = lambda t: X.strip(F.get(F.split(t, "\n"), F.lit(0)))
+        is_head = lambda t: (F.length(title(t)) <= 80) & X.token_count(title(t)).between(2, 12) & ~title(t).rlike(r"[.!?;,]$")
+        heads = F.filter(F.arrays_zip(tagged.alias("k"), texts.alias("t")), lambda x: is_head(x["t"]))
+        heads = F.to_json(F.transform(heads, lambda x: F.struct(x["k"].alias("structure"), title(x["t"]).alias("title"), F.concat(F.lit("<physical_index_"), x["k"], F.lit(">")).alias("physical_index"))))
+        at = F.element_at(F.filter(F.arrays_zip(tagged.alias("k"), texts.alias("t")), lambda x: X.squeezed(x["t"]).contains(squeezed("title"))), 1)["k"]
+        reply = (
+            F.when(F.col("op") == "contents_page", answer(rules.contents_flag(get("text"))))
+            .when(F.col("op") == "page_numbers", answer(yes(get("contents").rlike(r"(?m)\d\s*$"))))
+            .when(F.col("op") == "items_whole", answer(F.lit("yes")))
+            .when(F.col("op") == "title_on_page", answer(yes(squeezed("page").contains(squeezed("title")))))
+            .when(F.col("op") == "title_begins", answer(yes(squeezed("page").startswith(squeezed("title")))))
+            .when(F.col("op") == "find_title", F.concat(F.lit('{"physical_index": "physical_index_'), at, F.lit('"}')))
+            .when(F.col("op") == "sections", heads)
+            .when(F.col("op") == "summary", rules.first_sentence(get("text")))
+            .when(F.col("op") == "description", F.lit("about"))
+        )
+        return rows.select("prompt_hash", reply.alias("content"), F.when(reply.isNull(), "error").otherwise("finished").alias("finish_reason"))
+
+    return run
+
+
+def test_an_index_by_a_model_that_thinks_like_the_rules(spark):
+    from folium.plans import index as I
+    from folium.plans.rules import Model
+
+    pages = []
+    for d in range(4):
+        for k in range(1, 12):
+            text = f"Part {d} {k} heading\nIt tells of things. And of more." if k % 3 == d % 3 else f"plain words of page {k} end here.\nmore."
+            pages.append((d, k, text, 12))
+    pages = spark.createDataFrame(pages, "doc_id long, page_no int, text string, token_count int")
+    plain = {x.doc_id: x.structure_json for x in I.build_index(pages).collect()}
+    got = {x.doc_id: x.structure_json for x in I.build_index(pages, rules=Model(ruled(None), budget=40)).collect()}
+
+    def shape(text):
+        return [{k: v for k, v in n.items() if k != "nodes"} for n in json.loads(text)]
+
+    assert len(plain) == 4 and {d: shape(t) for d, t in got.items()} == {d: shape(t) for d, t in plain.items()}
+
+
+def test_cut_replies_go_on(spark):
+    from folium.plans.rules import Model
+
+    def backend(asked):
+        whole = F.col("prompt").contains("Go on from here")
+        reply = F.when(whole, F.lit(' {"structure": "2", "title": "B"}]')).otherwise(F.lit('[{"structure": "1", "title": "A", "page": 3}, {"struc'))
+        reply = F.when(F.col("op") == "items_whole", F.lit('{"answer": "yes"}')).otherwise(reply)
+        reason = F.when((F.col("op") == "items") & ~whole, "max_output_reached").otherwise("finished")
+        return asked.select("prompt_hash", reply.alias("content"), reason.alias("finish_reason"))
+
+    contents = spark.createDataFrame([(1, "A 3\nB")], "doc_id long, toc_content string")
+    got = [tuple(x) for x in Model(backend).items(contents).orderBy("item_no").collect()]
+    assert got == [(1, 1, "1", "A", 3), (1, 2, "2", "B", None)]
+
+
+def test_providers():
+    env = {"GROQ_API_KEY": "g", "GOOGLE_API_KEY": " ", "CEREBRAS_API_KEY": "c", "LLM_BASE_URL": ""}
+    assert [(p.model, p.api_key) for p in reasoner.pool(env)] == [("llama-3.3-70b-versatile", "g"), ("llama-3.1-8b-instant", "g"), ("llama3.3-70b", "c")]
+    assert [(p.model, p.url) for p in reasoner.pool({})] == [("qwen2.5:7b", catalog.LOCAL_URL)]
+    assert reasoner.provider("gpt-4o", {"CHATGPT_API_KEY": "k"}) == reasoner.Provider(catalog.OPENAI_URL, "gpt-4o", "k")
+    assert reasoner.provider("x", {"LLM_BASE_URL": "http://own"}).url == "http://own" and reasoner.provider("x", {}, "http://given").url == "http://given"
+    assert reasoner.read_timeout(catalog.LOCAL_URL) == 300 and reasoner.read_timeout(catalog.GROQ_URL) == 120
+
+
+def test_every_option_counts(spark, tmp_path):
+    from folium.plans.rules import Model
+
+    text = "# A\n" + "one two three. " * 10 + "\n## B\nshort\n"
+    (tmp_path / "a.md").write_text(text)
+
+    def run(*more):
+        assert cli.main(["--md_path", str(tmp_path / "a.md"), "--out", str(tmp_path / "out"), *more]) == 0
+        return json.loads("".join(p.read_text() for p in (tmp_path / "out").glob("part-*")))
+
+    node = run()["structure"][0]
+    assert node["node_id"] == "0000" and "# A" in node["prefix_summary"] and node["nodes"][0]["summary"].startswith("## B")
+    node = run("--if-add-node-id", "no", "--if-add-node-summary", "no", "--if-add-node-text", "yes")["structure"][0]
+    assert "node_id" not in node and "prefix_summary" not in node and node["text"].startswith("# A")
+    node = run("--summary-token-threshold", "5", "--if-add-doc-description", "yes")
+    assert node["structure"][0]["prefix_summary"].endswith("three.") and "one" in node["structure"][0]["prefix_summary"] and node["doc_description"] == "A"
+    parse = lambda *a: cli.parser().parse_args([*a, "--md_path", "x.md"])
+    assert cli.rules_for(parse(), config.Config(), {}) is cli.index.RULES
+    assert isinstance(cli.rules_for(parse("--model", "pool"), config.load({"model": "pool"}), {}), Model)
+    assert isinstance(cli.rules_for(parse("--base-url", "http://x"), config.load({"base_url": "http://x"}), {}), Model)
