@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -86,10 +86,8 @@ def repaired(items: DataFrame, pages: DataFrame, page_counts: DataFrame, rounds:
 
 
 def sampled(items: DataFrame, n: int | None, seed: int = 7) -> DataFrame:
-    """n items of each document for a check, by a seeded hash; all of them if n is null."""
+    """n items of each document for a check, in the order of a seeded MD5; all of them if n is null."""
     if n is None:
         return items
-    from pyspark.sql import Window
-
-    order = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("doc_id", "item_no", F.lit(seed))))
-    return items.withColumn("drawn", order).where(F.col("drawn") <= n).drop("drawn")
+    order = Window.partitionBy("doc_id").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("item_no").cast("string"))))
+    return items.withColumn("drawn", F.row_number().over(order)).where(F.col("drawn") <= n).drop("drawn")

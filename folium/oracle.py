@@ -112,7 +112,7 @@ def oracle_sql() -> dict[str, str]:
     def q(fixtures: str, select: str) -> str:
         return f"WITH {fixtures}\n{select}"
 
-    return {
+    found = {
         "page_scan": q(_PAGES, "SELECT * FROM doc_pages"),
         "page_count": q(_PAGES, "SELECT doc_id, n_pages FROM counts"),
         "doc_token_total": q(_PAGES, "SELECT doc_id, CAST(sum(token_count) AS BIGINT) AS tokens FROM doc_pages GROUP BY doc_id"),
@@ -123,6 +123,7 @@ def oracle_sql() -> dict[str, str]:
         "md_section_tree": q(_LINES, """, up AS (SELECT h.*, (SELECT max(p.seq) FROM heads p WHERE p.doc_id = h.doc_id AND p.seq < h.seq AND p.level < h.level) AS parent_seq FROM heads h),
             deep AS (SELECT u.*, (SELECT count(*) FROM heads p WHERE p.doc_id = u.doc_id AND p.seq < u.seq AND p.level < u.level AND NOT EXISTS (SELECT 1 FROM heads m WHERE m.doc_id = u.doc_id AND m.seq > p.seq AND m.seq < u.seq AND m.level <= p.level)) AS depth FROM up u)
             SELECT doc_id, seq, line_no, level, title, parent_seq, CAST(depth AS INT) AS depth, printf('%04d', seq - 1) AS node_id FROM deep""").replace(")\n, up", "),\n up"),
+        "md_parent_lookup": q(_LINES, "SELECT doc_id, seq, (SELECT max(p.seq) FROM heads p WHERE p.doc_id = h.doc_id AND p.seq < h.seq AND p.level < h.level) AS parent_seq FROM heads h"),
         "md_subtree_interval": q(_LINES, "SELECT doc_id, seq, level, subtree_end FROM ends"),
         "md_subtree_tokens": q(_LINES, "SELECT doc_id, seq, level, subtree_end, text_token_count FROM totals"),
         "md_thinning": q(_LINES, """SELECT t.doc_id, t.seq, t.level, t.title, CASE WHEN t.text_token_count < 40 THEN (SELECT string_agg(d.text, chr(10) || chr(10) ORDER BY d.seq) FROM secs d WHERE d.doc_id = t.doc_id AND d.seq BETWEEN t.seq AND t.subtree_end AND d.text <> '') ELSE t.text END AS text, t.text_token_count
@@ -131,6 +132,12 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT *, coalesce(lead(level) OVER (PARTITION BY doc_id ORDER BY seq) <= level, true) AS is_leaf, len(regexp_extract_all(text, '\S+')) < 30 AS short FROM secs)"""),
         "code_parent_join": q(_CODE_TREE, "SELECT doc_id, item_no, structure, parent_item FROM parented"),
         "code_tree": q(_CODE_TREE, "SELECT doc_id, item_no, structure, title, parent_item, depth, path FROM code_tree"),
+        "code_tree_depths": q(_CODE_TREE, "SELECT doc_id, depth, count(*) AS nodes FROM code_tree GROUP BY doc_id, depth"),
+        "nested_json": q(_CODE_TREE + """,
+            own AS (SELECT *, '{"title":' || to_json(title) || ',"node_id":"' || printf('%04d', seq) || '"' AS head FROM code_tree),
+            two AS (SELECT doc_id, parent_item, string_agg(head || '}', ',' ORDER BY seq) AS kids FROM own WHERE depth = 2 GROUP BY ALL),
+            one AS (SELECT o.doc_id, o.parent_item, string_agg(head || coalesce(',"nodes":[' || kids || ']', '') || '}', ',' ORDER BY seq) AS kids FROM own o LEFT JOIN two t ON t.doc_id = o.doc_id AND t.parent_item = o.item_no WHERE depth = 1 GROUP BY ALL)""",
+            """SELECT o.doc_id, '[' || string_agg(head || coalesce(',"nodes":[' || kids || ']', '') || '}', ',' ORDER BY seq) || ']' AS structure_json FROM own o LEFT JOIN one t ON t.doc_id = o.doc_id AND t.parent_item = o.item_no WHERE depth = 0 GROUP BY o.doc_id"""),
         "code_preorder_ids": q(_CODE_TREE, "SELECT doc_id, item_no, seq, printf('%04d', seq) AS node_id FROM code_tree"),
         "code_subtree_counts": q(_CODE_TREE, "SELECT a.doc_id, a.item_no, (SELECT count(*) FROM code_tree d WHERE d.doc_id = a.doc_id AND list_contains(d.path, a.item_no)) - 1 AS below FROM code_tree a"),
         "code_leaves": q(_CODE_TREE, "SELECT doc_id, item_no FROM code_tree a WHERE NOT EXISTS (SELECT 1 FROM code_tree c WHERE c.doc_id = a.doc_id AND c.parent_item = a.item_no)"),
@@ -165,6 +172,24 @@ def oracle_sql() -> dict[str, str]:
               FROM doc_pages p JOIN fold f ON f.doc_id = p.doc_id AND p.page_no = f.page_no + 1 JOIN budget b ON b.doc_id = p.doc_id),
             members AS (SELECT doc_id, g, page_no FROM fold UNION SELECT doc_id, g, page_no - 1 FROM fold WHERE opened = 1 AND page_no > 1)
             SELECT doc_id, CAST(g AS INT) AS group_no, min(page_no) AS first_page, max(page_no) AS last_page FROM members GROUP BY doc_id, g""",
+        "line_classes": q(_PAGES, """SELECT doc_id, page_no, CASE WHEN contains(lower(text), 'error') THEN 'error' WHEN contains(lower(text), 'warning') THEN 'warning' WHEN contains(lower(text), 'done') THEN 'done' ELSE 'info' END AS class, left(text, 20) AS short FROM doc_pages"""),
+        "filled_gaps": q(_ITEMS, r""", gaps AS (SELECT t.doc_id, t.item_no, t.title,
+            coalesce((SELECT arg_max(p.physical_index, p.item_no) FROM toc_items p WHERE p.doc_id = t.doc_id AND p.item_no < t.item_no AND p.physical_index IS NOT NULL), 0) AS lo,
+            coalesce((SELECT arg_min(p.physical_index, p.item_no) FROM toc_items p WHERE p.doc_id = t.doc_id AND p.item_no > t.item_no AND p.physical_index IS NOT NULL), c.n_pages) AS hi
+            FROM toc_items t JOIN counts c ON c.doc_id = t.doc_id WHERE t.physical_index IS NULL),
+            filled AS (SELECT g.doc_id, g.item_no, min(p.page_no) AS at FROM gaps g JOIN doc_pages p ON p.doc_id = g.doc_id AND p.page_no BETWEEN lo AND hi
+              AND contains(regexp_replace(lower(p.text), '\s+', '', 'g'), regexp_replace(lower(g.title), '\s+', '', 'g')) GROUP BY ALL)
+            SELECT t.doc_id, t.item_no, t.title, coalesce(t.physical_index, f.at) AS physical_index FROM toc_items t LEFT JOIN filled f ON f.doc_id = t.doc_id AND f.item_no = t.item_no""").replace(")\n, gaps", "),\n gaps"),
+        "items_in_pages": q(_ITEMS, "SELECT doc_id, item_no, title, physical_index FROM toc_items WHERE physical_index BETWEEN 2 AND 9"),
+        "sampled_items": q(_ITEMS, "SELECT doc_id, item_no, title FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY md5('7:' || doc_id || ':' || item_no)) AS r FROM toc_items) WHERE r <= 2"),
+        "repaired_items": q(_ITEMS, r""", ok AS (SELECT a.* FROM answers a JOIN counts c ON c.doc_id = a.doc_id WHERE physical_index <= n_pages),
+            bad AS (SELECT w.doc_id, w.item_no, w.title,
+              coalesce((SELECT arg_max(g.physical_index, g.item_no) FROM ok g WHERE g.doc_id = w.doc_id AND g.item_no < w.item_no AND g.answer = 'yes'), 0) AS lo,
+              coalesce((SELECT arg_min(g.physical_index, g.item_no) FROM ok g WHERE g.doc_id = w.doc_id AND g.item_no > w.item_no AND g.answer = 'yes'), c.n_pages) AS hi
+              FROM ok w JOIN counts c ON c.doc_id = w.doc_id WHERE w.answer = 'no'),
+            right_ AS (SELECT b.doc_id, b.item_no, min(p.page_no) AS at FROM bad b JOIN doc_pages p ON p.doc_id = b.doc_id AND p.page_no BETWEEN lo AND hi
+              AND contains(regexp_replace(lower(p.text), '\s+', '', 'g'), regexp_replace(lower(b.title), '\s+', '', 'g')) GROUP BY ALL)
+            SELECT o.doc_id, o.item_no, o.title, coalesce(r.at, o.physical_index) AS physical_index FROM ok o LEFT JOIN right_ r ON r.doc_id = o.doc_id AND r.item_no = o.item_no""").replace(")\n, ok", "),\n ok"),
         "validate_truncate": q(_ITEMS, "SELECT t.doc_id, item_no, title, CASE WHEN physical_index <= n_pages THEN physical_index END AS physical_index FROM toc_items t JOIN counts c ON c.doc_id = t.doc_id"),
         "drop_null_index": q(_ITEMS, "SELECT doc_id, item_no, title, physical_index FROM toc_items WHERE physical_index IS NOT NULL"),
         "title_check": q(_ITEMS, "SELECT doc_id, item_no, answer FROM answers"),
@@ -179,6 +204,7 @@ def oracle_sql() -> dict[str, str]:
         "end_index": q(_SECTIONS, "SELECT doc_id, item_no, start_index, end_index FROM ended"),
         "section_index": q(_SECTIONS, "SELECT * FROM section_index"),
         "section_text": q(_SECTIONS, "SELECT s.doc_id, item_no, string_agg(p.text, '' ORDER BY page_no) AS text FROM section_index s JOIN doc_pages p ON p.doc_id = s.doc_id AND p.page_no BETWEEN start_index AND end_index GROUP BY s.doc_id, item_no"),
+        "text_removed": q(_SECTIONS, "SELECT doc_id, item_no, title, node_id FROM section_index"),
         "section_tokens": q(_SECTIONS, "SELECT doc_id, item_no, start_index, end_index, tokens FROM sec_tokens"),
         "large_nodes": q(_SECTIONS, "SELECT doc_id, item_no, tokens FROM sec_tokens WHERE end_index - start_index > 1 AND tokens >= 60"),
         "head_removal": q(_ITEMS, """, first AS (SELECT doc_id, min(item_no) AS item_no FROM toc_items GROUP BY doc_id)
@@ -190,11 +216,22 @@ def oracle_sql() -> dict[str, str]:
         "select_sections": q(_SELECTED, "SELECT * FROM selected"),
         "rag_context": q(_SELECTED, """, lined AS (SELECT doc_id, string_agg(repeat('  ', depth) || '- ' || title || ' (pages ' || start_index || '-' || end_index || ')' || chr(10), '' ORDER BY seq) AS outline FROM section_index GROUP BY doc_id)
             SELECT * FROM context UNION ALL SELECT q.question_id, coalesce(l.outline, ''), CAST([] AS VARCHAR[]) FROM questions q LEFT JOIN lined l ON l.doc_id = q.doc_id WHERE q.question_id NOT IN (SELECT question_id FROM context)""").replace(")\n, lined", "),\n lined"),
+        "rag_answer": q(_SELECTED, r""", lined AS (SELECT doc_id, string_agg(repeat('  ', depth) || '- ' || title || ' (pages ' || start_index || '-' || end_index || ')' || chr(10), '' ORDER BY seq) AS outline FROM section_index GROUP BY doc_id),
+            every AS (SELECT * FROM context UNION ALL SELECT q.question_id, coalesce(l.outline, ''), CAST([] AS VARCHAR[]) FROM questions q LEFT JOIN lined l ON l.doc_id = q.doc_id WHERE q.question_id NOT IN (SELECT question_id FROM context)),
+            split AS (SELECT question_id, sources, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS line FROM (SELECT *, string_split(context, chr(10)) AS l FROM every)),
+            scored AS (SELECT s.*, len(list_intersect(list_distinct(list_filter(regexp_split_to_array(lower(q.question), '\s+'), lambda x: x <> '')), list_distinct(list_filter(regexp_split_to_array(lower(s.line), '\s+'), lambda x: x <> '')))) AS n
+              FROM split s JOIN questions q ON q.question_id = s.question_id WHERE line NOT LIKE '=== % ===')
+            SELECT question_id, line AS answer, sources FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY n DESC, pos) AS r FROM scored) WHERE r = 1""").replace(")\n, lined", "),\n lined"),
         "strip_fence": q(_REPLIES, r"SELECT item_id, trim(CASE WHEN reply LIKE '```json%' THEN regexp_extract(reply, '(?s)```json(.*)```', 1) ELSE reply END) AS reply FROM replies"),
         "json_default": q(_REPLIES, "SELECT item_id, CASE item_id % 5 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' WHEN 2 THEN 'yes' ELSE 'no' END AS answer FROM replies"),
         "json_array_rows": q(_REPLIES, "SELECT item_id, '1' AS structure, 'A' AS title, 3 AS physical_index FROM replies WHERE item_id % 5 = 3"),
         "parse_physical_index": "SELECT r_regionkey, v, n FROM region, (VALUES ('<physical_index_5>', 5), ('physical_index_10', 10), ('physical_index_0', 0), (' 7 ', 7), ('invalid_format', NULL), (NULL, NULL)) t(v, n)",
         "to_int_default": "SELECT r_regionkey, v, n FROM region, (VALUES ('12', 12), (' 3 ', 3), ('x', -1), ('', -1), (NULL, -1)) t(v, n)",
+        "page_to_int": "SELECT r_regionkey, v, n FROM region, (VALUES ('12', 12), (' 3 ', 3), ('x', NULL), ('', NULL), (NULL, NULL)) t(v, n)",
+        "extract_json": q(_REPLIES, """SELECT item_id, CASE WHEN item_id % 5 < 2 THEN 'x' ELSE '-' END AS thinking, CASE WHEN item_id % 5 = 3 THEN 'A' END AS title,
+            CASE item_id % 5 WHEN 0 THEN '{"answer":"yes","thinking":"x"}' WHEN 1 THEN '{"answer":"no","thinking":"x"}' WHEN 2 THEN '{"answer":"yes","page":null}'
+            WHEN 3 THEN '[{"physical_index":"<physical_index_3>","structure":"1","title":"A"}]' ELSE '{}' END AS json FROM replies"""),
+        "string_arrays": "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN [n_name, 'x'] ELSE CAST([] AS VARCHAR[]) END AS titles FROM nation",
         "dot_leader": r"SELECT p_partkey, regexp_replace(regexp_replace(p_name || ' ........ ' || p_size || '. . . . . . 7', '\.{5,}', ': ', 'g'), '(?:\. ){5,}\.?', ': ', 'g') AS line FROM part",
         "doc_key": r"SELECT page_id, regexp_replace(url || CASE page_id % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.md' WHEN 2 THEN '.markdown' ELSE '.PDF' END, '\.(pdf|md|markdown)$', '') AS doc_key FROM pages",
         "sanitize_ip": "SELECT event_id, '10_0_' || (user_id % 7) || '_' || (user_id % 250) AS client FROM events",
@@ -204,7 +241,13 @@ def oracle_sql() -> dict[str, str]:
         "cache_anti_join": "SELECT doc_id, source FROM documents WHERE doc_id % 2 <> 0",
         "index_listing": """SELECT CAST(doc_id AS VARCHAR) AS doc_key, CASE WHEN doc_id % 3 <> 0 THEN source ELSE CAST(doc_id AS VARCHAR) END AS filename, CASE WHEN doc_id % 5 <> 0 THEN n_chars ELSE 0 END AS page_count, doc_id AS indexed_at FROM documents""",
         "page_store": q(_PAGES, "SELECT doc_id, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM doc_pages GROUP BY doc_id"),
-        "model_lookup": "SELECT r_regionkey, CASE r_regionkey WHEN 0 THEN 'https://api.openai.com/v1/chat/completions' ELSE 'http://localhost:11434/v1/chat/completions' END AS url FROM region",
+        "model_lookup": """SELECT r_regionkey, model, CASE model WHEN 'cerebras-llama-3.3-70b' THEN 'llama3.3-70b' ELSE model END AS api_id,
+            CASE WHEN model LIKE 'gpt-4%' THEN 'https://api.openai.com/v1/chat/completions' WHEN model LIKE 'gemini-%' THEN 'https://generativelanguage.googleapis.com/v1beta/openai/chat/completions'
+            WHEN model LIKE 'cerebras-%' THEN 'https://api.cerebras.ai/v1/chat/completions' WHEN model IN ('mistral-small-latest', 'open-mistral-nemo') THEN 'https://api.mistral.ai/v1/chat/completions'
+            WHEN model IN ('llama-3.3-70b-versatile', 'gemma2-9b-it', 'mixtral-8x7b-32768', 'llama-3.1-8b-instant') THEN 'https://api.groq.com/openai/v1/chat/completions' ELSE 'http://localhost:11434/v1/chat/completions' END AS url
+            FROM region, unnest(['gemma3:1b', 'qwen2.5:3b', 'qwen2.5:7b', 'llama3.2', 'mistral', 'llama-3.3-70b-versatile', 'gemma2-9b-it', 'mixtral-8x7b-32768', 'llama-3.1-8b-instant', 'gemini-2.0-flash', 'gemini-1.5-flash',
+              'cerebras-llama-3.3-70b', 'mistral-small-latest', 'open-mistral-nemo', 'gpt-4o-mini', 'gpt-4o', 'gpt-4-turbo', 'gpt-4o-2024-11-20', 'llama3.1:8b', 'unknown']) t(model)""",
+        "audit_append": "SELECT run_id, seq, message FROM (VALUES ('r1', 0, 'started'), ('r1', 1, 'done'), ('r2', 0, 'started'), ('r1', 0, 'again')) t(run_id, seq, message)",
         "usage_ttl": f"WITH {_USAGE} SELECT client, event_id, uses FROM used",
         "usage_remaining": f"WITH {_USAGE} SELECT client, event_id, CAST(greatest(0, 2 - uses) AS INT) AS remaining, uses <= 2 AS allowed FROM used",
         "stream_usage": f"WITH {_USAGE} SELECT client, event_id, uses FROM used",
@@ -215,3 +258,9 @@ def oracle_sql() -> dict[str, str]:
             SELECT job_id, epoch_us(min(ts)) AS started, epoch_us(max(ts)) AS last, count(*) AS events FROM numbered GROUP BY job_id, g""").replace(")\n, marked", "),\n marked"),
         "stream_progress": q(_EVENTS, "SELECT job_id, count(*) AS events, arg_max(status, (ts, event_id)) AS status FROM job_events GROUP BY job_id"),
     }
+    groups = found["page_groups"].rindex("SELECT doc_id, CAST(g AS INT)")
+    found["page_group_text_stats"] = (
+        found["page_groups"][:groups].rstrip() + ", grouped AS (" + found["page_groups"][groups:] + ") SELECT g.doc_id, group_no, count(*) AS n, CAST(sum(token_count) AS BIGINT) AS tokens, CAST(sum(length(text)) AS BIGINT) AS chars "
+        "FROM grouped g JOIN doc_pages p ON p.doc_id = g.doc_id AND p.page_no BETWEEN first_page AND last_page GROUP BY ALL"
+    )
+    return found

@@ -12,7 +12,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _own_dir: str | None = None
 _kept: set[str] = set()
@@ -80,6 +81,12 @@ class Scratch:
         self.paths[path] = found = self.spark.read.schema(df.schema).parquet(path)
         return found
 
+    def counted(self, df: DataFrame, name: str, condition: Column) -> tuple[DataFrame, int]:
+        """The written table, and how many of its rows meet a condition, counted while it is written."""
+        seen = Observation()
+        found = self.written(df.observe(seen, F.count(F.when(condition, 1)).alias("n")), name)
+        return found, seen.get["n"]
+
     def done(self, *tables: DataFrame | str) -> None:
         """Deletes tables (or paths) that nothing will read again."""
         for path in [p for p, t in self.paths.items() if any(p == x if isinstance(x, str) else t is x for x in tables)]:

@@ -89,6 +89,19 @@ def page_groups(s, d):
     return P.groups(FX.doc_pages(s, d), BUDGET)
 
 
+@query
+def page_group_text_stats(s, d):
+    pages = FX.doc_pages(s, d)
+    rows = P.in_range(P.groups(pages, BUDGET), pages, "first_page", "last_page")
+    return rows.groupBy("doc_id", "group_no").agg(F.count(F.lit(1)).alias("n"), F.sum("token_count").alias("tokens"), F.sum(F.length("text")).alias("chars"))
+
+
+@query
+def line_classes(s, d):
+    rows = FX.doc_pages(s, d)
+    return rows.select("doc_id", "page_no", X.log_class(F.col("text")).alias("class"), X.shortened(F.col("text"), 20).alias("short"))
+
+
 # Markdown
 
 @query
@@ -106,6 +119,11 @@ def md_section_tree(s, d):
     return M.tree(M.headings(FX.md_lines(s, d))).withColumn("node_id", X.node_id(F.col("seq") - 1))
 
 
+@query
+def md_parent_lookup(s, d):
+    return M.tree(M.headings(FX.md_lines(s, d))).select("doc_id", "seq", "parent_seq")
+
+
 @query
 def md_subtree_interval(s, d):
     return M.subtree_end(M.headings(FX.md_lines(s, d))).select("doc_id", "seq", "level", "subtree_end")
@@ -140,6 +158,11 @@ def code_tree(s, d):
     return _codes(s, d).select("doc_id", "item_no", "structure", "title", "parent_item", "depth", "path")
 
 
+@query
+def code_tree_depths(s, d):
+    return _codes(s, d).groupBy("doc_id", "depth").agg(F.count(F.lit(1)).alias("nodes"))
+
+
 @query
 def code_preorder_ids(s, d):
     return _codes(s, d).select("doc_id", "item_no", "seq", "node_id")
@@ -202,8 +225,29 @@ def gap_pages(s, d):
     return toc.gap_pages(FX.toc_items(s, d), FX.doc_pages(s, d), _counts(s, d))
 
 
+@query
+def filled_gaps(s, d):
+    return toc.fill_gaps(FX.toc_items(s, d), FX.doc_pages(s, d), _counts(s, d)).select("doc_id", "item_no", "title", "physical_index")
+
+
+@query
+def items_in_pages(s, d):
+    return toc.in_pages(FX.toc_items(s, d), 2, 9).select("doc_id", "item_no", "title", "physical_index")
+
+
 # Checks and repairs
 
+@query
+def sampled_items(s, d):
+    return verify.sampled(FX.toc_items(s, d), 2).select("doc_id", "item_no", "title")
+
+
+@query
+def repaired_items(s, d):
+    items = verify.with_index(verify.truncated(FX.toc_items(s, d), _counts(s, d)))
+    return verify.repaired(items, FX.doc_pages(s, d), _counts(s, d), 1).select("doc_id", "item_no", "title", "physical_index")
+
+
 @query
 def validate_truncate(s, d):
     return verify.truncated(FX.toc_items(s, d), _counts(s, d)).select("doc_id", "item_no", "title", "physical_index")
@@ -277,6 +321,12 @@ def section_text(s, d):
     return P.section_text(_sections(s, d), FX.doc_pages(s, d))
 
 
+@query
+def text_removed(s, d):
+    rows = _sections(s, d).select("doc_id", "item_no", "title", "node_id")
+    return tree.without_text(rows.join(P.section_text(_sections(s, d), FX.doc_pages(s, d)), ["doc_id", "item_no"], "left"))
+
+
 @query
 def section_tokens(s, d):
     return P.section_tokens(_sections(s, d), FX.doc_pages(s, d)).select("doc_id", "item_no", "start_index", "end_index", "tokens")
@@ -380,6 +430,23 @@ def to_int_default(s, d):
     return _literals(s, d, ["12", " 3 ", "x", "", None]).withColumn("n", X.to_int(F.col("v"), -1))
 
 
+@query
+def page_to_int(s, d):
+    return _literals(s, d, ["12", " 3 ", "x", "", None]).withColumn("n", X.page_to_int(F.col("v")))
+
+
+@query
+def extract_json(s, d):
+    parsed = X.extract_json(F.col("reply"))
+    return FX.replies(s, d).select("item_id", X.json_field(parsed, "thinking", "-").alias("thinking"), F.try_variant_get(parsed, "$[0].title", "string").alias("title"), F.to_json(parsed).alias("json"))
+
+
+@query
+def string_arrays(s, d):
+    reply = F.concat(F.lit('```json ["'), F.col("n_name"), F.lit('", "x"] ```'))
+    return FX.table(s, d, "nation").select("n_nationkey", X.string_array(F.when(F.col("n_nationkey") % 2 == 0, reply).otherwise("n_name")).alias("titles"))
+
+
 @query
 def dot_leader(s, d):
     line = F.concat("p_name", F.lit(" ........ "), F.col("p_size").cast("string"), F.lit(". . . . . . 7"))
@@ -436,8 +503,17 @@ def page_store(s, d):
 
 @query
 def model_lookup(s, d):
-    requests = FX.table(s, d, "region").select("r_regionkey", F.expr("CASE r_regionkey WHEN 0 THEN 'gpt-4o-2024-11-20' WHEN 1 THEN 'qwen2.5:7b' ELSE 'unknown' END AS model"))
-    return catalog.with_url(requests).select("r_regionkey", "url")
+    asked = catalog.models(s).select(F.col("id").alias("model")).unionByName(s.createDataFrame([("unknown",)], "model string"))
+    requests = FX.table(s, d, "region").select("r_regionkey").crossJoin(F.broadcast(asked))  # a row a model of the catalogue
+    return catalog.with_api_id(catalog.with_url(requests)).select("r_regionkey", "model", "api_id", "url")
+
+
+@query
+def audit_append(s, d):
+    path = lineage.new_path(s, "audit")
+    for run, messages in (("r1", ["started", "done"]), ("r2", ["started"]), ("r1", ["again"])):
+        store.audit(s, path, run, messages)
+    return s.read.parquet(path).select("run_id", F.col("seq").cast("int").alias("seq"), "message")
 
 
 # Jobs and usage
