@@ -52,20 +52,34 @@ def _head(pairs: list[tuple[str, Column | str]]) -> Column:
     return F.concat(F.lit("WARC/1.1\r\n"), *[F.coalesce(x, F.lit("")) for x in lines], F.lit("\r\n"))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with ``copy``: a number from 0 of each of several rows that are equal.  Only those are gathered, as one row and a count."""
+    same = ["page_id", "url", "digest"]
+    twice = rows.groupBy(*same).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(*[F.col(c).alias(f"of_{c}") for c in same])
+    twice = common.written(twice, "equal-rows")
+    if twice.isEmpty():
+        return rows.withColumn("copy", F.lit(0))
+    match = [F.col("digest") == F.col("of_digest"), F.col("page_id").eqNullSafe(F.col("of_page_id")), F.col("url").eqNullSafe(F.col("of_url"))]
+    gathered = rows.join(twice, match, "left_semi").groupBy(*same).agg(F.count(F.lit(1)).alias("k"), F.first("html").alias("html"), F.first("n").alias("n"))
+    gathered = gathered.withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("k") - 1).cast("int")))).select(*rows.columns, "copy")
+    return rows.join(twice, match, "left_anti").withColumn("copy", F.lit(0)).unionByName(gathered)
+
+
 def write_captures(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", revisit_bytes: int = REVISIT_BYTES) -> None:
     """Archives pages (page_id, url, html): a request, a response or revisit, and a metadata record each."""
     url = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", url.alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).cast("long").alias("n"))
-    who = lambda page, at, digest: F.concat_ws("|", F.coalesce(page.cast("string"), F.lit("-")), F.coalesce(at, F.lit("-")), digest)
+    rows = _numbered(rows)
+    who = lambda page, at, digest, copy: F.concat_ws("|", F.coalesce(page.cast("string"), F.lit("-")), F.coalesce(at, F.lit("-")), digest, F.when(copy > 0, copy.cast("string")))
     stored = (rows.where(F.col("n") >= revisit_bytes).select("digest", "page_id", "url").groupBy("digest")
               .agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("page_id", "url")).alias("first")).where("k > 1")
               .select(common.skew_key("digest").alias("same"), "first"))
     rows = rows.join(stored, F.col("digest") == F.col("same"), "left")
-    revisit = F.expr("first IS NOT NULL AND NOT (first <=> struct(page_id, url))")
-    key = who(F.col("page_id"), F.col("url"), F.col("digest"))
+    revisit = F.expr("first IS NOT NULL AND NOT (first <=> struct(page_id, url) AND copy = 0)")
+    key = who(F.col("page_id"), F.col("url"), F.col("digest"), F.col("copy"))
     response_id = _urn("response", key)
-    answered = _urn("response", who(F.col("first.page_id"), F.col("first.url"), F.col("digest")))
+    answered = _urn("response", who(F.col("first.page_id"), F.col("first.url"), F.col("digest"), F.lit(0)))
     digest = F.concat(F.lit("sha1:"), F.col("digest"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit(END))
     asked = F.concat(F.lit("GET "), F.coalesce("url", F.lit("/")), F.lit(" HTTP/1.1" + END))
