@@ -7,7 +7,8 @@ node's capacity is that of its whole subtree, a shortage stays with siblings as
 reaches the siblings of an ancestor.  Shares are rounded down, so a node may hand down up to one token a child less.
 
 A leaf then takes whole epochs of its documents, and of the last epoch the longest run of documents, in the order of
-md5(seed : epoch : doc_id), whose tokens fit what is left.  The order is cut into hash slices: sums over slices find the one
+md5(seed : epoch : doc_id), whose tokens fit what is left (rows without a doc_id go by the MD5 of their text, rows of one doc_id
+by their tokens and a hash of their text).  The order is cut into hash slices: sums over slices find the one
 slice in which the run ends, and only that slice's documents are put in order, so no leaf is sorted in one task.
 
 Tokens are words (runs of other than white space).  Weights are whole numbers.
@@ -51,9 +52,11 @@ def weight_of(level: str, name: Column) -> Column:
 
 
 def leaf_rows(docs: DataFrame, *more: Column) -> DataFrame:
-    """(doc_id, domain, lang, source, tokens, *more): the leaf and the tokens of each document."""
+    """(doc_id, domain, lang, source, tokens, order_key, tie, *more): the leaf and the tokens of each document, and what it is ordered by."""
+    text = common.text_or_empty()
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.md5(text.cast("binary"))))
     source, lang = F.coalesce("source", F.lit("?")), F.coalesce("lang", F.lit("?"))
-    return docs.select("doc_id", domain_of(source).alias("domain"), lang.alias("lang"), source.alias("source"), F.size(words_of(common.text_or_empty())).cast("long").alias("tokens"), *more)
+    return docs.select("doc_id", domain_of(source).alias("domain"), lang.alias("lang"), source.alias("source"), F.size(words_of(text)).cast("long").alias("tokens"), key.alias("order_key"), F.xxhash64(text).alias("tie"), *more)
 
 
 def _shares(nodes: DataFrame, parent: list[str]) -> DataFrame:
@@ -113,12 +116,11 @@ def achieved(leaves: DataFrame, shares: DataFrame, weight=weight_of) -> DataFram
 
 
 def _order(epoch: Column, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), epoch.cast("string"), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
+    return F.md5(F.concat(F.lit(f"{seed}:"), epoch.cast("string"), F.lit(":"), F.col("order_key")))
 
 
 def selection(rows: DataFrame, shares: DataFrame, seed: int = SEED) -> DataFrame:
-    """A row for each document and epoch that is selected: the columns of rows (doc_id, domain, lang, source, tokens and what
-    else there is) and ``epoch``, from 0."""
+    """A row for each document and epoch that is selected: the columns of rows (as ``leaf_rows`` gives them) and ``epoch``, from 0."""
     leaf = list(LEVELS)
     plan = shares.select(*[F.col(c).alias(f"leaf_{c}") for c in leaf], F.expr("cast(share div tokens as int)").alias("whole"), F.expr("share % tokens").alias("left"))
     plan = common.written(plan, "mix-plan")
@@ -130,7 +132,7 @@ def selection(rows: DataFrame, shares: DataFrame, seed: int = SEED) -> DataFrame
         found = at_leaf(table, plan, "leaf", "inner").withColumn("order", _order(F.col("whole"), seed))
         return found.withColumn("slice", F.substring("order", 1, SLICE))
 
-    slices = ordered(rows.select("doc_id", *leaf, "tokens")).groupBy(*leaf, "slice").agg(F.sum("tokens").alias("n"), F.first("left").alias("left"))
+    slices = ordered(rows.select("order_key", *leaf, "tokens")).groupBy(*leaf, "slice").agg(F.sum("tokens").alias("n"), F.first("left").alias("left"))
     slices = slices.withColumn("end", F.sum("n").over(Window.partitionBy(*leaf).orderBy("slice")))
     cut = slices.where("end > left").groupBy(*leaf).agg(F.min(F.struct("slice", (F.col("left") - F.col("end") + F.col("n")).alias("room"))).alias("cut"))
     cut = common.written(cut.select(*[F.col(c).alias(f"cut_{c}") for c in leaf], F.col("cut.slice").alias("cut_slice"), F.col("cut.room").alias("room")), "mix-cuts")
@@ -138,7 +140,7 @@ def selection(rows: DataFrame, shares: DataFrame, seed: int = SEED) -> DataFrame
     # With something left of a leaf's share there is a slice in which it ends; whole epochs leave nothing and cut at once.
     wholes = F.when(F.col("whole") > 0, F.sequence(F.lit(0), F.col("whole") - 1)).otherwise(F.array().cast("array<int>"))
     epochs = F.when(F.col("slice") < F.col("cut_slice"), F.concat(wholes, F.array("whole"))).otherwise(wholes)
-    run = Window.partitionBy(*leaf).orderBy("order", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = Window.partitionBy(*leaf).orderBy("order", "doc_id", "tokens", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = found.where("slice = cut_slice").withColumn("upto", F.sum("tokens").over(run)).where("upto <= room")
     return found.select(*rows.columns, F.explode(epochs).alias("epoch")).unionByName(ends.select(*rows.columns, F.col("whole").alias("epoch")))
 
@@ -146,7 +148,7 @@ def selection(rows: DataFrame, shares: DataFrame, seed: int = SEED) -> DataFrame
 def mixed(docs: DataFrame, budget: Column, max_epochs: int | None = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """The rows of docs that a mix selects, once an epoch, with the columns of docs.  Without ``max_epochs``, each
     domain has as many as its weight needs, and the shares that domains get are logged with their targets."""
-    narrow = common.written(leaf_rows(docs), "mix-rows")
+    narrow = common.written(leaf_rows(docs).select(*LEVELS, "tokens"), "mix-rows")
     leaves = common.written(narrow.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), "mix-leaves")
     shares = common.written(budgets(leaves, budget, max_epochs) if max_epochs else budgets(with_epochs(leaves, budget), budget, F.col("epochs")), "mix-shares")
     if max_epochs is None:
@@ -160,4 +162,4 @@ def mix(docs: DataFrame, budget: Column | None = None, max_epochs: int = MAX_EPO
     rows = common.written(leaf_rows(docs), "mix-rows")
     leaves = rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
     shares = budgets(leaves, F.col("all_tokens") * 0.5 if budget is None else budget, max_epochs)
-    return selection(rows, shares, seed)
+    return selection(rows, shares, seed).drop("order_key", "tie")

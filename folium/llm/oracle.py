@@ -4,9 +4,10 @@ from __future__ import annotations
 
 OP1_SQL = """
 SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
-       CASE WHEN strlen(coalesce(html, '')) >= 1000 AND page_id <> last_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN strlen(coalesce(html, '')) >= 1000 AND page_id <> last_id THEN last_id END AS refers_to, url
-FROM (SELECT *, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last_id FROM pages)
+       CASE WHEN strlen(coalesce(html, '')) >= 1000 AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN strlen(coalesce(html, '')) >= 1000 AND place > 1 THEN last_id END AS refers_to, url
+FROM (SELECT *, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last_id,
+             row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id DESC NULLS LAST, url DESC NULLS LAST) AS place FROM pages)
 """
 
 OP7_SQL = r"""
@@ -45,7 +46,7 @@ def _level(name: str, source: str, parent: str, weight: str) -> str:
 OP8_SQL = rf"""
 WITH rows_ AS (
   SELECT doc_id, 'd' || ((strpos('0123456789abcdef', substring(md5(coalesce(source, '?')), 1, 1)) - 1) % 4) AS domain, coalesce(lang, '?') AS lang, coalesce(source, '?') AS source,
-    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS HUGEINT) AS tokens FROM documents),
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS HUGEINT) AS tokens, md5(coalesce(text, '')) AS text_md5 FROM documents),
 leaves AS (SELECT domain, lang, source, sum(tokens) AS tokens, sum(tokens) * 2 AS capacity FROM rows_ GROUP BY ALL HAVING sum(tokens) > 0),
 root AS (SELECT least(CAST(floor(sum(tokens) * 0.5) AS HUGEINT), sum(capacity)) AS budget FROM leaves),
 in_domain AS (SELECT domain AS name, sum(capacity) AS capacity, any_value(budget) AS budget FROM leaves, root GROUP BY domain),
@@ -55,7 +56,7 @@ in_lang AS (SELECT l.domain, l.lang AS name, sum(l.capacity) AS capacity, any_va
 in_source AS (SELECT l.domain, l.lang, l.source AS name, l.tokens, l.capacity, g.share AS budget FROM leaves l JOIN by_lang g ON g.domain = l.domain AND g.name = l.lang),
 {_level("by_source", "in_source", "domain, lang", "1")},
 plan AS (SELECT domain, lang, name AS source, share // tokens AS whole, share % tokens AS room FROM by_source),
-ordered AS (SELECT r.*, whole, room, sum(r.tokens) OVER (PARTITION BY r.domain, r.lang, r.source ORDER BY md5('20240229:' || whole || ':' || coalesce(CAST(doc_id AS VARCHAR), '-')), doc_id, r.tokens ROWS UNBOUNDED PRECEDING) AS upto
+ordered AS (SELECT r.*, whole, room, sum(r.tokens) OVER (PARTITION BY r.domain, r.lang, r.source ORDER BY md5('20240229:' || whole || ':' || coalesce(CAST(doc_id AS VARCHAR), '-' || r.text_md5)), doc_id, r.tokens ROWS UNBOUNDED PRECEDING) AS upto
   FROM rows_ r JOIN plan p ON p.domain = r.domain AND p.lang = r.lang AND p.source = r.source)
 SELECT doc_id, domain, lang, source, CAST(tokens AS BIGINT) AS tokens, CAST(unnest(list_concat(range(CAST(whole AS BIGINT)), CASE WHEN upto <= room THEN [CAST(whole AS BIGINT)] ELSE [] END)) AS INT) AS epoch FROM ordered
 """
