@@ -115,24 +115,28 @@ def likeness(a: Multiset, b: Multiset) -> float:
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
-    """(part, doc_id, text, tie, tail): documents in ranges of descending doc_id.  The rows that may be the first of a range also
-    stand, as tail, behind the range before it (the first range's behind the last), so that each range is worked on alone."""
+    """(part, doc_id, text, tie, tail): documents in ranges of descending doc_id, null last, rows of one doc_id by a hash of their
+    text, whatever range they are in.  The rows that may be the first of a range also stand, as tail, behind the range before it (the
+    first range's behind the last), so that each range is worked on alone."""
     spark = docs.sparkSession
     n = common.partitions(spark)
-    ids = docs.select("doc_id").where("doc_id IS NOT NULL")
-    cuts = sorted(set(ids.select(F.percentile_approx("doc_id", F.array(*[F.lit(k / n) for k in range(1, n)]), 10_000)).head()[0] or [])) if n > 1 else []
-    # Range 0 has the largest ids.  Cuts are one number a partition, whatever the corpus.
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: F.col("doc_id") <= c)) if cuts else F.lit(0)
-    rows = docs.select("doc_id", common.text_or_empty().alias("text"))
-    rows = rows.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(n)).otherwise(part))
-    heads = {r[0]: r[1] for r in rows.groupBy("part").agg(F.max("doc_id")).collect()}
+    rows = docs.select("doc_id", common.text_or_empty().alias("text")).withColumn("tie", F.xxhash64("text"))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0)).alias("id"), F.col("tie"))
+    # About 64 keys a range, chosen by a hash: what comes to the driver grows with the partitions, not with the corpus.
+    every = max(1, docs.count() // (64 * n))
+    sample = sorted(tuple(r[0]) for r in rows.select(key.alias("key")).where(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).collect()) if n > 1 else []
+    cuts = sorted({sample[len(sample) * k // n] for k in range(1, n)}) if sample else []
+    literal = F.array(*[F.struct(F.lit(a).alias("none"), F.lit(b).cast("long").alias("id"), F.lit(c).cast("long").alias("tie")) for a, b, c in cuts])
+    # Range 0 has the largest ids.
+    rows = rows.withColumn("key", key).withColumn("part", F.size(F.filter(literal, lambda c: c <= F.col("key"))) if cuts else F.lit(0))
+    heads = {r[0]: tuple(r[1]) for r in rows.groupBy("part").agg(F.min("key")).collect()}
     order = sorted(heads)
     # One row a range, whatever the corpus.
-    behind = spark.createDataFrame([(p, heads[p], order[k - 1]) for k, p in enumerate(order)], "part int, head long, before int")
+    behind = spark.createDataFrame([(p, heads[p], order[k - 1]) for k, p in enumerate(order)], "part int, head struct<none:boolean,id:bigint,tie:bigint>, before int")
     marked = rows.join(F.broadcast(behind), "part", "left")
-    first = F.when(F.col("doc_id").eqNullSafe(F.col("head")), F.struct(F.col("before").alias("part"), F.lit(True).alias("tail")))
+    first = F.when(F.col("key") == F.col("head"), F.struct(F.col("before").alias("part"), F.lit(True).alias("tail")))
     places = F.filter(F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("tail")), first), lambda x: x.isNotNull())
-    return marked.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.explode(places).alias("x")).select("x.part", "doc_id", "text", "tie", "x.tail")
+    return marked.select("doc_id", "text", "tie", F.explode(places).alias("x")).select("x.part", "doc_id", "text", "tie", "x.tail")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -141,7 +145,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     spark = common.prepare(docs.sparkSession)
     rows = neighbours(docs)
     order = [F.col("part"), F.col("tail"), F.col("doc_id").desc_nulls_last(), F.col("tie")]
-    rows = rows.repartition(common.partitions(spark), "part").sortWithinPartitions(*order).select("part", "doc_id", "text", "tail")
+    rows = rows.repartitionById(common.partitions(spark), "part").sortWithinPartitions(*order).select("part", "doc_id", "text", "tail")
     names = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
 
