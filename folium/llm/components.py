@@ -14,21 +14,25 @@ from .common import Scratch, written
 def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, label) of every node of edges (a, b): label is the smallest node it is connected to.  The result is a table of scratch, if given.
 
-    Rounds are about the logarithm of the longest shortest path; each is written to the shared folder and the one before
-    deleted.  Minima are taken before rows are dealt, and joins on labels and nodes read written tables, so a node with very many
-    edges is split."""
+    A round takes the smallest label next to each node; from the third round on labels jump to the labels of their labels as well, so
+    that rounds are about the logarithm of the longest shortest path, while near stars, which end sooner, take cheaper rounds.  Each
+    round is written to the shared folder and the one before deleted.  Minima are taken before rows are dealt, and joins on labels and
+    nodes read written tables, so a node with very many edges is split."""
     with Scratch(edges.sparkSession) as own:
         edges = edges.where("a <> b")
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
         both = own.written(both, "edges")
         labels = own.written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")), "labels")
+        rounds = 0
         while True:
             near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
             step = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-            step = own.written(step, "labels")
-            up = step.select(F.col("node").alias("up"), F.col("label").alias("above"))
-            jumped = step.join(up, F.col("label") == F.col("up"), "left").select("node", "old", F.least("label", "above").alias("label"))
-            before, labels = labels, own.written(jumped, "labels")
-            if labels.where("label <> old").isEmpty():
+            step, changed = own.counted(step, "labels", F.col("label") != F.col("old"))
+            own.done(labels)
+            labels, rounds = step, rounds + 1
+            if not changed:
                 return (scratch.written if scratch else written)(labels.select("node", "label"), "components")
-            own.done(before, step)
+            if rounds >= 3:
+                up = labels.select(F.col("node").alias("up"), F.col("label").alias("above"))
+                labels = own.written(labels.join(up, F.col("label") == F.col("up"), "left").select("node", F.least("label", "above").alias("label")), "labels")
+                own.done(step)

@@ -313,12 +313,11 @@ def _blocks(groups: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _texts(asked: DataFrame, docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
-    """asked with the texts of its column doc."""
+    """asked (a written table) with the texts of its column doc.  Up to ``FEW`` rows of it go to where the texts are (some tens of MB);
+    more meet them by the join alone."""
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("of"), F.col("text").alias(text))
-    ids = asked.select(F.col(doc).alias("asked")).distinct()
-    if ids.count() <= FEW:  # a few MB of ids keep other texts from being dealt; more are sought by the join alone
-        texts = texts.join(F.broadcast(ids), F.col("of") == F.col("asked"), "left_semi")
-    return asked.join(texts, F.col(doc) == F.col("of")).drop("of")
+    few = asked.count() <= FEW
+    return texts.join(F.broadcast(asked) if few else asked, F.col(doc) == F.col("of")).drop("of")
 
 
 def _join_blocks(rows: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -434,7 +433,12 @@ def _compared(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             sets = zip(batch_sets(batch.column(2)), batch_sets(batch.column(3)))
             yield batch.select([0, 1]).filter(pa.array([signature_tree.linked(x, y, percent) for x, y in sets], pa.bool_()))
 
-    rows = _texts(_texts(pairs, docs, "a", "text_a"), docs, "b", "text_b")
+    first = _texts(pairs, docs, "a", "text_a")
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("of"), F.col("text").alias("text_b"))
+    wanted = pairs.select(F.col("b").alias("wanted")).distinct()
+    if pairs.count() <= FEW:
+        texts = texts.join(F.broadcast(wanted), F.col("of") == F.col("wanted"), "left_semi")
+    rows = first.join(texts, F.col("b") == F.col("of"))
     return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
