@@ -244,7 +244,6 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int | No
 def read_tokens(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
     """A row for each document of the token files: doc_id, start, n_tokens, ids_crc32, and its ids if asked for."""
     common.prepare(spark)
-    spark.conf.set("spark.sql.sources.binaryFile.maxLength", str((1 << 31) - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -9,7 +9,8 @@ Features are the presence of character n-grams of 3 to 6 code points (lower case
 
 A score needs one table look-up an n-gram; nothing is shuffled, and what is broadcast has a fixed size.
 
-The sample: at most about ``SAMPLE`` labelled rows of each class, chosen by a hash of doc_id; with fewer, all of them.
+The sample: at most about ``SAMPLE`` labelled rows of each class, chosen by a hash of doc_id; with fewer, all of them.  The regression
+takes rows of it up to ``ENTRIES`` features in all (some 100 MB on the driver), which only many very long texts reach.
 Whole texts are used in fitting and scoring.
 
 Defined results: null and empty texts have no n-grams and get the model's prior; a null doc_id counts as held out; labels
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BUCKET_BITS, SIZES, FEATURES, LEAST_RATIO, SAMPLE = 20, (3, 4, 5, 6), 1 << 14, 1.0, 12_000
+BUCKET_BITS, SIZES, FEATURES, LEAST_RATIO, SAMPLE, ENTRIES = 20, (3, 4, 5, 6), 1 << 14, 1.0, 12_000, 25_000_000
 _CHUNK = 1 << 14
 
 
@@ -148,10 +149,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
             found = [present(t, table.value).astype(np.int32) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_pydict({"slots": pa.array([x.tobytes() for x in found], pa.binary()), "toxic": pa.array([int(t > 0) for t in batch.column(1).to_pylist()], pa.int32())})
 
-    x, y = [], []
+    x, y, entries = [], [], 0
     for slots, toxic in rows.mapInArrow(vectors, "slots binary, toxic int").toLocalIterator(prefetchPartitions=True):
         x.append(np.frombuffer(slots, np.int32))
         y.append(toxic)
+        entries += len(x[-1])
+        if entries >= ENTRIES:
+            break
     table.unpersist()
     weight, bias = regress(x, np.array(y), scale, np.log(prior / (1 - prior)))
     return Model(prior, slot, weight, bias)
@@ -159,24 +163,31 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
 
 def regress(x: list[np.ndarray], y: np.ndarray, scale: np.ndarray, odds: float, penalty: float = 0.05, rounds: int = 200) -> tuple[np.ndarray, float]:
     """Weights by slot (scale included) and bias of a logistic regression; classes count as in the corpus."""
-    row = np.repeat(np.arange(len(x), dtype=np.int32), [len(v) for v in x])
+    ends = np.cumsum([0, *map(len, x)])
     col = np.concatenate(x) if len(x) else np.empty(0, np.int32)
-    x = [None] * len(x)
-    value = scale[col]
+    # Rows are taken some million features at a time, so that only their slots are held as a whole.
+    cuts = [0, *(np.flatnonzero(np.diff(ends // 2_000_000)) + 1).tolist()]
+    spans = [(a, b) for a, b in zip(cuts, [*cuts[1:], len(x)]) if b > a]
     seen = np.log(max(1, y.sum()) / max(1, (1 - y).sum()))
     each = np.where(y > 0, np.exp(odds - seen), 1.0)
     each /= each.mean()
     # Rows aren't scaled to one length: that would make a long text's few telling n-grams faint.
-    w, b = np.zeros(len(scale)), odds
+    w, bias = np.zeros(len(scale)), odds
     gw, gb = np.zeros(len(scale)), 0.0
     for _ in range(rounds):
-        z = np.bincount(row, value * w[col], len(x)) + b
-        g = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) * each / max(1, len(x))
-        dw, db = np.bincount(col, value * g[row], len(scale)) + penalty / len(x) * w, g.sum()
+        dw, db = penalty / max(1, len(x)) * w, 0.0
+        for a, b in spans:
+            own = col[ends[a] : ends[b]]
+            row = np.repeat(np.arange(b - a), np.diff(ends[a : b + 1]))
+            value = scale[own]
+            z = np.bincount(row, value * w[own], b - a) + bias
+            g = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y[a:b]) * each[a:b] / max(1, len(x))
+            dw = dw + np.bincount(own, value * g[row], len(scale))
+            db += g.sum()
         gw, gb = gw + dw * dw, gb + db * db
         w -= 0.1 * dw / np.sqrt(gw + 1e-10)
-        b -= 0.1 * db / np.sqrt(gb + 1e-10)
-    return w * scale, float(b)
+        bias -= 0.1 * db / np.sqrt(gb + 1e-10)
+    return w * scale, float(bias)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -157,6 +157,51 @@ def test_disclosing_terms_at_any_distance(spark):
     assert all(spans[i].count("generalised") + spans[i].count("removed") == 2 - (i == 6) for i in range(7)) and spans[7] == ""
 
 
+def plain_sanitisation(texts):
+    """The spans of every text by counting entities, terms and pairs of all documents in plain dictionaries."""
+    n = len(texts)
+    bases = [plain_spans(t) for t in texts]
+    value = lambda t, k: (k, t.lower() if k == 0 else t if k == 1 else re.sub("[^0-9]", "", t))
+    held = [{value(t[a:b], k) for a, k, b in s} for t, s in zip(texts, bases)]
+    outside = [[m for m in re.finditer(r"\w+", t) if not any(a < m.end() and m.start() < b for a, _, b in s)] for t, s in zip(texts, bases)]
+    n_e, n_t, n_et = {}, {}, {}
+    for t, es, ms in zip(texts, held, outside):
+        for e in es:
+            n_e[e] = n_e.get(e, 0) + 1
+            for w in {m[0].lower() for m in ms}:
+                n_et[e, w] = n_et.get((e, w), 0) + 1
+        for w in {x.lower() for x in re.findall(r"\w+", t)}:
+            n_t[w] = n_t.get(w, 0) + 1
+    kind = {}
+    for (e, w), k in n_et.items():
+        if n_e[e] < n:
+            share = np.log(k * (n + 1) / (n_e[e] * (n_t[w] + 1))) / np.log(n / n_e[e])
+            kind[w] = max(kind.get(w, 0), 5 if share >= 0.95 else 4 if share >= 0.85 else 0)
+    found = [sorted(s + [(m.start(), kind[m[0].lower()], m.end()) for m in ms if kind.get(m[0].lower())]) for s, ms in zip(bases, outside)]
+    return bases, found
+
+
+def test_sanitisation_equals_plain_counting(spark):
+    r = random.Random(12)
+    words = [f"word{k}" for k in range(40)]
+    texts = []
+    for i in range(160):
+        t = [r.choice(words) for _ in range(r.randint(0, 30))]
+        if i % 3 == 0:
+            who = r.randint(0, 8)
+            t += [f"Name{who}", f"user{who}@ex.com", *([f"hint{who}"] if r.random() < 0.6 else []), *(["+1 (988) 555-2485"] if who == 3 else [])]
+        if i % 17 == 0:
+            t += [f"Name{r.randint(0, 8)}", "10.0.0.7"]
+        r.shuffle(t)
+        texts.append(" ".join(t))
+    bases, found = plain_sanitisation(texts)
+    got = {x.doc_id: x for x in pii.personal_data(table(spark, texts)).collect()}
+    for i in range(len(texts)):
+        assert got[i].spans == pii.joined(found[i]) and got[i].base_sha256 == hashlib.sha256(pii.joined(bases[i]).encode()).hexdigest()
+    kinds = [k for s in found for _, k, _ in s]
+    assert kinds.count(4) > 5 and kinds.count(5) > 5 and sum(not s for s in found) > 50
+
+
 def test_pii_rows(spark, odd):
     got = pii.personal_data(odd)
     assert got.count() == odd.count()
@@ -183,6 +228,37 @@ def test_toxicity(spark, odd):
     assert toxicity.scores(odd.limit(0), labels).count() == 0
 
 
+def test_ratios_and_weights_equal_a_plain_fit(spark):
+    r = random.Random(4)
+    texts = [" ".join(r.choice(["Good", "day", "to", "all", "you"] + ["scum"] * (i % 3 == 0)) for _ in range(12)) for i in range(150)]
+    docs = table(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(150)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    own = [(t, int(i % 3 == 0)) for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5]
+    grams = [{f" {' '.join(t.lower().split())} "[k : k + n] for n in toxicity.SIZES for k in range(len(t) + 2 - n + 1)} for t, _ in own]
+    n = [sum(y == c for _, y in own) for c in (0, 1)]
+    counts = {}
+    for g, (_, y) in zip(grams, own):
+        for x in g:
+            counts.setdefault(x, [0, 0])[y] += 1
+    kept = {x: np.log((c[1] + 1) / (n[1] + 2)) - np.log((c[0] + 1) / (n[0] + 2)) for x, c in counts.items() if sum(c) >= 5}
+    kept = {x: v for x, v in kept.items() if abs(v) >= toxicity.LEAST_RATIO}
+    assert int((model.slot > 0).sum()) == len(kept)
+    # The same objective and steps on a dense matrix of scaled features.
+    names = sorted(kept)
+    x = np.array([[kept[g] * (g in own_grams) for g in names] for own_grams in grams])
+    y = np.array([c for _, c in own])
+    odds = np.log(model.prior / (1 - model.prior))
+    w, b, gw, gb = np.zeros(len(names)), odds, 0, 0
+    for _ in range(200):
+        e = (1 / (1 + np.exp(-(x @ w + b))) - y) / len(y)
+        dw, db = x.T @ e + 0.05 / len(y) * w, e.sum()
+        gw, gb = gw + dw * dw, gb + db * db
+        w, b = w - 0.1 * dw / np.sqrt(gw + 1e-10), b - 0.1 * db / np.sqrt(gb + 1e-10)
+    plain = np.where((x != 0).any(axis=1), 1 / (1 + np.exp(-(x @ w + b))), model.prior)  # a text without a feature gets the prior
+    assert np.allclose([model.score(t) for t, _ in own], plain, atol=1e-6)
+
+
 def plain_components(texts, percent=75):
     sets = {}
     for i, t in texts.items():
