@@ -5,6 +5,11 @@
 3. ``pii``: personal data and the terms that reveal it are taken out of the texts; no document goes.
 4. ``mixing``: documents are selected to target weights of domain, language and source.
 5. ``bpe``: texts are encoded; the last stage adds n_tokens, input_ids and decoded.
+
+Defined results: null and empty texts pass every stage but the mix, which takes documents without tokens with each epoch that their
+leaf takes whole, or that they precede the end of; rows equal in doc_id and text are copies, of which one stays, unless they have no words
+or no doc_id; rows of one doc_id with other texts stay apart unless they link; a text of any length is read whole; an empty table gives an
+empty table; columns of other names, also ones that a stage uses within, come through as they are.
 """
 
 from __future__ import annotations
