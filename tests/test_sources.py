@@ -284,3 +284,45 @@ def test_every_option_counts(spark, tmp_path):
     assert cli.rules_for(parse(), config.Config(), {}) is cli.index.RULES
     assert isinstance(cli.rules_for(parse("--model", "pool"), config.load({"model": "pool"}), {}), Model)
     assert isinstance(cli.rules_for(parse("--base-url", "http://x"), config.load({"base_url": "http://x"}), {}), Model)
+
+
+def test_the_shared_folder():
+    from types import SimpleNamespace
+
+    from folium.plans import lineage
+
+    def session(master, where=None):
+        conf = SimpleNamespace(get=lambda name: where)
+        return SimpleNamespace(sparkContext=SimpleNamespace(master=master, getConf=lambda: conf))
+
+    assert lineage.shared_dir(session("yarn", "hdfs://x/shared/")) == "hdfs://x/shared" and lineage.shared_dir(session("local[2]")).startswith("file:///")
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            lineage.shared_dir(session(master))
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    from folium.plans.lineage import Scratch
+
+    with Scratch(spark) as scratch:
+        one, n = scratch.counted(spark.range(10), "one", F.col("id") > 6)
+        two = scratch.written(one.where("id > 3"), "two")
+        paths = [p.removeprefix("file://") for p in scratch.paths]
+        assert n == 3 and two.count() == 6 and all(map(os.path.isdir, paths))
+        scratch.done(one)
+        assert [os.path.isdir(p) for p in paths] == [False, True]
+    assert not os.path.isdir(paths[1])
+
+
+def test_inbox(spark, tmp_path):
+    inbox, kept = tmp_path / "inbox", store.IndexStore(spark, str(tmp_path / "index"))
+    inbox.mkdir()
+    (inbox / "one.pdf").write_bytes(make_pdf(["A heading here\nwords."]))
+    first = jobs.ingest(spark, str(inbox), kept, str(tmp_path / "state"))
+    (inbox / "two.pdf").write_bytes(make_pdf(["B heading here\nwords."] * 60))
+    both = jobs.ingest(spark, str(inbox), kept, str(tmp_path / "state"))
+    assert [tuple(x) for x in first.limit(1).collect()] == [("one", "DONE", None)]
+    assert sorted((x.doc_key, x.status) for x in both.collect()) == [("one", "DONE"), ("two", "ERROR")] and kept.read().count() == 1
+    assert store.run_id("x", __import__("datetime").datetime(2024, 1, 2, 3, 4, 5)) == "x_20240102_030405"
