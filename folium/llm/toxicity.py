@@ -190,22 +190,22 @@ def regress(x: list[np.ndarray], y: np.ndarray, scale: np.ndarray, odds: float,
     return w * scale, float(bias)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with ``toxicity`` (double) as a new last column (one of that name is replaced)."""
+def score(docs: DataFrame, model: Model, column: str = "toxicity") -> DataFrame:
+    """docs with a score (double) as a new last column (one of that name is replaced)."""
     from pyspark.sql import types as T
 
     spark = common.prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
-    kept = docs.select([c for c in docs.columns if c != "toxicity"])
+    kept = docs.select([c for c in docs.columns if c != column])
     at = kept.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             scores = pa.array([m.score(t) for t in batch.column(at).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, column])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("toxicity", T.DoubleType())]))
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(column, T.DoubleType())]))
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -222,5 +222,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     column = "toxicity_of_text"
     while column in docs.columns:
         column += "_"
-    found = score(docs.select([c for c in docs.columns if c != "toxicity"]), model)
-    return found.where("toxicity < 0.5").select([c for c in docs.columns if c != "toxicity"])
+    return score(docs, model, column).where(F.col(column) < 0.5).select(docs.columns)
