@@ -14,10 +14,14 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import config
+from .operators.pages import with_token_counts
 from .plans import index, reasoner
 from .plans.rules import Model, Rules
 from .sources import files, store
 
+#: Fixed value: the public split pattern of the 100k vocabulary.
+PATTERN = r"""'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}++|\p{N}{1,3}+| ?[^\s\p{L}\p{N}]++[\r\n]*+|\s++$|\s*[\r\n]|\s+(?!\S)|\s"""
+
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="folium", description=__doc__)
@@ -37,6 +41,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--if-thinning", dest="thinning", default="no")
     p.add_argument("--thinning-threshold", dest="thinning_threshold", type=int, default=5000)
     p.add_argument("--summary-token-threshold", dest="summary_token_threshold")
+    p.add_argument("--token-ranks", dest="token_ranks", help="count tokens of pages by this file of BPE ranks")
+    p.add_argument("--token-pattern", dest="token_pattern", default=PATTERN)
     return p
 
 
@@ -67,6 +73,8 @@ def main(argv: list[str] | None = None) -> int:
         names = docs.select("doc_id", "doc_name")
     else:
         pages = files.pdf_pages(spark, args.pdf_path)
+        if args.token_ranks:
+            pages = with_token_counts(pages, args.token_ranks, args.token_pattern)
         names = pages.select("doc_id", "doc_name").distinct()
         found = index.build_index(pages.drop("doc_name"), c.max_pages_per_node, c.max_tokens_per_node, c.add_node_text, c.add_node_summary, c.add_doc_description, c.add_node_id, c.toc_check_pages, rules)
     store.write_results(found.join(names, "doc_id").orderBy(F.col("doc_name")), args.out)

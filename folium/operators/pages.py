@@ -17,6 +17,32 @@ def from_lines(documents: DataFrame, text: str = "text") -> DataFrame:
     return rows.select("doc_id", (F.col("pos") + 1).cast("int").alias("page_no"), "text", X.token_count(F.col("text")).alias("token_count"))
 
 
+def with_token_counts(pages: DataFrame, ranks: str, pattern: str) -> DataFrame:
+    """pages with ``token_count`` by a byte-level BPE: a file of ranks (a token in base 64 and its rank a line, on a path that all executors
+    have) and the pattern that splits texts.  Null text has no tokens; special tokens are ordinary text."""
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    kept = pages.drop("token_count")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import base64
+
+        import tiktoken
+
+        with open(ranks, "rb") as f:
+            own = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        encoder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=own, special_tokens={})
+        for batch in batches:
+            n = [len(encoder.encode_ordinary(t)) if t else 0 for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int32())], names=[*batch.schema.names, "token_count"])
+
+    from pyspark.sql import types as T
+
+    return kept.mapInArrow(count, T.StructType([*kept.schema.fields, T.StructField("token_count", T.IntegerType())]))
+
+
 def page_count(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.max("page_no").alias("n_pages"))
 

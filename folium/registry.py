@@ -69,6 +69,14 @@ def page_count(s, d):
     return _counts(s, d)
 
 
+@query
+def page_encoded_tokens(s, d):
+    import public_tokenizers
+
+    counted = P.with_token_counts(FX.doc_pages(s, d), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return counted.select("doc_id", "page_no", "token_count")
+
+
 @query
 def doc_token_total(s, d):
     return P.token_total(FX.doc_pages(s, d))

@@ -156,3 +156,19 @@ def test_contents_runs_of_any_length(spark):
     pages = spark.createDataFrame([(d, k, text(k) if d == 1 else text(k) if k < 15 else "plain", 3) for d in (1, 2) for k in range(1, 200)], "doc_id long, page_no int, text string, token_count int")
     got = {x.doc_id: (x.first_page, x.last_page) for x in toc.runs(I.detected(pages, 20), 20).collect()}
     assert got == {1: (10, 119), 2: (10, 14)}
+
+
+def test_encoded_token_counts(spark):
+    tiktoken, public = pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
+    import base64
+
+    from folium import cli
+
+    with open(public.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    texts = ["", None, "Hello, world!", "Größe 12345 <|endoftext|>  two\n\nlines ", "x" * 500]
+    pages = spark.createDataFrame([(1, k, t, -1) for k, t in enumerate(texts)], "doc_id long, page_no int, text string, token_count int")
+    for pattern in (public.PATTERN, cli.PATTERN):
+        encoder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        got = {x.page_no: x.token_count for x in P.with_token_counts(pages, public.path("byte_bpe_50k.tiktoken"), pattern).collect()}
+        assert got == {k: len(encoder.encode_ordinary(t or "")) for k, t in enumerate(texts)}
