@@ -4,8 +4,10 @@ Base spans (code points, end exclusive) are e-mail addresses, IPv4 addresses, pa
 below.  Their values are the protected entities.  The corpus tells how strongly a term t reveals an entity e: with
 p(e), p(t) and p(e, t) the shares of documents that hold e, hold t, and hold both (t outside of base spans, at any distance),
 the disclosure of e by t is PMI(e; t) / IC(e), where PMI(e; t) = ln p(e, t) / (p(e) p(t)) and IC(e) = -ln p(e).  A term is
-removed if its disclosure of any entity reaches ``REMOVE``, and generalised (to the class of its shape) from ``GENERALISE`` on:
-at each of its places outside of base spans, in documents that don't hold the entity as well.  Entities and terms of a single
+removed if its disclosure of any entity reaches ``REMOVE``, and generalised (to the class of its shape) from ``GENERALISE`` on, if
+more than ``MAJORITY`` of the documents that hold it hold the entity: at each of its places outside of base spans, in documents that don't
+hold the entity as well.  (Disclosure alone is 1 - ln(1 / p(e | t)) / IC(e), which in a large corpus is near 1 for all that a rare
+entity was ever seen with, be it in one document of twenty; such a term says nothing about who is meant.)  Entities and terms of a single
 document are judged like all others: p(t) is smoothed by one document (``SMOOTH``) that holds t without e, so a term that only
 ever stands with e comes near 1 the more documents say so.
 
@@ -34,7 +36,7 @@ from pyspark.sql import types as T
 from . import common
 
 KINDS = ("email", "ip", "card", "phone", "generalised", "removed")
-SMOOTH, GENERALISE, REMOVE = 1, 0.85, 0.95
+SMOOTH, GENERALISE, REMOVE, MAJORITY = 1, 0.85, 0.95, 0.5
 FLUSH, MARKS = 200_000, 25
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -156,7 +158,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n_t"))
 
 
-def disclosures(docs: DataFrame, found: DataFrame, smooth: int = SMOOTH, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def disclosures(docs: DataFrame, found: DataFrame, smooth: int = SMOOTH, generalise: float = GENERALISE, remove: float = REMOVE, majority: float = MAJORITY) -> DataFrame:
     """(e, t, kind): terms whose disclosure of an entity reaches the thresholds; kind is a place in KINDS."""
     n = found.count()
     each = found.where("size(entities) > 0").select(F.explode("entities").alias("e"), "terms").select("e", F.explode("terms").alias("t"))
@@ -171,7 +173,8 @@ def disclosures(docs: DataFrame, found: DataFrame, smooth: int = SMOOTH, general
     pmi = F.log(F.col("n_et").cast("double") * (n + smooth) / (F.col("n_e") * (F.col("n_t") + smooth)))
     share = F.when(ic > 0, pmi / ic)
     kind = F.when(share >= remove, KINDS.index("removed")).when(share >= generalise, KINDS.index("generalised"))
-    return pairs.select("e", "t", kind.alias("kind")).where("kind IS NOT NULL")
+    most = F.col("n_et") > majority * F.col("n_t")
+    return pairs.where(most).select("e", "t", kind.alias("kind")).where("kind IS NOT NULL")
 
 
 def _marked(terms: DataFrame) -> bytes:

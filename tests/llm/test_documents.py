@@ -174,7 +174,7 @@ def plain_sanitisation(texts):
             n_t[w] = n_t.get(w, 0) + 1
     kind = {}
     for (e, w), k in n_et.items():
-        if n_e[e] < n:
+        if n_e[e] < n and 2 * k > n_t[w]:
             share = np.log(k * (n + 1) / (n_e[e] * (n_t[w] + 1))) / np.log(n / n_e[e])
             kind[w] = max(kind.get(w, 0), 5 if share >= 0.95 else 4 if share >= 0.85 else 0)
     found = [sorted(s + [(m.start(), kind[m[0].lower()], m.end()) for m in ms if kind.get(m[0].lower())]) for s, ms in zip(bases, outside)]
@@ -189,15 +189,18 @@ def test_sanitisation_equals_plain_counting(spark):
         t = [r.choice(words) for _ in range(r.randint(0, 30))]
         if i % 3 == 0:
             who = r.randint(0, 8)
-            t += [f"Name{who}", f"user{who}@ex.com", *([f"hint{who}"] if r.random() < 0.6 else []), *(["+1 (988) 555-2485"] if who == 3 else [])]
+            t += [f"Name{who}", f"Only{who}", f"user{who}@ex.com", *([f"hint{who}"] if r.random() < 0.6 else []), *(["+1 (988) 555-2485"] if who == 3 else [])]
         if i % 17 == 0:
             t += [f"Name{r.randint(0, 8)}", "10.0.0.7"]
+        if i % 40 == 1:
+            t += [f"Name{i // 40}"]
         r.shuffle(t)
         texts.append(" ".join(t))
     bases, found = plain_sanitisation(texts)
     got = {x.doc_id: x for x in pii.personal_data(table(spark, texts)).collect()}
     for i in range(len(texts)):
         assert got[i].spans == pii.joined(found[i]) and got[i].base_sha256 == hashlib.sha256(pii.joined(bases[i]).encode()).hexdigest()
+    assert any(not b and f for b, f in zip(bases, found))
     kinds = [k for s in found for _, k, _ in s]
     assert kinds.count(4) > 5 and kinds.count(5) > 5 and sum(not s for s in found) > 50
 
