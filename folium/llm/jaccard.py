@@ -209,7 +209,7 @@ def shared_edges(left: DataFrame) -> DataFrame:
 
 
 def list_edges(large: DataFrame, percent: int, most: int = LIST) -> DataFrame:
-    """(a, b): edges that connect the documents of a group of large (doc, grp, part, n, bits, elements) which share an element and may
+    """(a, b): stars that connect the documents of a group of large (doc, grp, part, n, bits, elements) which share an element and may
     link.  A group's elements stand in parts of bounded size, and a part is worked on alone.  A list of more than ``most`` documents
     connects all it has."""
 
@@ -217,13 +217,7 @@ def list_edges(large: DataFrame, percent: int, most: int = LIST) -> DataFrame:
         at, docs, sizes, bits, elements = None, [], [], [], []
 
         def joined() -> Iterator[pa.RecordBatch]:
-            groups, out = signature_tree.Groups(len(docs)), []
-
-            def join(i: int, j: int) -> None:
-                if groups.find(i) != groups.find(j):
-                    groups.join(i, j)
-                    out.append((docs[i], docs[j]))
-
+            groups = signature_tree.Groups(len(docs))
             which = np.repeat(np.arange(len(docs)), [len(e) for e in elements])
             h = np.concatenate(elements)
             order = np.argsort(h, kind="stable")
@@ -238,12 +232,12 @@ def list_edges(large: DataFrame, percent: int, most: int = LIST) -> DataFrame:
                     continue
                 if len(own) > most:
                     for i in own[1:]:
-                        join(own[0], i)
+                        groups.join(own[0], i)
                 elif len(own) <= 8:
                     for k, i in enumerate(own):
                         for j in own[k + 1 :]:
                             if groups.find(i) != groups.find(j) and _may_link(sizes[i], bits[i], sizes[j], bits[j], percent):
-                                join(i, j)
+                                groups.join(i, j)
                 else:
                     for w, members in _classes([sizes[i] for i in own], percent):
                         members = [own[k] for k in members]
@@ -256,9 +250,10 @@ def list_edges(large: DataFrame, percent: int, most: int = LIST) -> DataFrame:
                                 i = open_.pop()
                                 near = _near(n[rest], rows[rest], int(n[i]), rows[i], percent)
                                 for j in rest[near]:
-                                    join(members[i], members[j])
+                                    groups.join(members[i], members[j])
                                 open_.extend(rest[near])
                                 rest = rest[~near]
+            out = [(d, docs[r]) for i, d in enumerate(docs) if (r := groups.find(i)) != i]
             if out:
                 yield _edges(out)
 
@@ -283,7 +278,7 @@ def list_edges(large: DataFrame, percent: int, most: int = LIST) -> DataFrame:
 def told_apart(groups: DataFrame, left: DataFrame, percent: int, block: int, scratch: common.Scratch, most: int = LIST) -> DataFrame:
     """groups (node, label) with those of more than a block of documents as the groups that lists and bitmaps make of them."""
     sizes = groups.join(left.select(F.col("doc").alias("of"), F.size("elements").alias("rows")), F.col("node") == F.col("of"))
-    sizes = sizes.groupBy("label").agg(F.countDistinct("node").alias("k"), F.sum("rows").alias("rows")).where(F.col("k") > block)
+    sizes = sizes.groupBy("label").agg(F.count(F.lit(1)).alias("k"), F.sum("rows").alias("rows")).where(F.col("k") > block)
     sizes = scratch.written(sizes.select(common.skew_key("label").alias("large"), F.ceil(F.col("rows") / PART_ROWS).cast("int").alias("parts")), "large")
     if sizes.isEmpty():
         return groups
@@ -295,7 +290,7 @@ def told_apart(groups: DataFrame, left: DataFrame, percent: int, block: int, scr
     return scratch.written(groups.join(sizes, large, "left_anti").unionByName(again), "groups")
 
 
-def _blocks(groups: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+def _blocks(groups: DataFrame, block: int, scratch: common.Scratch) -> tuple[DataFrame, DataFrame]:
     """Of groups (doc, grp, n, alone): (doc, grp, block) of all members and, for groups of several blocks, their pivots in every block;
     and (doc, grp, parts) of those groups.
 
@@ -304,12 +299,11 @@ def _blocks(groups: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("elements"))
     blocks = F.ceil(F.greatest(F.col("k") / block, F.col("elements") / BLOCK_ELEMENTS)).cast("int")
     sizes = sizes.select(common.skew_key("grp").alias("same"), blocks.alias("blocks"), F.ceil(F.greatest(F.col("k") / LIST, F.col("elements") / (4 * BLOCK_ELEMENTS))).cast("int").alias("parts"))
-    members = groups.join(sizes, F.col("grp").cast("string") == F.col("same")).drop("same")
-    large = members.where("blocks > 1")
+    members = scratch.written(groups.join(sizes, F.col("grp").cast("string") == F.col("same")).select("doc", "grp", "alone", "blocks", "parts"), "members")
+    large, place = members.where("blocks > 1"), F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
     pivots = large.groupBy("grp", "blocks", F.pmod(F.xxhash64("doc", F.lit(1)), F.lit(PIVOTS)).alias("r")).agg(F.min_by("doc", F.struct("alone", F.xxhash64("doc", F.lit(2)))).alias("doc"))
-    pivots = pivots.select("doc", "grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    own = members.select("doc", "grp", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"))
-    return own.unionByName(pivots).distinct(), large.select("doc", "grp", "parts")
+    pivots = pivots.select("doc", "grp", place.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).where("block <> own")
+    return members.select("doc", "grp", place.alias("block")).unionByName(pivots.drop("own")), large.select("doc", "grp", "parts")
 
 
 def _texts(asked: DataFrame, docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
@@ -455,17 +449,18 @@ def near_components(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK,
         groups = told_apart(components(shared_edges(left), scratch), left, percent, block, scratch, most)
         n = left.groupBy(F.col("doc").alias("of")).agg(F.max("n").alias("n"), F.min("alone").alias("alone"))
         groups = groups.join(n, F.col("node") == F.col("of")).select(F.col("node").alias("doc"), F.col("label").alias("grp"), "n", "alone")
-        rows, several = _blocks(scratch.written(groups, "groups"), block)
-        several = scratch.written(several, "several")
+        rows, several = _blocks(scratch.written(groups, "groups"), block, scratch)
         links = scratch.written(_join_blocks(scratch.written(rows, "blocks"), docs, percent), "links")
+        found = components(links.unionByName(copies), scratch)
         if not several.isEmpty():
             wide = scratch.written(_wide(several, docs), "wide")
             # The most alike pairs first: what they join needn't be told apart pair by pair.
             for best in (True, False):
-                if (pairs := open_pairs(wide, components(links, scratch), percent, scratch, best)) is None:
+                if (pairs := open_pairs(wide, found, percent, scratch, best)) is None:
                     break
-                links = links.unionByName(scratch.written(_compared(pairs, docs, percent), "late-links"))
-        return sizes, components(links.unionByName(copies))
+                late = scratch.written(_compared(pairs, docs, percent), "late-links")
+                found = components(found.toDF("a", "b").unionByName(late), scratch)
+        return sizes, common.written(found, "components")
 
 
 def component_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -375,6 +375,35 @@ def test_components(spark):
     assert got == {i: 0 for i in range(21)} | {40: 30, 41: 30, 42: 30, 30: 30}
 
 
+@pytest.mark.parametrize("most", [0, 5, 1000])
+def test_components_by_rounds_equal_those_of_one_task(spark, most):
+    r = random.Random(4)
+    pairs = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(1000 - i, 1000 - i - 1) for i in range(40)] + [(7, None), (None, None)]
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(3)
+    up = {i: i for p in pairs if None not in p and p[0] != p[1] for i in p}
+    for _ in up:
+        for a, b in pairs:
+            if a in up and b in up:
+                up[a] = up[b] = min(up[a], up[b])
+    assert sorted(map(tuple, components.components(edges, most=most).collect())) == sorted(up.items())
+
+
+def test_long_paths_of_small_graphs_take_no_rounds(spark, monkeypatch):
+    names, written = [], components.Scratch.written
+    monkeypatch.setattr(components.Scratch, "written", lambda self, df, name: names.append(name) or written(self, df, name))
+    edges = spark.createDataFrame([(i + 1, i) for i in range(500)], "a long, b long").repartition(4)
+    assert components.components(edges).where("label = 0").count() == 501
+    assert len(names) <= 2
+
+
+def test_jaccard_by_rounds(spark, monkeypatch):
+    monkeypatch.setattr(components, "EDGES", 0)
+    texts = near_copies(3, 150)
+    sizes, found = jaccard.near_components(table(spark, list(texts.values()), list(texts)).repartition(3), 75, 4, 5)
+    label = dict(map(tuple, found.collect()))
+    assert {x.doc: (x.n, label.get(x.doc, x.doc)) for x in sizes.collect()} == plain_components(texts)
+
+
 def plain_quality(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
     seen, covered = {}, set()
