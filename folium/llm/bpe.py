@@ -198,7 +198,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text") -> Da
     from pyspark.sql import types as T
 
     schema = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("input_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType()), *kept.schema.fields])
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(common.lean(run), schema)
 
 
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -217,4 +217,4 @@ def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
                 decoded_sha.append(sha(bpe.decode(array("I", ids)).encode("utf-8")).hexdigest())
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(decoded_sha, pa.string())})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(common.lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

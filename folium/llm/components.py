@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, prepare, written
+from .common import Scratch, lean, prepare, written
 
 #: Edges that a task contracts at once (16 MB); a graph of more contracted edges is labelled in rounds.
 EDGES = 1_000_000
@@ -61,7 +61,7 @@ def contracted(edges: DataFrame, most: int, whole: bool = False) -> DataFrame:
         if held:
             yield from rows(*closed())
 
-    return edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(run, "a long, b long")
+    return edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(lean(run), "a long, b long")
 
 
 def components(edges: DataFrame, scratch: Scratch | None = None, most: int | None = None) -> DataFrame:

@@ -144,7 +144,7 @@ def profile(docs: DataFrame, percent: int) -> DataFrame:
         if rows:
             yield from closed()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc long, n long, a long, p long, copy_of long, hashes array<long>, often array<long>, bits binary")
+    return docs.select("doc_id", "text").mapInArrow(common.lean(run), "doc long, n long, a long, p long, copy_of long, hashes array<long>, often array<long>, bits binary")
 
 
 def prefixes(profiles: DataFrame) -> DataFrame:
@@ -272,7 +272,7 @@ def list_edges(large: DataFrame, percent: int, most: int = LIST) -> DataFrame:
 
     rows = large.select("doc", "grp", "part", "n", "bits", "elements").where(F.size("elements") > 0)
     rows = rows.repartition(common.partitions(large.sparkSession), "grp", "part").sortWithinPartitions("grp", "part", "doc")
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(common.lean(run), "a long, b long")
 
 
 def told_apart(groups: DataFrame, left: DataFrame, percent: int, block: int, scratch: common.Scratch, most: int = LIST) -> DataFrame:
@@ -351,7 +351,7 @@ def _join_blocks(rows: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
     rows = _texts(rows, docs).select("doc", "grp", "block", "text")
     rows = rows.repartition(common.partitions(docs.sparkSession), "grp", "block").sortWithinPartitions("grp", "block", "doc")
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(common.lean(run), "a long, b long")
 
 
 def _wide(several: DataFrame, docs: DataFrame) -> DataFrame:
@@ -362,7 +362,7 @@ def _wide(several: DataFrame, docs: DataFrame) -> DataFrame:
             sets = list(batch_sets(batch.column(3)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(map(len, sets), pa.int64()), pa.array([bitmap(s, 8) for s in sets], pa.binary())], names=["doc", "grp", "parts", "n", "bits"])
 
-    return _texts(several, docs).select("doc", "grp", "parts", "text").mapInArrow(run, "doc long, grp long, parts int, n long, bits binary")
+    return _texts(several, docs).select("doc", "grp", "parts", "text").mapInArrow(common.lean(run), "doc long, grp long, parts int, n long, bits binary")
 
 
 def open_pairs(wide: DataFrame, labels: DataFrame, percent: int, scratch: common.Scratch, best: bool) -> DataFrame | None:
@@ -416,7 +416,7 @@ def open_pairs(wide: DataFrame, labels: DataFrame, percent: int, scratch: common
     base = rows.select("grp", F.pmod(F.xxhash64("doc", F.lit(3)), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("role"), *what)
     look = rows.where("label <> main").select("grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("role"), *what)
     both = base.unionByName(look).repartition(common.partitions(wide.sparkSession), "grp", "part").sortWithinPartitions("grp", "part", "role")
-    return scratch.written(both.mapInArrow(run, "a long, b long").distinct(), "open-pairs")
+    return scratch.written(both.mapInArrow(common.lean(run), "a long, b long").distinct(), "open-pairs")
 
 
 def _compared(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -433,7 +433,7 @@ def _compared(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     if pairs.count() <= FEW:
         texts = texts.join(F.broadcast(wanted), F.col("of") == F.col("wanted"), "left_semi")
     rows = first.join(texts, F.col("b") == F.col("of"))
-    return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return rows.select("a", "b", "text_a", "text_b").mapInArrow(common.lean(run), "a long, b long")
 
 
 def near_components(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, most: int = LIST) -> tuple[DataFrame, DataFrame]:

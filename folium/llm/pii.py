@@ -134,7 +134,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     schema = ("doc_id long, key string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, "
               "entities array<long>, terms array<long>")
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(common.lean(run), schema)
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -155,7 +155,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
         if count:
             yield from packed()
 
-    return docs.select("text").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n_t"))
+    return docs.select("text").mapInArrow(common.lean(run), "t long, n long").groupBy("t").agg(F.sum("n").alias("n_t"))
 
 
 def disclosures(docs: DataFrame, found: DataFrame, smooth: int = SMOOTH, generalise: float = GENERALISE, remove: float = REMOVE, majority: float = MAJORITY) -> DataFrame:
@@ -212,7 +212,7 @@ def term_spans(docs: DataFrame, disclosed: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.int64(), pa.int32(), pa.int32()))], names=["key", "t", "start", "end"])
 
-    rows = common.written(docs.select("text").mapInArrow(run, "key string, t long, start int, end int").distinct(), "places")
+    rows = common.written(docs.select("text").mapInArrow(common.lean(run), "key string, t long, start int, end int").distinct(), "places")
     hit = rows.join(terms.select(common.skew_key("t").alias("term"), "kind"), F.col("t").cast("string") == F.col("term"))
     return hit.groupBy("key").agg(F.collect_list(F.struct("start", "kind", "end")).alias("terms"))
 
@@ -265,4 +265,4 @@ def sanitise(docs: DataFrame) -> DataFrame:
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(common.lean(run), docs.schema)

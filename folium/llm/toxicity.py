@@ -124,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
 
     df, n = np.zeros((2, buckets)), np.zeros(2)
     # Counts by class for a fixed number of buckets: 16 MB, whatever the corpus.
-    counted = rows.mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInPandas(total, "chunk int, counts binary")
+    counted = rows.mapInArrow(common.lean(count), "chunk int, counts binary").groupBy("chunk").applyInPandas(total, "chunk int, counts binary")
     for chunk, counts in counted.toLocalIterator():
         x = np.frombuffer(counts, np.int64)
         if chunk < 0:
@@ -150,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
             yield pa.RecordBatch.from_pydict({"slots": pa.array([x.tobytes() for x in found], pa.binary()), "toxic": pa.array([int(t > 0) for t in batch.column(1).to_pylist()], pa.int32())})
 
     x, y, entries = [], [], 0
-    for slots, toxic in rows.mapInArrow(vectors, "slots binary, toxic int").toLocalIterator(prefetchPartitions=True):
+    for slots, toxic in rows.mapInArrow(common.lean(vectors), "slots binary, toxic int").toLocalIterator(prefetchPartitions=True):
         x.append(np.frombuffer(slots, np.int32))
         y.append(toxic)
         entries += len(x[-1])
@@ -205,7 +205,7 @@ def score(docs: DataFrame, model: Model, column: str = "toxicity") -> DataFrame:
             scores = pa.array([m.score(t) for t in batch.column(at).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, column])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(column, T.DoubleType())]))
+    return kept.mapInArrow(common.lean(run), T.StructType([*kept.schema.fields, T.StructField(column, T.DoubleType())]))
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -2,7 +2,10 @@
 
 import hashlib
 import random
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,3 +104,39 @@ def test_stages_of_odd_documents(spark, tables):
             assert got.count((1004, texts[4])) == 1 and (1005, texts[5]) not in got and {x for x in got if x[0] == 1009} == {(1009, "one text"), (1009, "quite another text")} and got.count((None, "no id")) == 2
             assert sum(t == long for _, t in got) == 1 and {i for i, _ in got} == {1000, 1001, 1002, 1003, 1004, 1006, 1007, 1009, None}
     assert docs.count() > 0 and {x.h for x in docs.select("h").collect()} <= {f"h{k}" for k in range(len(rows))}
+
+
+KEPT = """
+import random, sys
+import pyarrow as pa
+from pyspark.sql import SparkSession
+from folium.llm import common, jaccard, pii
+
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "1").getOrCreate()
+words = spark.range(0, 4000, 1, 1).selectExpr("id doc_id", "concat_ws(' ', transform(sequence(1, 900), k -> concat('w', pmod(xxhash64(id, k), 50000)))) text")
+words.write.mode("overwrite").parquet(sys.argv[1])
+docs = common.prepare(spark).read.parquet(sys.argv[1]).coalesce(1)
+
+def kept():
+    def run(batches):
+        for batch in batches:
+            with open("/proc/self/smaps_rollup") as f:
+                yield pa.RecordBatch.from_pydict({"kb": pa.array([int(x.split()[1]) for x in f if x.startswith("Pss_Anon")], pa.int64())})
+    return spark.range(0, 1, 1, 1).mapInArrow(run, "kb long").head()[0] // 1024
+
+for f in (lambda d: jaccard.profile(d, 75), pii.scan):
+    f(docs.limit(1)).write.format("noop").mode("overwrite").save()
+before = kept()
+for f in (lambda d: jaccard.profile(d, 75), pii.scan):
+    f(docs).write.format("noop").mode("overwrite").save()
+    print("KEPT", before, kept(), flush=True)
+"""
+
+
+@pytest.mark.skipif(not Path("/proc/self/smaps_rollup").exists(), reason="memory can't be read here")
+def test_idle_workers_keep_little_of_a_stage(tmp_path):
+    """A local session of one core has one Python worker; after a stage it holds little more than before."""
+    said = subprocess.run([sys.executable, "-c", KEPT, str(tmp_path / "docs")], cwd=Path(__file__).parents[2], capture_output=True, text=True, timeout=300)
+    found = [[int(x) for x in line.split()[1:]] for line in said.stdout.splitlines() if line.startswith("KEPT")]
+    assert len(found) == 2, said.stderr[-2000:]
+    assert all(after - before <= 30 for before, after in found), found
