@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import struct
 import zlib
 from array import array
@@ -34,6 +35,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,8 +45,14 @@ from . import bpe, common
 MAGIC, BLOCK, PERCENTILE = b"PFR1", 128, 0.9
 #: Tokens from which a frame is closed, and frames of a file.
 FRAME_TOKENS, FILE_FRAMES = 65_536, 128
+#: Bytes of texts that are encoded at once, and bytes of the chunks and their ids that a worker keeps.
+GROUP_BYTES, KNOWN_BYTES = 8 << 20, 24 << 20
+#: New chunks that are split into words at once.
+NEW = 20_000
 _HEAD = "<4sIIIQI"
 _WIDE = np.dtype([("at", "u1"), ("value", "<u4")])
+#: The fast split of ``bpe``, with line feeds as words of their own.
+_COMMON_LINES = re.compile(bpe._COMMON.pattern + "|\n")
 
 
 def _bits(values: np.ndarray) -> np.ndarray:
@@ -51,6 +60,11 @@ def _bits(values: np.ndarray) -> np.ndarray:
     return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
 
 
+def _carrier(width: int) -> str:
+    """The type whose bytes hold a value of so many bits."""
+    return "<u2" if width <= 16 else "<u4"
+
+
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
     """(minimums, widths, exceptions, starts, payload) of the blocks of ids."""
     blocks = -(-len(ids) // BLOCK)
@@ -74,8 +88,9 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     for w in np.unique(width):
         rows = np.flatnonzero(width == w)
         if w:
-            bits = (values[rows][:, :, None] >> np.arange(w, dtype=np.uint32)) & 1
-            packed = np.packbits(bits.astype(np.uint8).reshape(len(rows), -1), axis=1, bitorder="little")
+            raw = values[rows].astype(_carrier(w))[:, :, None].view(np.uint8)
+            bits = np.unpackbits(raw, axis=2, count=int(w), bitorder="little")
+            packed = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
             payload[starts[rows].astype(np.int64)[:, None] + np.arange(packed.shape[1])] = packed
     row, at = np.nonzero(over)
     if len(row):
@@ -95,10 +110,9 @@ def unpack(least: np.ndarray, width: np.ndarray, count: np.ndarray, starts: np.n
         if w:
             packed = payload[starts[rows].astype(np.int64)[:, None] + np.arange(int(w) * (BLOCK // 8))]
             bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(rows), BLOCK, int(w))
-            got = np.zeros((len(rows), BLOCK), np.uint32)
-            for k in range(int(w)):
-                got |= bits[:, :, k].astype(np.uint32) << np.uint32(k)
-            values[rows] = got
+            whole = np.zeros((len(rows), BLOCK, 8 * np.dtype(_carrier(w)).itemsize), np.uint8)
+            whole[:, :, :w] = bits
+            values[rows] = np.packbits(whole.reshape(len(rows), -1), axis=1, bitorder="little").view(_carrier(w))
     if total := int(count.sum()):
         row = np.repeat(np.arange(len(count)), count)
         first = np.concatenate(([0], np.cumsum(count.astype(np.int64))))[row]
@@ -155,11 +169,17 @@ def frames(content: bytes) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, n
 
 class LibraryEncoder(bpe.RankBpe):
     """The ``tokenizers`` library with a memo of words: texts are normalised and split here, and the library's model encodes each
-    distinct word once for each worker."""
+    distinct word once for each worker.
+
+    ``encode_all`` takes many texts: Arrow divides them into chunks at ASCII white space and finds each chunk in a table of
+    those that the worker knows, so that only new chunks are split into words.  No word or special token of the public vocabularies has
+    white space, and no character composes or changes across it, so the ids of a text are those of its chunks; with other
+    vocabularies a text is one chunk."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         super().__init__(path)
         self.ranks = {}
@@ -167,12 +187,91 @@ class LibraryEncoder(bpe.RankBpe):
         self.library.no_truncation()
         self.library.no_padding()
         self.model = self.library.model
+        self.chunked = self.common is not None and bool(self.suffix) and not any(c.isspace() for t in self.added for c in t)
+        if self.chunked:
+            # The same model for words that are split and mapped already.
+            self.by_space = Tokenizer(self.model)
+            self.by_space.pre_tokenizer = WhitespaceSplit()
+            self.lines = regex.compile(bpe.SPLIT + r"|\n")
+            self.ending = np.zeros(max(self.vocab.values()) + 1, bool)
+            self.spaced = self.printable[:32] + " " + self.printable[33:]
+            self.ending[[i for t, i in self.vocab.items() if t.endswith(self.suffix)]] = True
+        self.known = pa.array([], pa.string())
+        self.known_ids = pa.array([], pa.list_(pa.uint32()))
+        self.uses = np.empty(0, np.int64)
 
     def word(self, word: str) -> bytes:
         if len(word) > bpe.MEMO_LEN:
             return array("I", self.library.encode(word, add_special_tokens=False).ids).tobytes()
         return array("I", [t.id for t in self.model.tokenize(self.mapped(word))]).tobytes()
 
+    def of_words(self, words: list[str]) -> Iterator[bytes]:
+        """The ids of each word, by few calls of the library: a word ends with the one token that has the suffix."""
+        for k in range(0, len(words), 256):
+            own = words[k : k + 256]
+            text = " ".join(own)
+            if not (text.isascii() and text.isprintable()):
+                text = text.encode("utf-8").decode("latin-1").translate(self.spaced)
+            ids = np.array(self.by_space.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(self.ending[ids]) * 4 + 4).tolist()
+            if len(ends) != len(own):
+                yield from map(self.word, own)
+                continue
+            raw = ids.tobytes()
+            yield from [raw[i:j] for i, j in zip([0, *ends], ends)]
+
+    def listed(self, chunks: pa.Array) -> pa.Array:
+        """The ids of each chunk, as ``encode`` gives them."""
+        texts = chunks.to_pylist()
+        joined = "".join([t + "\n" for t in texts])
+        if self.special is not None and self.special.search(joined):
+            found = [self.encode(t) for t in texts]
+            ends = np.cumsum([0, *map(len, found)]) // 4
+        else:
+            words = _COMMON_LINES.findall(joined.lower()) if not bpe._UNCOMMON.search(joined) else self.lines.findall(self.normalise(joined))
+            made = dict.fromkeys(words)
+            made.pop("\n", None)
+            made = dict(zip(made, self.of_words(list(made)))) | {"\n": b""}
+            found = list(map(made.__getitem__, words))
+            last = np.fromiter(map("\n".__eq__, words), bool, len(words))
+            ends = np.append(0, np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))[last]) // 4
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(found), "<u4")))
+
+    def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text (null: none), as ``encode`` gives them."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        if not self.chunked:
+            yield from (np.frombuffer(self.encode(t.as_py()), "<u4") for t in texts)
+            return
+        lists = pc.ascii_split_whitespace(texts)
+        ends, chunks = np.cumsum(pc.list_value_length(lists).to_numpy()), lists.flatten()
+        at = pc.index_in(chunks, value_set=self.known)
+        new = chunks.filter(at.is_null()).dictionary_encode()
+        del texts, lists, chunks
+        at = pc.fill_null(at, -1).to_numpy().copy()
+        at[at < 0] = new.indices.to_numpy() + len(self.known)
+        new = new.dictionary
+        ids = pa.concat_arrays([self.known_ids, *(self.listed(new[k : k + NEW]) for k in range(0, len(new), NEW))])
+        start = 0
+        for end in ends.tolist():
+            yield ids.take(pa.array(at[start:end])).flatten().to_numpy()
+            start = end
+        self.keep(pa.concat_arrays([self.known, new]), ids, np.bincount(at, minlength=len(ids)))
+
+    def keep(self, chunks: pa.Array, ids: pa.Array, uses: np.ndarray) -> None:
+        """Keeps chunks for the next texts; long ones never, and where they take too much those that were used most."""
+        uses[: len(self.uses)] += self.uses
+        length = pc.binary_length(chunks).to_numpy()
+        rows = np.flatnonzero(length <= bpe.MEMO_LEN)
+        if chunks.nbytes + ids.nbytes > KNOWN_BYTES:
+            takes = length + 4 * pc.list_value_length(ids).to_numpy() + 8
+            rows = rows[np.argsort(-uses[rows], kind="stable")]
+            rows = np.sort(rows[np.cumsum(takes[rows]) <= KNOWN_BYTES // 2])
+            uses >>= 1
+        if len(rows) < len(chunks):
+            chunks, ids, uses = chunks.take(pa.array(rows)), ids.take(pa.array(rows)), uses[rows]
+        self.known, self.known_ids, self.uses = chunks, ids, uses
+
 
 _made: dict[str, LibraryEncoder] = {}
 
@@ -183,6 +282,20 @@ def library_encoder(path: str) -> LibraryEncoder:
     return _made[path]
 
 
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of up to ``GROUP_BYTES``; a batch that is larger stays as it is."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if held and size + batch.nbytes > GROUP_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def cuts(docs: DataFrame, parts: int) -> list[tuple[bool, int, int]]:
     """The first keys (not null, doc_id, hash of the text) of all ranges but the first, for about equal ranges in their order.
 
@@ -205,11 +318,11 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int | No
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(vocabulary)
-        end = b"" if end_id is None else struct.pack("<I", end_id)
-        for batch in batches:
+        end = np.array([] if end_id is None else [end_id], np.uint32)
+        for batch in grouped(batches):
             ids, ties = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             part = [bisect.bisect_right(first, (d is not None, d or 0, t)) for d, t in zip(ids, ties)]
-            packed = [squeezed(np.frombuffer(encoder.encode(t) + end, "<u4")) for t in batch.column(1).to_pylist()]
+            packed = [squeezed(np.concatenate((x, end))) for x in encoder.encode_all(batch.column(1))]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), batch.column(0), batch.column(2), pa.array(packed, pa.binary())], names=["part", "doc_id", "tie", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +347,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int | No
         if held:
             yield closed()
 
-    encoded = docs.select("doc_id", "text", F.xxhash64("text", "doc_id").alias("tie")).mapInArrow(encode, "part int, doc_id long, tie long, ids binary")
+    encoded = docs.select("doc_id", "text", F.xxhash64("text", "doc_id").alias("tie")).mapInArrow(common.lean(encode), "part int, doc_id long, tie long, ids binary")
     (encoded.repartitionById(n, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "tie")
      .select("part", "doc_id", "ids").mapInArrow(run, "frame binary")
      .select(F.col("frame").cast("string"))

@@ -51,6 +51,53 @@ def test_bpe_equals_the_library():
         assert own.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_many_texts_are_encoded_as_the_library_does(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = vocabulary()
+    library, own = Tokenizer.from_file(path), tokenfile.LibraryEncoder(path)
+    library.no_truncation()
+    library.no_padding()
+    r = random.Random(4)
+    signs = [*"abcdéèÅßИЖΣσςİǅ漢字🙂١²½'’-_.,<|>/%\"", "\u0301", "\u1100", "\u1161", "\u212b", "'ll", "</w>", "Straße", "x" * 60, "<|endoftext|>", "<|startoftext|>"]
+    blanks = [*" \t\n\r\x0b\x0c\x85\xa0\u2003\u2028\u3000\u200b\x00"]
+    texts = [None, "", "  ", "<|endoftext|>", "a" * 3000, " \u0301a"]
+    texts += ["".join(r.choice(signs if r.random() < 0.75 else blanks) for _ in range(r.randint(1, 80))) for _ in range(600)]
+    texts += [" ".join(r.choice(["The", "cat's", "naïve,", "Œuvre", "well-known", "42nd"]) for _ in range(50)) for _ in range(50)]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for known in (tokenfile.KNOWN_BYTES, 4000):
+        monkeypatch.setattr(tokenfile, "KNOWN_BYTES", known)
+        for k in range(0, len(texts), 100):
+            got = [x.tolist() for x in own.encode_all(pa.array(texts[k : k + 100], pa.string()))]
+            assert got == want[k : k + 100]
+            assert own.known.nbytes + own.known_ids.nbytes <= known and len(own.known) == len(own.known_ids) == len(own.uses)
+    assert list(own.encode_all(pa.array([], pa.string()))) == []
+
+
+def test_known_chunks_are_not_encoded_again(monkeypatch):
+    own, asked = tokenfile.LibraryEncoder(vocabulary()), []
+    monkeypatch.setattr(own, "encode", lambda text: pytest.fail("a text went through the encoder by itself"))
+    of_words = own.of_words
+    monkeypatch.setattr(own, "of_words", lambda words: asked.append(len(words)) or of_words(words))
+    r = random.Random(5)
+    words = [f"{a}{b}" for a in "klmnp" for b in ("ora", "ital", "umen")]
+    texts = lambda: pa.array([" ".join(r.choices(words, k=200)) for _ in range(50)])
+    for _ in range(3):
+        assert sum(map(len, own.encode_all(texts()))) >= 10_000
+    assert sum(asked) == len(words)
+
+
+def test_batches_are_grouped(monkeypatch):
+    monkeypatch.setattr(tokenfile, "GROUP_BYTES", 1000)
+    sizes = [10, 10, 10, 300, 1, 1]
+    batches, n = [], 0
+    for k in sizes:
+        batches.append(pa.record_batch({"n": pa.array(range(n, n + k), pa.int64())}))
+        n += k
+    got = list(tokenfile.grouped(iter(batches)))
+    assert [x for b in got for x in b.column(0).to_pylist()] == list(range(n)) and [b.num_rows for b in got] == [30, 300, 2]
+
+
 def test_bpe_scan_and_heap_agree():
     own = bpe.RankBpe(vocabulary())
     r = random.Random(1)
