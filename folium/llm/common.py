@@ -9,6 +9,7 @@ import io
 import os
 import shutil
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
@@ -18,12 +19,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.lineage import Scratch, delete, new_path, shared_dir, written  # noqa: F401
+from ..plans import lineage
+from ..plans.lineage import delete, new_path, shared_dir  # noqa: F401
 
 #: White space of the word rules: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 
+#: Share of the heap's limit beyond which the driver's JVM is asked to shrink its heap; seconds between two such looks at the least.
+HEAP, EVERY = 0.5, 2.0
+
 _shipped: set[str] = set()
+_tidied = [0.0]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +67,43 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def tidy(spark: SparkSession, every: float = EVERY) -> None:
+    """Has the driver give back what it doesn't need: Python what it has freed, the JVM its heap if that has grown beyond ``HEAP`` of its
+    limit, and what its malloc keeps. A JVM runs for long, with threads and heap of all plans so far, and gives nothing back by itself."""
+    if time.monotonic() - _tidied[0] < every:
+        return
+    give_back()
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    runtime = jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() > HEAP * runtime.maxMemory():
+        jvm.java.lang.System.gc()
+    with contextlib.suppress(Exception):  # only HotSpot on Linux has it, from 17.0.9 on
+        types = gateway.new_array(jvm.java.lang.Class, 4)
+        for i, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            types[i] = jvm.java.lang.Class.forName(name)
+        call = gateway.new_array(jvm.java.lang.Object, 4)
+        call[0], call[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", types).invoke(server, call)
+    _tidied[0] = time.monotonic()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """lineage.written, after which the driver is tidied."""
+    found = lineage.written(df, name)
+    tidy(df.sparkSession)
+    return found
+
+
+class Scratch(lineage.Scratch):
+    """lineage.Scratch; the driver is tidied after each table."""
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        found = super().written(df, name)
+        tidy(self.spark)
+        return found
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run, for mapInArrow, whose worker gives back what it has freed: Arrow's memory after each batch, all of it when the task ends.
     Workers stay idle for later stages, beside a JVM that keeps its heap."""

@@ -158,6 +158,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
             break
     table.unpersist()
     weight, bias = regress(x, np.array(y), scale, np.log(prior / (1 - prior)))
+    del x, y
+    common.tidy(spark, 0)
     return Model(prior, slot, weight, bias)
 
 

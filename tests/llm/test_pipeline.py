@@ -6,6 +6,7 @@ import subprocess
 import sys
 from collections import Counter
 from pathlib import Path
+from unittest.mock import MagicMock
 
 import pytest
 from pyspark.sql import functions as F
@@ -140,3 +141,15 @@ def test_idle_workers_keep_little_of_a_stage(tmp_path):
     found = [[int(x) for x in line.split()[1:]] for line in said.stdout.splitlines() if line.startswith("KEPT")]
     assert len(found) == 2, said.stderr[-2000:]
     assert all(after - before <= 30 for before, after in found), found
+
+
+@pytest.mark.parametrize("grown", [False, True])
+def test_driver_gives_its_heap_back(grown):
+    """A heap that has grown beyond half of its limit is asked to shrink, but not at every look; what malloc keeps goes either way."""
+    spark = MagicMock()
+    runtime = spark._jvm.java.lang.Runtime.getRuntime.return_value
+    runtime.maxMemory.return_value, runtime.totalMemory.return_value = 750, 400 if grown else 300
+    invoke = spark._jvm.java.lang.Class.forName.return_value.getMethod.return_value.invoke
+    common.tidy(spark, 0)
+    common.tidy(spark, 1e9)
+    assert spark._jvm.java.lang.System.gc.call_count == grown and invoke.call_count == 1
